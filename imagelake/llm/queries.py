@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from imagelake.llm import bpe
 from imagelake.llm.exact_dedup import exact_dedup
+from imagelake.llm.langid import LanguageModel, identify
 from imagelake.llm.packing import pack_powers_of_two
+from imagelake.llm.quality import learn_quality, score_quality
 from imagelake.llm.sharding import shard_documents
 
 
@@ -37,15 +39,32 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir), 16)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out)
+    scored = score_quality(docs, learn_quality(docs, labels))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    found = identify(docs, LanguageModel.learn(docs.where(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_quality": op3_quality,
         "op4_packing": op4_packing,
         "op5_bpe": op5_bpe,
         "op6_sharding": op6_sharding,
+        "op9_language_id": op9_language_id,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
