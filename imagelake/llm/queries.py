@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from imagelake.llm import bpe
 from imagelake.llm.exact_dedup import exact_dedup
 from imagelake.llm.langid import LanguageModel, identify
+from imagelake.llm.near_dedup import near_dedup
 from imagelake.llm.packing import pack_powers_of_two
 from imagelake.llm.quality import learn_quality, score_quality
 from imagelake.llm.sharding import shard_documents
@@ -47,6 +48,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(documents(spark, sf_dir), shingle=3, percent=85)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
@@ -64,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_packing": op4_packing,
         "op5_bpe": op5_bpe,
         "op6_sharding": op6_sharding,
+        "op7_near_dedup": op7_near_dedup,
         "op9_language_id": op9_language_id,
         "op10_exact_dedup": op10_exact_dedup,
     }
