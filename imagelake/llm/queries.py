@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from imagelake.llm import bpe
+from imagelake.llm.embedding_dedup import embedding_dedup
 from imagelake.llm.exact_dedup import exact_dedup
 from imagelake.llm.langid import LanguageModel, identify
 from imagelake.llm.near_dedup import near_dedup
@@ -52,6 +53,10 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(documents(spark, sf_dir), shingle=3, percent=85)
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
@@ -70,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_bpe": op5_bpe,
         "op6_sharding": op6_sharding,
         "op7_near_dedup": op7_near_dedup,
+        "op8_embedding_dedup": op8_embedding_dedup,
         "op9_language_id": op9_language_id,
         "op10_exact_dedup": op10_exact_dedup,
     }
