@@ -12,6 +12,7 @@ from imagelake.llm import bpe
 from imagelake.llm.embedding_dedup import embedding_dedup
 from imagelake.llm.exact_dedup import exact_dedup
 from imagelake.llm.langid import LanguageModel, identify
+from imagelake.llm.line_dedup import line_dedup
 from imagelake.llm.near_dedup import near_dedup
 from imagelake.llm.packing import pack_powers_of_two
 from imagelake.llm.quality import learn_quality, score_quality
@@ -41,6 +42,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir), 16)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
@@ -70,6 +75,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": op1_line_dedup,
         "op3_quality": op3_quality,
         "op4_packing": op4_packing,
         "op5_bpe": op5_bpe,
