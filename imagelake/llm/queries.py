@@ -15,6 +15,7 @@ from imagelake.llm.langid import LanguageModel, identify
 from imagelake.llm.line_dedup import line_dedup
 from imagelake.llm.near_dedup import near_dedup
 from imagelake.llm.packing import pack_powers_of_two
+from imagelake.llm.pii import EXTRA, KINDS, joined, pii
 from imagelake.llm.quality import learn_quality, score_quality
 from imagelake.llm.sharding import shard_documents
 
@@ -46,6 +47,13 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii(documents(spark, sf_dir))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"] != EXTRA)
+    return found.select("doc_id", *[count(kind) for kind in KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
@@ -76,6 +84,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op2_pii": op2_pii,
         "op3_quality": op3_quality,
         "op4_packing": op4_packing,
         "op5_bpe": op5_bpe,
