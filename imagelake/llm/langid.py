@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from imagelake.llm.text import LOWER, chunks
 
@@ -124,14 +125,14 @@ def infer(ll: np.ndarray, penalty: float, steps: int = 30) -> np.ndarray:
     return proportions
 
 
-def identify(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", text_column: str = "text", segment: int = 64, penalty: float = 8.0) -> DataFrame:
-    """(doc_id, lang_pred, score, languages): the language with the largest proportion of each whole text.
+def identify(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", text_column: str = "text", segment: int = 64, penalty: float = 8.0, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, lang_pred, score, languages, carried columns): the language with the largest proportion of each whole text.
 
     A text is cut into segments of `segment` bytes; a segment's likelihood under a language comes from its four-byte
     grams, and expectation-maximisation estimates the proportions. score is the winner's proportion; languages
     maps the chosen languages to theirs. A null text, or one without a letter, is `und` with score 0; so
     is every text when the model knows no language. Ties go to the language first in order. Ids may repeat or be
-    null. Other columns are not read.
+    null. Columns named in carry are passed on as they are; others are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.log_p, model.bits))
 
@@ -154,9 +155,12 @@ def identify(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", t
                         names[i], scores[i] = languages[j], min(1.0, float(shares[j]))
                         maps[i] = [(languages[k], float(shares[k])) for k in np.flatnonzero(shares)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(maps, pa.map_(pa.string(), pa.float64()))],
-                    ["id", "lang_pred", "score", "languages"],
+                    [batch.column(0).slice(lo, hi - lo), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(maps, pa.map_(pa.string(), pa.float64()))]
+                    + [batch.column(2 + k).slice(lo, hi - lo) for k in range(len(carry))],
+                    ["id", "lang_pred", "score", "languages", *(f"carried_{k}" for k in range(len(carry)))],
                 )
 
-    narrow = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    return narrow.mapInArrow(run, "id long, lang_pred string, score double, languages map<string,double>").withColumnRenamed("id", id_column)
+    carried = [F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry)]
+    narrow = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"), *carried)
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("languages", T.MapType(T.StringType(), T.DoubleType())), *narrow.schema.fields[2:]])
+    return narrow.mapInArrow(run, schema).toDF(id_column, "lang_pred", "score", "languages", *carry)

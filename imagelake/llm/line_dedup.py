@@ -75,7 +75,7 @@ def _in_bitmap(token: Column, bitmap: bytes) -> Column:
     return F.call_function("shiftright", byte, place.bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
-def line_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = 80, rarity_bits: int = 20, bitmap_bits: int = 23) -> DataFrame:
+def line_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = 80, rarity_bits: int = 20, bitmap_bits: int = 23, carry: tuple[str, ...] = ()) -> DataFrame:
     """Removes every line that is similar to an earlier line of any document.
 
     A line is the set of its lower-case words; two lines are similar if their Jaccard similarity is percent / 100 or
@@ -87,21 +87,23 @@ def line_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     Returns (doc_id, n_lines, n_removed, removed array<int>, text): removed holds places from 0, text is what is left, its
     lines joined again. Lines without a word are never removed. A null text has no lines and stays null; an empty one has
     one. A null doc_id counts as the earliest. Rows that repeat a doc_id and its text get the same result and
-    don't remove each other's lines. An empty table gives no rows. Other columns are not read.
+    don't remove each other's lines. An empty table gives no rows. Columns named in carry follow as they
+    are; others are not read.
     """
     removed = removed_lines(docs, id_column, text_column, percent, rarity_bits, bitmap_bits)
     text = F.col(text_column).cast("string")
     n_lines = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1).cast("long")
-    keyed = docs.select(F.col(id_column), text.alias("text"), n_lines.alias("n_lines"), F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("row"), F.xxhash64(text).alias("text_key"))
+    keyed = docs.select(F.col(id_column).alias("id"), text.alias("text"), n_lines.alias("n_lines"), F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("row"), F.xxhash64(text).alias("text_key"), *[F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry)])
     lines = F.split("text", "\n", -1)
     gone = F.coalesce("removed", F.array().cast("array<int>"))
     left = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(gone, i)), "\n")
     return keyed.join(removed, ["row", "text_key"], "left").select(
-        id_column,
+        F.col("id").alias(id_column),
         "n_lines",
         F.size(gone).cast("long").alias("n_removed"),
         gone.alias("removed"),
         F.when(F.size(gone) == 0, F.col("text")).otherwise(left).alias("text"),
+        *[F.col(f"carried_{k}").alias(c) for k, c in enumerate(carry)],
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from imagelake.llm.shared import cut
+from imagelake.llm.shared import broadcast_if_small, cut
 
 KINDS = ("email", "ip", "card", "phone")
 EXTRA = "id"  # what the patterns discover
@@ -182,7 +182,9 @@ def masked(text: Column, spans: Column) -> Column:
 def mask_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **settings) -> DataFrame:
     """docs with every span of pii() masked in the text; all other columns stay, a null text stays null."""
     found = pii(docs, id_column, text_column, **settings).where(F.size("spans") > 0).dropDuplicates([id_column, "text_key"])
-    found = found.select(F.col(id_column).alias("_pii_id"), F.col("text_key").alias("_pii_key"), F.col("spans").alias("_pii_spans"))
+    found = cut(found.select(F.col(id_column).alias("_pii_id"), F.col("text_key").alias("_pii_key"), F.col("spans").alias("_pii_spans")))
+    n = found.agg(F.count("*"), F.coalesce(F.sum(F.size("_pii_spans")), F.lit(0))).first()
+    found = broadcast_if_small(found, n[0] + n[1], 64)
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     keyed = docs.withColumn("_own_key", F.xxhash64(text))
     same = F.col(id_column).cast("long").eqNullSafe(F.col("_pii_id")) & (F.col("_own_key") == F.col("_pii_key"))
