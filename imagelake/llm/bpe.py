@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import os
 import re
 import threading
 from collections.abc import Iterator
@@ -192,12 +193,13 @@ _encoders: dict[str, PieceEncoder] = {}
 _lock = threading.Lock()
 
 
-def encoder_for(tokenizer_json: str) -> PieceEncoder:
+def encoder_for(tokenizer_json: str, cache_pieces: int = 1_000_000) -> PieceEncoder:
     """One encoder for each vocabulary and Python worker, so that its cache lasts from task to task."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core; threads of our own only cost memory
     key = hashlib.md5(tokenizer_json.encode()).hexdigest()
     with _lock:
         if key not in _encoders:
-            _encoders[key] = PieceEncoder(tokenizer_json)
+            _encoders[key] = PieceEncoder(tokenizer_json, cache_pieces)
         return _encoders[key]
 
 
@@ -217,7 +219,7 @@ def character_starts(ids: np.ndarray, lengths: np.ndarray, data: np.ndarray) ->
     return characters[first] if len(ids) else first
 
 
-def bpe_encode(docs: DataFrame, tokenizer_json: str, id_column: str = "doc_id", text_column: str = "text", offsets: bool = False, run_bytes: int = 4 << 20) -> DataFrame:
+def bpe_encode(docs: DataFrame, tokenizer_json: str, id_column: str = "doc_id", text_column: str = "text", offsets: bool = False, run_bytes: int = 2 << 20, cache_pieces: int = 400_000) -> DataFrame:
     """Each document's token ids: (doc_id, ids array<int>), and with offsets also (starts array<int>).
 
     starts has, for each id, the place of the character that its first byte belongs to; ids that split a character
@@ -228,7 +230,7 @@ def bpe_encode(docs: DataFrame, tokenizer_json: str, id_column: str = "doc_id",
     shared = spark.sparkContext.broadcast(tokenizer_json)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_for(shared.value)
+        encoder = encoder_for(shared.value, cache_pieces)
         lengths = np.diff(token_bytes(shared.value)[1]) if offsets else None
         for batch in batches:
             texts = _null_free(batch.column(1))
@@ -284,20 +286,3 @@ def _valid(data: bytes) -> bool:
     except UnicodeDecodeError:
         return False
     return True
-
-
-def digests(decoded: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of what bpe_decode returned."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelled = np.array([], object)
-        for batch in batches:
-            lists = batch.column(1)
-            flat, at = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))))
-            if len(flat) and flat.max() >= len(spelled):
-                spelled = np.array([str(i) for i in range(int(flat.max()) + 1)], object)
-            shas = [hashlib.sha256(" ".join(spelled[flat[a:b]].tolist()).encode()).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at), pa.int64()), pa.array(shas, pa.string()), batch.column(2)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    narrow = decoded.select(F.col(id_column).alias("id"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
-    return narrow.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_column)

@@ -35,8 +35,8 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = bpe.tokenizer_of_ranks(bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
-    encoded = bpe.bpe_encode(documents(spark, sf_dir), tokenizer)
-    return bpe.digests(bpe.bpe_decode(encoded, tokenizer))
+    decoded = bpe.bpe_decode(bpe.bpe_encode(documents(spark, sf_dir), tokenizer), tokenizer)
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
