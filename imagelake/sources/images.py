@@ -88,7 +88,7 @@ def read_blocks_from_store(spark: SparkSession, path: str, block_size: int = 409
         conf={"org.apache.spark.input.FixedLengthBinaryInputFormat.recordLength": str(block_size)},
     )
     name = path.rstrip("/").rsplit("/", 1)[-1]
-    return spark.createDataFrame(rows.map(lambda r: (name, tier, r[0] // block_size, bytes(r[1]))), SCHEMA)
+    return spark.createDataFrame(rows.map(lambda r: (name, tier, r[0], bytes(r[1]))), SCHEMA)
 
 
 def block_table(spark: SparkSession, path: str, block_size: int = 4096) -> DataFrame:
