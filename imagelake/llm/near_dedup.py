@@ -187,34 +187,62 @@ def _cells(members: DataFrame, block: int) -> DataFrame:
     )
 
 
-def _pairs_in_cell(percent: int, margin: float):
-    """Pairs of one cell from different components, first met in this band, whose estimate allows the similarity."""
-    import pandas as pd
-
-    def run(cell: pd.DataFrame) -> pd.DataFrame:
-        cell = cell.sort_values("id").reset_index(drop=True)
-        i, j = cell["i"].iat[0], cell["j"].iat[0]
-        left, right = cell[cell["own"] == i], cell[cell["own"] == j]
-        regs = {k: np.frombuffer(b"".join(x["regs"]), np.uint16).reshape(-1, BUCKETS) for k, x in (("l", left), ("r", right))}
-        bands = {k: np.stack([np.asarray(v) for v in x["bands"]]) if len(x) else np.zeros((0, 1)) for k, x in (("l", left), ("r", right))}
-        band = int(cell["band"].iat[0])
-        a, b = [], []
-        r_id, r_n, r_c = right["id"].to_numpy(), right["n"].to_numpy(), right["component"].to_numpy()
-        for row, (one, n, component) in enumerate(zip(left["id"], left["n"], left["component"], strict=True)):
-            at = np.flatnonzero((r_c != component) & ((r_id > one) if i == j else np.ones(len(r_id), bool)))
-            least, most = np.minimum(n, r_n[at]), np.maximum(n, r_n[at])
-            at = at[100 * least >= percent * most]
-            if len(at):
-                guess = estimate((regs["l"][row] == regs["r"][at]).sum(axis=1), np.full(len(at), n), r_n[at])
-                at = at[guess >= percent / 100 - margin]
-            if len(at) and band:
-                at = at[~(bands["l"][row][:band] == bands["r"][at][:, :band]).any(axis=1)]
-            a.append(np.full(len(at), one))
-            b.append(r_id[at])
-        a, b = np.concatenate(a or [[]]).astype(np.int64), np.concatenate(b or [[]]).astype(np.int64)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return run
+def _pairs_in_cells(percent: int, margin: float):
+    """Pairs of each cell from different components, first met in this band, whose estimate allows the similarity.
+
+    Rows come sorted by cell, so a cell is complete when the next one begins; a task holds one batch and one cell.
+    """
+    names = ("key", "i", "j", "own", "band", "id", "component", "n", "regs", "bands")
+
+    def pairs(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
+        cell = np.ones(len(rows["id"]) + 1, bool)
+        cell[1:-1] = (rows["key"][1:] != rows["key"][:-1]) | (rows["i"][1:] != rows["i"][:-1]) | (rows["j"][1:] != rows["j"][:-1])
+        at = np.flatnonzero(cell)
+        found_a, found_b = [], []
+        for begin, end in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            if end - begin < 2:
+                continue
+            own, i, j = rows["own"][begin:end], rows["i"][begin], rows["j"][begin]
+            left, right = begin + np.flatnonzero(own == i), begin + np.flatnonzero(own == j)
+            for some in range(0, len(left), max(1, 20_000 // max(1, len(right)))):
+                part = left[some : some + max(1, 20_000 // max(1, len(right)))]
+                a, b = np.repeat(part, len(right)), np.tile(right, len(part))
+                n_a, n_b = rows["n"][a], rows["n"][b]
+                keep = (rows["component"][a] != rows["component"][b]) & (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b))
+                if i == j:
+                    keep &= rows["id"][a] < rows["id"][b]
+                a, b = a[keep], b[keep]
+                guess = estimate((rows["regs"][a] == rows["regs"][b]).sum(axis=1), rows["n"][a], rows["n"][b])
+                a, b = a[guess >= percent / 100 - margin], b[guess >= percent / 100 - margin]
+                band = int(rows["band"][begin])
+                fresh = ~(rows["bands"][a, :band] == rows["bands"][b, :band]).any(axis=1)
+                found_a.append(rows["id"][a[fresh]])
+                found_b.append(rows["id"][b[fresh]])
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found_a, found_b))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
+
+    def arrays(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        rows = {name: batch.column(k).to_numpy(zero_copy_only=False) for k, name in enumerate(names[:-2])}
+        rows["regs"] = np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint16).reshape(-1, BUCKETS)
+        rows["bands"] = batch.column(9).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+        return rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 4000):
+                rows = arrays(batch.slice(begin, 4000))
+                if kept:
+                    rows = {k: np.concatenate((kept[k], v)) for k, v in rows.items()}
+                last = [rows[k][-1] for k in ("key", "i", "j")]
+                open_at = int(np.argmax((rows["key"] == last[0]) & (rows["i"] == last[1]) & (rows["j"] == last[2])))
+                kept = {k: v[open_at:] for k, v in rows.items()}
+                if open_at:
+                    yield pairs({k: v[:open_at] for k, v in rows.items()})
+        if kept:
+            yield pairs(kept)
+
+    return names, run
 
 
 def near_dedup(
@@ -266,7 +294,9 @@ def near_dedup(
     open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     rest = placed.join(open_keys, "key", "left_semi").join(reps, "id").select("key", "band", "id", "component", "n", "regs", "bands")
     cells = _cells(rest, block)
-    more = cells.groupBy("key", "i", "j").applyInPandas(_pairs_in_cell(percent, margin), "a long, b long").distinct()
+    names, run = _pairs_in_cells(percent, margin)
+    cells = cells.select(*names).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
+    more = cells.mapInArrow(run, "a long, b long").distinct()
     more = cut(more.join(likely, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         links = cut(links.union(verified(more)))
