@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from imagelake.llm.cells import Rows, pairs_of_cells, whole_cells
 from imagelake.llm.shared import broadcast_if_small, connected_components, cut
 from imagelake.llm.text import LOWER, U64, chunks, mix, stream, word_hashes, words
 
@@ -171,80 +172,85 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").where(100 * both >= percent * (F.size("s_a") + F.size("s_b") - both)).select("a", "b")
 
 
+CELL = ("key", "i", "j")
+
+
 def _cells(members: DataFrame, block: int) -> DataFrame:
-    """members (key, id, ...) with a cell: the pairs of blocks of about `block` members that each member takes part in."""
-    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
+    """members (key, size, id, ...) with a cell: the pairs of blocks of about `block` members that each member takes part in."""
     parts = F.ceil(F.col("size") / block).cast("int")
     own = F.pmod(F.xxhash64("id", "key"), F.col("parts")).cast("int")
     return (
-        members.join(sizes, "key")
-        .withColumn("parts", parts)
+        members.withColumn("parts", parts)
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .withColumn("i", F.least("own", "other"))
         .withColumn("j", F.greatest("own", "other"))
         .drop("size", "parts", "other")
+        .repartition(*CELL)
+        .sortWithinPartitions(*CELL, "id")
     )
 
 
-def _pairs_in_cells(percent: int, margin: float):
+def _pairs_in_cells(percent: int, margin: float, exact: bool):
     """Pairs of each cell from different components, first met in this band, whose estimate allows the similarity.
 
-    Rows come sorted by cell, so a cell is complete when the next one begins; a task holds one batch and one cell.
+    With exact the rows hold the full sets: pairs are verified at once, and of several links between two components one is enough.
     """
-    names = ("key", "i", "j", "own", "band", "id", "component", "n", "regs", "bands")
-
-    def pairs(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
-        cell = np.ones(len(rows["id"]) + 1, bool)
-        cell[1:-1] = (rows["key"][1:] != rows["key"][:-1]) | (rows["i"][1:] != rows["i"][:-1]) | (rows["j"][1:] != rows["j"][:-1])
-        at = np.flatnonzero(cell)
-        found_a, found_b = [], []
-        for begin, end in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            if end - begin < 2:
-                continue
-            own, i, j = rows["own"][begin:end], rows["i"][begin], rows["j"][begin]
-            left, right = begin + np.flatnonzero(own == i), begin + np.flatnonzero(own == j)
-            for some in range(0, len(left), max(1, 20_000 // max(1, len(right)))):
-                part = left[some : some + max(1, 20_000 // max(1, len(right)))]
-                a, b = np.repeat(part, len(right)), np.tile(right, len(part))
-                n_a, n_b = rows["n"][a], rows["n"][b]
-                keep = (rows["component"][a] != rows["component"][b]) & (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b))
-                if i == j:
-                    keep &= rows["id"][a] < rows["id"][b]
-                a, b = a[keep], b[keep]
-                guess = estimate((rows["regs"][a] == rows["regs"][b]).sum(axis=1), rows["n"][a], rows["n"][b])
-                a, b = a[guess >= percent / 100 - margin], b[guess >= percent / 100 - margin]
-                band = int(rows["band"][begin])
-                fresh = ~(rows["bands"][a, :band] == rows["bands"][b, :band]).any(axis=1)
-                found_a.append(rows["id"][a[fresh]])
-                found_b.append(rows["id"][b[fresh]])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found_a, found_b))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
-
-    def arrays(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-        rows = {name: batch.column(k).to_numpy(zero_copy_only=False) for k, name in enumerate(names[:-2])}
+    names = (*CELL, "own", "band", "id", "component", "n", "regs", "bands", *(["shingles"] if exact else []))
+
+    def arrays(batch: pa.RecordBatch) -> Rows:
+        rows = {name: batch.column(k).to_numpy(zero_copy_only=False) for k, name in enumerate(names[:8])}
         rows["regs"] = np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint16).reshape(-1, BUCKETS)
         rows["bands"] = batch.column(9).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+        if exact:
+            rows["shingles"] = np.empty(batch.num_rows, object)
+            rows["shingles"][:] = [batch.column(10)[k].values.to_numpy(zero_copy_only=False).view(U64) for k in range(batch.num_rows)]  # sorted so
         return rows
 
+    def similar(rows: Rows, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which of the pairs, sorted by a, are similar on their full sets."""
+        out = np.zeros(len(a), bool)
+        for begin, end in _runs(a):
+            one, others = rows["shingles"][a[begin]], [rows["shingles"][x] for x in b[begin:end]]
+            sizes = np.array([len(x) for x in others])
+            every = np.concatenate(others)
+            at = np.minimum(np.searchsorted(one, every), len(one) - 1)
+            both = np.add.reduceat((one[at] == every).astype(np.int64), np.cumsum(sizes) - sizes)
+            out[begin:end] = 100 * both >= percent * (sizes + len(one) - both)
+        return out
+
+    def sieve(rows: Rows, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = rows["n"]
+        keep = (rows["component"][a] != rows["component"][b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+        a, b = a[keep], b[keep]
+        keep = estimate((rows["regs"][a] == rows["regs"][b]).sum(axis=1), n[a], n[b]) >= percent / 100 - margin
+        a, b = a[keep], b[keep]
+        earlier = np.arange(rows["bands"].shape[1]) < rows["band"][a][:, None]
+        keep = ~((rows["bands"][a] == rows["bands"][b]) & earlier).any(axis=1)
+        a, b = a[keep], b[keep]
+        if exact and len(a):
+            keep = similar(rows, a, b)
+            a, b = a[keep], b[keep]
+            ends = np.sort(np.stack([rows["component"][a], rows["component"][b]], axis=1), axis=1)
+            once = np.unique(ends, axis=0, return_index=True)[1]
+            a, b = a[once], b[once]
+        return rows["id"][a], rows["id"][b]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 4000):
-                rows = arrays(batch.slice(begin, 4000))
-                if kept:
-                    rows = {k: np.concatenate((kept[k], v)) for k, v in rows.items()}
-                last = [rows[k][-1] for k in ("key", "i", "j")]
-                open_at = int(np.argmax((rows["key"] == last[0]) & (rows["i"] == last[1]) & (rows["j"] == last[2])))
-                kept = {k: v[open_at:] for k, v in rows.items()}
-                if open_at:
-                    yield pairs({k: v[:open_at] for k, v in rows.items()})
-        if kept:
-            yield pairs(kept)
+        for rows in whole_cells(batches, arrays, CELL):
+            for a, b in pairs_of_cells(rows, CELL, 20_000):
+                a, b = sieve(rows, a, b)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
 
     return names, run
 
 
+def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Where runs of equal values begin and end."""
+    at = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1], [True]))).tolist()
+    return zip(at[:-1], at[1:], strict=True)
+
+
 def near_dedup(
     docs: DataFrame,
     id_column: str = "doc_id",
@@ -253,14 +259,16 @@ def near_dedup(
     percent: int = 80,
     rows_in_band: int = 5,
     deviations: float = 4.0,
-    block: int = 1000,
+    block: int = 500,
+    small: int = 50,
 ) -> DataFrame:
     """Groups of documents that links join: a link is a Jaccard similarity of shingle sets of percent / 100 or more.
 
     Documents with the same set are one class. Classes that share a band of compressed registers are candidates. First
     each class meets one class of each of its bands, the pairs are sieved by the collision-corrected estimate and
     verified on full sets. Bands whose classes then still lie in several components go on: all their pairs from
-    different components are compared by estimate, in blocks, and verified the same way. A pair inside a component can't
+    different components are compared by estimate, in blocks, and verified: those of bands with more than `small` classes
+    in the task that compares them, the others by joins. A pair inside a component can't
     change the groups, so it isn't compared. The sieve's margin is `deviations` standard deviations of the estimate.
 
     Returns (doc_id, n_shingles, component_id, kept): component_id is the smallest doc_id that links reach, kept whether
@@ -291,16 +299,22 @@ def near_dedup(
     components = cut(connected_components(links))
     placed = members.join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     placed = cut(placed.drop("pivot"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rest = placed.join(open_keys, "key", "left_semi").join(reps, "id").select("key", "band", "id", "component", "n", "regs", "bands")
-    cells = _cells(rest, block)
-    names, run = _pairs_in_cells(percent, margin)
-    cells = cells.select(*names).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
-    more = cells.mapInArrow(run, "a long, b long").distinct()
-    more = cut(more.join(likely, ["a", "b"], "left_anti"))
+    open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size")
+    rest = cut(placed.join(open_keys, "key").join(reps, "id").select("key", "size", "band", "id", "component", "n", "regs", "bands"))
+    # the pairs of small bands go on as rows; in large ones they are verified where they are, so that their number stays inside a task
+    names, run = _pairs_in_cells(percent, margin, exact=False)
+    few = _cells(rest.where(F.col("size") <= small), block).select(*names).mapInArrow(run, "a long, b long").distinct()
+    few = cut(few.join(likely, ["a", "b"], "left_anti"))
+    more = verified(few)
+    large = rest.where(F.col("size") > small)
+    wanted = cut(large.select("id").distinct())
+    if not wanted.isEmpty():
+        sets = full_sets(docs, wanted, wanted.count(), id_column, text_column, shingle).dropDuplicates(["id"])
+        names, run = _pairs_in_cells(percent, margin, exact=True)
+        more = more.union(_cells(large.join(sets, "id"), block).select(*names).mapInArrow(run, "a long, b long"))
+    more = cut(more.distinct())
     if not more.isEmpty():
-        links = cut(links.union(verified(more)))
-        components = cut(connected_components(links))
+        components = cut(connected_components(links.union(more)))
     grouped = classes.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component_id"))
     out = rows.select("id", "d1", "d2", "n").join(grouped, ["d1", "d2", "n"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
