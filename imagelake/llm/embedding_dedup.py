@@ -6,11 +6,11 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from imagelake.llm.cells import Rows, pairs_of_cells, whole_cells
 from imagelake.llm.shared import connected_components, cut
 
 
@@ -77,43 +77,32 @@ def _met(first_a, second_a, first_b, second_b):
     return (first_a == first_b) | (second_a == first_b) | (first_a == second_b)
 
 
-def _cell(threshold: float):
-    def run(cell: pd.DataFrame) -> pd.DataFrame:
-        """The links of one cell, counted per vector, and edges that join what they join. A link counts where it is met first."""
-        cell = cell.sort_values(["class", "probe"]).drop_duplicates("class").reset_index(drop=True)
-        i, j, table, bucket = (cell[c].iat[0] for c in ("i", "j", "table", "bucket"))
-        x = np.stack([np.asarray(v, np.float64) for v in cell["x"]])
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        one, two = np.stack(cell["first"].to_list()), np.stack(cell["second"].to_list())
-        ids, copies, own = cell["class"].to_numpy(), cell["copies"].to_numpy(), cell["own"].to_numpy()
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        a, b = np.nonzero(x[left] @ x[right].T >= threshold)
-        a, b = left[a], right[b]
-        keep = a < b if i == j else np.ones(len(a), bool)
-        a, b = a[keep], b[keep]
-        # exactly in one place: in the first table where they meet, and there in the smallest bucket they share
-        met = _met(one[a, : table + 1], two[a, : table + 1], one[b, : table + 1], two[b, : table + 1])
-        keep = met[:, table] & ~met[:, :table].any(axis=1)
-        a, b = a[keep], b[keep]
-        f_a, s_a, f_b, s_b = one[a, table], two[a, table], one[b, table], two[b, table]
-        biggest = np.iinfo(np.int64).max
-        place = np.where(f_a == f_b, f_a, np.minimum(np.where(f_a == s_b, f_a, biggest), np.where(s_a == f_b, f_b, biggest)))
-        keep = place == bucket
-        a, b = a[keep], b[keep]
-        n = np.bincount(a, copies[b], len(ids)) + np.bincount(b, copies[a], len(ids))
-        label = np.arange(len(ids))
-        while True:  # smallest label among linked vectors, until nothing changes
-            new = label.copy()
-            np.minimum.at(new, a, label[b])
-            np.minimum.at(new, b, label[a])
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
-        used = np.flatnonzero(n)
-        return pd.DataFrame({"class": ids[used], "n": n[used].astype(np.int64), "to": ids[label[used]]})
-
-    return run
+def _counted(rows: Rows, a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The links among pairs (a, b), as counts per class and edges that join what they join. A link counts where it is met first."""
+    keep = np.einsum("ij,ij->i", rows["x"][a], rows["x"][b]) >= threshold
+    a, b = a[keep], b[keep]
+    table = rows["table"][a]
+    earlier = np.arange(rows["first"].shape[1]) < table[:, None]
+    met = _met(rows["first"][a], rows["second"][a], rows["first"][b], rows["second"][b])
+    keep = ~(met & earlier).any(axis=1)
+    a, b, table = a[keep], b[keep], table[keep]
+    # in the first table where they meet, the smallest bucket they share
+    f_a, s_a, f_b, s_b = (rows[k][x, table] for x in (a, b) for k in ("first", "second"))
+    biggest = np.iinfo(np.int64).max
+    place = np.where(f_a == f_b, f_a, np.minimum(np.where(f_a == s_b, f_a, biggest), np.where(s_a == f_b, f_b, biggest)))
+    a, b = a[place == rows["bucket"][a]], b[place == rows["bucket"][a]]
+    ids, place = np.unique(np.concatenate((rows["class"][a], rows["class"][b])), return_inverse=True)
+    a_id, b_id = place[: len(a)], place[len(a) :]
+    n = np.bincount(a_id, rows["copies"][b], len(ids)) + np.bincount(b_id, rows["copies"][a], len(ids))
+    label = np.arange(len(ids))
+    while True:  # smallest label among linked classes, until nothing changes
+        new = label.copy()
+        np.minimum.at(new, a_id, label[b_id])
+        np.minimum.at(new, b_id, label[a_id])
+        new = new[new]
+        if (new == label).all():
+            return ids, n.astype(np.int64), ids[label]
+        label = new
 
 
 def embedding_dedup(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", threshold: float = 0.95, block: int = 1000) -> DataFrame:
@@ -181,4 +170,20 @@ def _links(classes: DataFrame, dim: int, tables: int, hashes: int, threshold: fl
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select("class", "table", "bucket", "probe", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     )
-    return cells.join(hashed, "class").groupBy("table", "bucket", "i", "j").applyInPandas(_cell(threshold), "class long, n long, to long")
+    names = ("table", "bucket", "i", "j", "own", "class", "copies", "x", "first", "second")
+    keys = names[:4]
+
+    def arrays(batch: pa.RecordBatch) -> Rows:
+        rows = {k: batch.column(c).to_numpy(zero_copy_only=False) for c, k in enumerate(names[:7])}
+        lists = {k: batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for c, k in enumerate(names) if c >= 7}
+        lists["x"] = lists["x"] / np.linalg.norm(lists["x"], axis=1, keepdims=True)
+        return rows | lists
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_cells(batches, arrays, keys):
+            for a, b in pairs_of_cells(rows, keys):
+                found = _counted(rows, a, b, threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["class", "n", "to"])
+
+    rows = cells.join(hashed, "class").select(*names).repartition(*keys).sortWithinPartitions(*keys, "class")
+    return rows.mapInArrow(count, "class long, n long, to long")
