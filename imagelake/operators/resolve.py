@@ -46,7 +46,7 @@ def asof_lookup(probes: DataFrame, log: DataFrame, key: str, version: str, probe
     return found.where("_side = 1").select("_probe.*", *[F.when(hit, F.col("_found")[c]).alias(f"found_{c}") for c in values])
 
 
-def neighbor_lookup(probes: DataFrame, table: DataFrame, probe: str, value: str, mode: str, buckets: int = 200) -> DataFrame:
+def neighbor_lookup(probes: DataFrame, table: DataFrame, probe: str, value: str, mode: str, buckets: int = 64) -> DataFrame:
     """probes with `neighbor`: the value of table that stands in the relation `mode` to the probe, or null if none does.
 
     EQ is a join. For the others, values and probes are dealt to ranges of about equal size and a window finds the
