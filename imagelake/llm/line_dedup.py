@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from imagelake.llm.shared import broadcast_if_small, cut
+from imagelake.llm.shared import broadcast_if_small, cut, discard
 
 NO_ID = -(1 << 63)
 
@@ -33,9 +33,10 @@ def rarity_table(docs: DataFrame, text_column: str, bits: int) -> bytes:
 
     Counts cover all words of all documents. The driver gets one number per bucket, at every size of the input.
     """
-    word = F.explode(tokens(F.translate(F.col(text_column).cast("string"), "\n", " "))).alias("word")
+    lines = docs.select(F.explode(F.split(F.col(text_column).cast("string"), "\n")).alias("line"))
     bucket = F.shiftrightunsigned(F.xxhash64("word"), 64 - bits).cast("int")
-    found = docs.select(word).where("word <> ''").select(bucket.alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+    words = lines.select(F.explode(tokens(F.col("line"))).alias("word")).where("word <> ''")
+    found = words.select(bucket.alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
     scaled = F.least(F.lit(127), F.floor(6 * F.log("n"))).cast("tinyint")
     table = bytearray(1 << bits)
     for b, n in zip(*(c.to_pylist() for c in found.select("bucket", scaled).toArrow().columns), strict=True):
@@ -48,41 +49,28 @@ def ordered_tokens(line: Column, rarity: bytes) -> Column:
     bits = int(math.log2(len(rarity)))
     table = F.lit(rarity)
 
-    def number(word: Column) -> Column:
-        h = F.xxhash64(word)
+    def number(h: Column) -> Column:
         place = F.shiftrightunsigned(h, 64 - bits).cast("int") + 1
         rank = F.ascii(F.substring(table, place, F.lit(1)).cast("string"))
         return F.shiftleft(rank.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h.bitwiseXOR(F.shiftleft(h, 23)), 8))
 
-    return F.sort_array(F.array_distinct(F.transform(F.array_remove(tokens(line), ""), number)))
+    return F.sort_array(F.array_distinct(F.transform(F.transform(F.array_remove(tokens(line), ""), lambda word: F.xxhash64(word)), number)))
 
 
-def _bitmap(keys: DataFrame, bits: int) -> bytes:
-    """2**bits bits of which those of keys (token) are set; its size doesn't depend on the input."""
-    place = F.shiftrightunsigned(F.xxhash64("token"), 64 - bits)
-    words = keys.select(F.shiftrightunsigned(place, 3).cast("int").alias("at"), F.call_function("shiftleft", F.lit(1), place.bitwiseAND(F.lit(7)).cast("int")).alias("bit"))
-    out = bytearray(1 << (bits - 3))
-    found = words.groupBy("at").agg(F.bit_or("bit").alias("byte")).toArrow()
-    for at, byte in zip(found["at"].to_pylist(), found["byte"].to_pylist(), strict=True):
-        out[at] = byte
-    return bytes(out)
+def signature(words: str) -> Column:
+    """64 bits, each set if a word hashes to it. Two sets differ in as many words as their signatures in bits, or more."""
+    one = F.lit(1).cast("long")
+    return F.aggregate(words, F.lit(0).cast("long"), lambda bits, w: bits.bitwiseOR(F.call_function("shiftleft", one, w.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
 
 
-def _in_bitmap(token: Column, bitmap: bytes) -> Column:
-    bits = int(math.log2(len(bitmap))) + 3
-    place = F.shiftrightunsigned(F.xxhash64(token), 64 - bits)
-    byte = F.conv(F.hex(F.substring(F.lit(bitmap), F.shiftrightunsigned(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.call_function("shiftright", byte, place.bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1
-
-
-def line_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = 80, rarity_bits: int = 20, bitmap_bits: int = 23, carry: tuple[str, ...] = ()) -> DataFrame:
+def line_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = 80, rarity_bits: int = 18, carry: tuple[str, ...] = ()) -> DataFrame:
     """Removes every line that is similar to an earlier line of any document.
 
     A line is the set of its lower-case words; two lines are similar if their Jaccard similarity is percent / 100 or
     more. Earlier means a smaller doc_id, then a smaller place in the text. The join is exact: a line's words are
     ordered by rarity over the whole corpus, similar lines share a word in their prefixes, lengths and positions
-    sieve the pairs, and the rest is verified on full sets. Equal sets are one class. Each class first meets the earliest
-    class of each word of its prefix; classes that find no match there meet all earlier classes of these words.
+    and bit signatures sieve the pairs, and the rest is verified on full sets. Equal sets are one class. Each class first meets the earliest
+    document's classes of each word of its prefix; classes that find no match there meet all earlier ones of these words.
 
     Returns (doc_id, n_lines, n_removed, removed array<int>, text): removed holds places from 0, text is what is left, its
     lines joined again. Lines without a word are never removed. A null text has no lines and stays null; an empty one has
@@ -90,7 +78,7 @@ def line_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     don't remove each other's lines. An empty table gives no rows. Columns named in carry follow as they
     are; others are not read.
     """
-    removed = removed_lines(docs, id_column, text_column, percent, rarity_bits, bitmap_bits)
+    removed = removed_lines(docs, id_column, text_column, percent, rarity_bits)
     text = F.col(text_column).cast("string")
     n_lines = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1).cast("long")
     keyed = docs.select(F.col(id_column).alias("id"), text.alias("text"), n_lines.alias("n_lines"), F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("row"), F.xxhash64(text).alias("text_key"), *[F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry)])
@@ -107,7 +95,7 @@ def line_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     )
 
 
-def removed_lines(docs: DataFrame, id_column: str, text_column: str, percent: int, rarity_bits: int, bitmap_bits: int) -> DataFrame:
+def removed_lines(docs: DataFrame, id_column: str, text_column: str, percent: int, rarity_bits: int) -> DataFrame:
     """(row, text_key, removed array<int>) of the documents that lose lines."""
     rarity = rarity_table(docs, text_column, rarity_bits)
     n, least = F.col("n"), F.ceil(F.lit(percent) * F.col("n") / 100)
@@ -116,57 +104,62 @@ def removed_lines(docs: DataFrame, id_column: str, text_column: str, percent: in
         _with_lines(docs, id_column, text_column)
         .where(F.btrim("line", F.lit(" \t\x0b\x0c\r")) != "")
         .withColumn("words", ordered_tokens(F.col("line"), rarity))
-        .select("row", "text_key", "line_no", F.size("words").alias("n"), F.xxhash64("words").alias("set"), F.xxhash64("words", F.lit(1)).alias("check"), "words")
-        .select("row", "text_key", "line_no", "n", "set", "check", F.slice("words", 1, F.when(n * (100 - percent) >= percent, n - least + 1).otherwise(0).cast("int")).alias("prefix"))
+        .select("row", "text_key", "line_no", F.size("words").alias("n"), F.xxhash64("words").alias("set"), F.xxhash64("words", F.lit(1)).alias("check"), signature("words").alias("bits"), "words")
+        .select("row", "text_key", "line_no", "n", "set", "check", "bits", F.slice("words", 1, F.when(n * (100 - percent) >= percent, n - least + 1).otherwise(0).cast("int")).alias("prefix"))
     )  # sets too small to differ from a similar one have no prefix
     at = F.struct("row", "text_key", "line_no")
-    prefixes = lines.select("set", "n", at.alias("at"), F.posexplode("prefix").alias("pos", "token"))
-    several = prefixes.groupBy("token").agg(F.min("set").alias("lo"), F.max("set").alias("hi")).where("lo <> hi")
-    bitmap = _bitmap(several, bitmap_bits)
-    # what may share a word of its prefix with another set; a set once, with its first line
-    shared = cut(prefixes.where(_in_bitmap(F.col("token"), bitmap)).groupBy("token", "set", "n", "pos").agg(F.min("at").alias("at")))
-    first = shared.groupBy("token").agg(F.min(F.struct("at", "set", "n", "pos")).alias("p"), F.count("*").alias("sets")).where("sets > 1")
+    # a class is a set; its first line stands for it
+    classes = lines.groupBy("set", "check").agg(F.min(at).alias("first"), F.count("*").alias("copies"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits"), F.any_value("prefix").alias("prefix"))
+    classes = cut(classes)
+    words = classes.select("set", "n", F.col("first.row").alias("row"), F.posexplode("prefix").alias("pos", "token")).repartition("token")
+    # words that several classes share, with the earliest document among them; one shuffle serves count and join
+    several = words.groupBy("token").agg(F.min("row").alias("pivot"), F.min("set").alias("lo"), F.max("set").alias("hi")).where("lo <> hi").select("token", "pivot")
+    shared = cut(words.join(several, "token"))
 
     def fits(n_a: Column, pos_a: Column, n_b: Column, pos_b: Column) -> Column:
         """Length filter, and positional filter: this word and what follows it must suffice for the overlap."""
         return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & ((100 + percent) * (1 + F.least(n_a - pos_a - 1, n_b - pos_b - 1)) >= percent * (n_a + n_b))
 
-    side = lambda k, of: F.struct(F.col(f"{of}at").alias("at"), F.col(f"{of}set").alias("set")).alias(k)
-    star = (
-        shared.join(first, "token")
-        .where((F.col("set") != F.col("p.set")) & fits(F.col("n"), F.col("pos"), F.col("p.n"), F.col("p.pos")))
-        .select(side("late", ""), side("early", "p."))
-        .distinct()
-    )
-    matched = cut(_verified(docs, id_column, text_column, rarity, cut(star), percent).select("late.set").distinct())
-    later = shared.join(first.select("token", F.col("p.set").alias("pivot")), "token").where("set <> pivot").join(matched, "set", "left_anti")
-    other = shared.select("token", *[F.col(c).alias(f"o_{c}") for c in ("set", "n", "pos", "at")])
-    rest = (
-        later.join(other, "token")
-        .where((F.col("o_at") < F.col("at")) & (F.col("o_set") != F.col("pivot")) & (F.col("o_set") != F.col("set")) & fits(F.col("n"), F.col("pos"), F.col("o_n"), F.col("o_pos")))
-        .select(side("late", ""), side("early", "o_"))
-        .distinct()
-    )
-    similar = matched.union(_verified(docs, id_column, text_column, rarity, cut(rest), percent).select("late.set")).distinct().withColumn("similar", F.lit(True))
-    classes = lines.groupBy("set", "check").agg(F.min(at).alias("first")).join(similar, "set", "left")
+    other = shared.select("token", *[F.col(c).alias(f"o_{c}") for c in ("set", "n", "pos", "row", "pivot")])
+    fit = (F.col("set") != F.col("o_set")) & fits(F.col("n"), F.col("pos"), F.col("o_n"), F.col("o_pos"))
+    ends = (F.least("set", "o_set").alias("a"), F.greatest("set", "o_set").alias("b"))
+    star = cut(shared.join(other.where("o_row = o_pivot"), "token").where(fit).select(*ends).distinct())
+    matched = _later(docs, id_column, text_column, rarity, star, classes, percent)
+    # classes without a match so far meet all earlier ones of their words; pairs with the earliest document are done
+    rest = shared.where("row <> pivot").join(matched.select("set"), "set", "left_anti").join(other.where("o_row <> o_pivot"), "token")
+    rest = cut(rest.where(fit & (F.col("o_row") <= F.col("row"))).select(*ends).distinct())
+    discard(shared)
+    similar = matched.union(_later(docs, id_column, text_column, rarity, rest, classes, percent)).distinct().withColumn("similar", F.lit(True))
+    losing = classes.select("set", "check", "first", "copies").join(similar, ["set", "check"], "left").where("copies > 1 or similar")
     return (
         lines.select("row", "text_key", "line_no", "set", "check")
-        .join(classes, ["set", "check"])
+        .join(losing, ["set", "check"])
         .where(F.col("similar").isNotNull() | (F.col("first") != at))
         .groupBy("row", "text_key")
         .agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
     )
 
 
-def _verified(docs: DataFrame, id_column: str, text_column: str, rarity: bytes, pairs: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (late, early) whose full sets are similar. Only the lines of the pairs are read and ordered again."""
-    wanted = cut(pairs.select("late.at").union(pairs.select("early.at")).distinct().select("at.*"))
-    rows = cut(wanted.select("row").distinct())
+def _later(docs: DataFrame, id_column: str, text_column: str, rarity: bytes, pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(set, check) of the later class of each of the pairs (a, b) that is similar on full sets.
+
+    Only the lines that stand for the pairs' classes are read and ordered again.
+    """
+    of = lambda k: classes.select(F.col("set").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"))
+    apart = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b")))
+    near = pairs.join(of("a"), "a").join(of("b"), "b").where((100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    near = cut(near.distinct())
+    ids = near.select(F.col("a").alias("set")).union(near.select(F.col("b").alias("set"))).distinct()
+    wanted = cut(classes.select("set", "check", "first").join(ids, "set", "left_semi").select("set", "check", "first.*"))
+    rows = cut(wanted.select(F.col("row").alias("_row")).distinct())
     own = docs.withColumn("_row", F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)))
-    own = own.join(broadcast_if_small(rows.withColumnRenamed("row", "_row"), rows.count(), 16), "_row", "left_semi")
-    lines = _with_lines(own, id_column, text_column).join(wanted, ["row", "text_key", "line_no"], "left_semi").dropDuplicates(["row", "text_key", "line_no"])
-    sets = cut(lines.select(F.struct("row", "text_key", "line_no").alias("at"), ordered_tokens(F.col("line"), rarity).alias("words")))
-    get = lambda k: sets.select(F.col("at").alias(f"{k}_at"), F.col("words").alias(f"{k}_words"))
+    own = own.join(broadcast_if_small(rows, rows.count(), 16), "_row", "left_semi")
+    place = ["row", "text_key", "line_no"]
+    found = _with_lines(own, id_column, text_column).join(broadcast_if_small(wanted, wanted.count(), 48), place)
+    sets = cut(found.select("set", "check", F.struct(*place).alias("first"), ordered_tokens(F.col("line"), rarity).alias("words")))
+    get = lambda k: sets.select(F.col("set").alias(k), F.struct("first", "set", "check").alias(f"{k}_id"), F.col("words").alias(f"{k}_words"))
     both = F.size(F.array_intersect("a_words", "b_words"))
-    joined = pairs.join(get("a"), F.col("late.at") == F.col("a_at")).join(get("b"), F.col("early.at") == F.col("b_at"))
-    return joined.where((100 + percent) * both >= percent * (F.size("a_words") + F.size("b_words"))).select("late", "early")
+    good = near.join(get("a"), "a").join(get("b"), "b").where((100 + percent) * both >= percent * (F.size("a_words") + F.size("b_words")))
+    late = cut(good.select(F.greatest("a_id", "b_id").alias("late")).select("late.set", "late.check").distinct())
+    discard(pairs, near, wanted, rows, sets)
+    return late

@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _written: list[str] = []
+_path_of: dict[int, str] = {}
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,19 +31,38 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again, which cuts its lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/imagelake-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")  # the shuffles behind the table aren't needed again
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before) if before is not None else spark.conf.unset(_CLEAN)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _path_of[id(out)] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that cut() returned and that nothing reads any more."""
+    for table in tables:
+        path = _path_of.pop(id(table), None)
+        if path in _written:
+            _written.remove(path)
+            _delete(table.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True))
 
 
 def clean_up(spark: SparkSession) -> int:
     """Delete the tables that cut() wrote; call it once the results that use them are stored."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     gone = 0
+    _path_of.clear()
     while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        gone += bool(path.getFileSystem(conf).delete(path, True))
+        gone += _delete(spark, _written.pop())
     return gone
 
 
