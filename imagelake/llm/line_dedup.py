@@ -126,7 +126,8 @@ def removed_lines(docs: DataFrame, id_column: str, text_column: str, percent: in
     star = cut(shared.join(other.where("o_row = o_pivot"), "token").where(fit).select(*ends).distinct())
     matched = _later(docs, id_column, text_column, rarity, star, classes, percent)
     # classes without a match so far meet all earlier ones of their words; pairs with the earliest document are done
-    rest = shared.where("row <> pivot").join(matched.select("set"), "set", "left_anti").join(other.where("o_row <> o_pivot"), "token")
+    done = broadcast_if_small(matched.select("set"), matched.count(), 16)
+    rest = shared.where("row <> pivot").join(done, "set", "left_anti").join(other.where("o_row <> o_pivot"), "token")
     rest = cut(rest.where(fit & (F.col("o_row") <= F.col("row"))).select(*ends).distinct())
     discard(shared)
     similar = matched.union(_later(docs, id_column, text_column, rarity, rest, classes, percent)).distinct().withColumn("similar", F.lit(True))
