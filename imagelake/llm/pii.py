@@ -27,7 +27,8 @@ _PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2}|)"
 #: Tokens that could be identifiers: 6 to 64 letters, digits, _ or -, at least four of them digits.
 IDENTIFIER = r"(?<![A-Za-z0-9_-])(?=(?:[A-Za-z_-]*+[0-9]){4})[A-Za-z0-9_-]{6,64}+(?![A-Za-z0-9_-])"
 CONTEXT = 48  # characters on each side in which the words of a pattern are looked for
-_EMPTY = "array<struct<start:int,end:int,value:string,left:string,right:string>>"
+_BLOCK = 1024  # characters of the pieces of a text in which a place is looked up; not below CONTEXT
+_EMPTY = "array<struct<start:int,end:int,value:string>>"
 
 
 def _running(numbers: Column) -> Column:
@@ -40,22 +41,38 @@ def _running(numbers: Column) -> Column:
 
 
 def find(text: Column, expression: str) -> Column:
-    """All matches as structs: start, end (code points, end exclusive), value, and some characters on the left and right.
+    """All matches as structs: start, end (code points, end exclusive), value.
 
     The pieces between matches and the matches themselves add up to the places.
     """
     pattern = F.lit(expression)
     rows = F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(0)).alias("value"), F.split(text, expression, -1).alias("piece"))
     # the last piece has no match behind it; its length doesn't count
-    steps = F.transform(rows, lambda r: F.struct(F.coalesce(r["value"], F.lit("")).alias("value"), r["piece"].alias("piece"), (F.length(r["piece"]) + F.length(F.coalesce(r["value"], F.lit("")))).alias("n")))
-    with_ends = F.arrays_zip(steps.alias("s"), _running(F.transform(steps, lambda s: s["n"])).alias("end"), F.slice(steps, 2, F.size(steps)).alias("next"))
+    steps = F.transform(rows, lambda r: F.struct(F.coalesce(r["value"], F.lit("")).alias("value"), (F.length(r["piece"]) + F.length(F.coalesce(r["value"], F.lit("")))).alias("n")))
+    with_ends = F.arrays_zip(steps.alias("s"), _running(F.transform(steps, lambda s: s["n"])).alias("end"))
     return F.transform(
         F.slice(with_ends, 1, F.size(steps) - 1),
-        lambda z: F.struct(
-            (z["end"] - F.length(z["s"]["value"])).alias("start"), z["end"].alias("end"), z["s"]["value"].alias("value"),
-            F.right(z["s"]["piece"], F.lit(CONTEXT)).alias("left"), F.left(z["next"]["piece"], F.lit(CONTEXT)).alias("right"),
-        ),
-    )
+        lambda z: F.struct((z["end"] - F.length(z["s"]["value"])).alias("start"), z["end"].alias("end"), z["s"]["value"].alias("value")),
+    )
+
+
+def with_context(text: Column, matches: Column, seed: bool) -> Column:
+    """The matches with left and right, the CONTEXT characters of the whole text on each side, and seed.
+
+    A place is looked up in the piece of the text that holds it and the one next to it, so that long texts stay cheap.
+    """
+    blocks = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{_BLOCK}}}"), F.lit(0))
+    div = lambda at: F.call_function("div", at, F.lit(_BLOCK)).cast("int")
+    block = lambda b, i: F.coalesce(F.get(b, i), F.lit(""))
+
+    def one(b: Column, m: Column) -> Column:
+        first, last = div(m["start"]), div(m["end"])
+        before = F.concat(block(b, first - 1), F.left(block(b, first), m["start"] - first * _BLOCK))
+        after = F.concat(F.substring(block(b, last), m["end"] - last * _BLOCK + 1, F.lit(_BLOCK)), block(b, last + 1))
+        return F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), F.right(before, F.lit(CONTEXT)).alias("left"), F.left(after, F.lit(CONTEXT)).alias("right"), F.lit(seed).alias("seed"))
+
+    # the array around blocks has them made once for all matches
+    return F.element_at(F.transform(F.array(blocks), lambda b: F.transform(matches, lambda m: one(b, m))), 1)
 
 
 def luhn(digits: Column) -> Column:
@@ -65,12 +82,16 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(doubled, F.lit(0), lambda a, d: a + d) % 10 == 0
 
 
+def _card_long(value: Column) -> Column:
+    return F.length(F.regexp_replace(value, "[^0-9]", "")).between(14, 19)
+
+
 def valid(kind: str, value: Column) -> Column:
     digits = F.regexp_replace(value, "[^0-9]", "")
     return {
         "email": F.lit(True),
         "ip": value.rlike(rf"^{_PART}(?:\.{_PART}){{3}}$"),
-        "card": F.when(F.length(digits).between(14, 19), luhn(digits)).otherwise(False),
+        "card": F.when(_card_long(value), luhn(digits)).otherwise(False),
         "phone": F.length(digits).between(10, 15),
     }[kind]
 
@@ -104,17 +125,18 @@ def patterns_of(left: Column, right: Column) -> Column:
 def _contexts(found: DataFrame) -> DataFrame:
     """(id, text_key, start, end, seed, instance, patterns) of seeds and of tokens that could be identifiers.
 
-    Tokens that touch anything a kind's expression matches, valid or not, are no candidates: a failed check refutes them.
+    Tokens that touch a seed, or a number as long as a card's that fails its check, are no candidates. What refutes a
+    token lies in its own place: the rest of the text doesn't matter.
     """
     text = F.col("text")
-    seeds = F.concat(*[F.transform(kind, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), m["left"].alias("left"), m["right"].alias("right"), F.lit(True).alias("seed"))) for kind in KINDS])
+    seeds = F.concat(*KINDS)
     tokens = F.when(text.rlike(r"[0-9]"), find(text, IDENTIFIER)).otherwise(F.array().cast(_EMPTY))
-    refuted = F.concat(*[_matches(text, kind) for kind in KINDS])
+    refuted = F.concat("seeds", F.filter(_matches(text, "card"), lambda m: _card_long(m["value"])))
     rows = found.select("id", "text_key", "text", seeds.alias("seeds"), tokens.alias("tokens")).where((F.size("seeds") > 0) | (F.size("tokens") > 0))
     rows = rows.withColumn("refuted", F.when(F.size("tokens") > 0, refuted).otherwise(F.array().cast(_EMPTY)))
-    clear = F.filter("tokens", lambda t: ~F.exists("refuted", lambda r: (r["start"] < t["end"]) & (t["start"] < r["end"])))
-    others = F.transform(clear, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), m["left"].alias("left"), m["right"].alias("right"), F.lit(False).alias("seed")))
-    one = rows.select("id", "text_key", F.explode(F.concat("seeds", others)).alias("m"))
+    rows = rows.withColumn("others", F.filter("tokens", lambda t: ~F.exists("refuted", lambda r: (r["start"] < t["end"]) & (t["start"] < r["end"]))))
+    rows = rows.where((F.size("seeds") > 0) | (F.size("others") > 0))
+    one = rows.select("id", "text_key", F.explode(F.concat(with_context(text, F.col("seeds"), True), with_context(text, F.col("others"), False))).alias("m"))
     return one.select("id", "text_key", "m.start", "m.end", "m.seed", F.xxhash64(F.lower("m.value")).alias("instance"), patterns_of(F.col("m.left"), F.col("m.right")).alias("patterns"))
 
 
@@ -142,7 +164,7 @@ def pii(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", r
     Emails, IP addresses, card and phone numbers that pass their checks are the base spans, and the seeds of a bootstrap: the
     words around them make patterns, patterns and the identifier-like tokens they surround are scored in rounds over
     the whole corpus, and tokens in the place that a trusted pattern marks become spans of kind `id`. Such a token
-    never touches a match of a base kind. Spans are sorted by start, then by kind in the order email, ip, card, phone,
+    never touches a base span, nor a number of 14 to 19 digits that fails its check. Spans are sorted by start, then by kind in the order email, ip, card, phone,
     id; places are code points, ends exclusive.
 
     A null or empty text has no spans. Rows that repeat a doc_id and a text have the same spans; a null doc_id is a key

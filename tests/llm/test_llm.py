@@ -255,6 +255,23 @@ def test_pii(spark, docs, none):
     assert pii.mask_documents(docs).columns == docs.columns and pii.mask_documents(docs).count() == len(ROWS)
 
 
+def test_pii_identifier_beside_a_card(spark):
+    """What else a text holds doesn't refute a token, and contexts reach over other matches."""
+    seeds = [f"please write to user{i}@mail.com for the account now" for i in range(6)]
+    card, line = "4111 1111 1111 1111", "please write to AB-88125x for the account now"
+    texts = [*seeds, line, f"{line} {card}", f"{card[:-1]}2 {line}", f"{'é😀 ' * 700}{line} {card}", "reach +1 88125-x77 soon", "please write to 4111111111111112 for the account now"]
+    # the words before the second address are the first one's
+    texts += [f"copy to a{i}@b.com box{i}@c.com end" for i in range(4)] + ["copy to a0@b.com AB-77125x end"] * 3 + [f"reach +1 u{i}@d.com soon" for i in range(4)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.s for r in pii.pii(df, support=1).select("doc_id", pii.joined(F.col("spans")).alias("s")).collect()}
+    assert found[6] == "id:16:25" and found[7] == "id:16:25,card:46:65" and found[8] == "id:36:45"
+    assert found[9] == "id:2116:2125,card:2146:2165" and found[10] == "id:9:18" and found[11] == ""
+    assert found[16] == "email:8:16,id:17:26"
+    n, text = 300, "".join(f"é{i} 123456 \n" for i in range(300))
+    row = spark.createDataFrame([(text,)], "text string").select(pii.with_context(F.col("text"), pii.find(F.col("text"), "123456"), False).alias("m")).first()
+    assert len(row.m) == n and all((m.left, m.right) == (text[max(0, m.start - 48) : m.start], text[m.end : m.end + 48]) and text[m.start : m.end] == "123456" for m in row.m)
+
+
 def test_quality(spark, docs, none):
     rows = [(i, (prose(i, 60) if i % 3 else prose(i, 60).upper().replace(" ", "!! ")), 0, int(i % 3 > 0)) for i in range(300)]
     df = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, n_chars long")
