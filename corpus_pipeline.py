@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from imagelake.llm.langid import UNKNOWN, LanguageModel, identify
+from imagelake.llm.langid import LanguageModel, identify
 from imagelake.llm.line_dedup import line_dedup
 from imagelake.llm.near_dedup import near_dedup
 from imagelake.llm.packing import pack_powers_of_two
@@ -17,9 +17,6 @@ from imagelake.llm.pii import mask_documents
 from imagelake.llm.queries import packing_tokenizer
 from imagelake.llm.shared import broadcast_if_small, cut
 
-#: A document stays if its main language has at least this share of it.
-LEAST_SHARE = 0.5
-
 
 def _with_text(docs: DataFrame, changed: DataFrame) -> DataFrame:
     """The columns of docs from changed, whose text is new; n_chars follows the text."""
@@ -29,10 +26,13 @@ def _with_text(docs: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns the languages from the documents and drops those without letters, or without a main language."""
+    """Learns the languages from the documents and drops those without a letter; all stay where no language is known."""
+    model = LanguageModel.learn(docs)
+    if not model.languages:
+        return docs
     others = tuple(c for c in docs.columns if c != "doc_id")
-    found = identify(docs, LanguageModel.learn(docs), carry=others)
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+    # a letterless text has no languages; `und` may be the name of a language learned
+    return identify(docs, model, carry=others).where(F.size("languages") > 0).select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -306,6 +306,24 @@ def test_language(spark, docs, none):
     assert {r.lang_pred for r in langid.identify(asked, langid.LanguageModel.learn(none)).collect()} == {"und"}
 
 
+def test_language_stage_keeps_mixed_and_unknown(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    words = {"en": "the and of to with that this from have were ", "de": "der die und nicht ist mit eine von sich auf ", "fr": "les une dans pour que est sur pas vous avec "}
+    mixed = words["en"] * 16 + words["de"] * 12 + words["fr"] * 12
+    rows = [(i, w * 12, lang) for i, (lang, w) in enumerate(words.items())] + [(3, mixed, None), (4, None, None), (5, "12 !!", "en"), (6, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    mixture = langid.identify(df.where("doc_id = 3"), langid.LanguageModel.learn(df)).first()
+    assert set(mixture.languages) == set(words) and mixture.score < 0.5
+    found = corpus_pipeline.language_stage(spark, df, "")
+    assert found.columns == df.columns and {r.doc_id: r.text for r in found.collect()} == {i: t for i, t, _ in rows[:4]}
+    # no language is known
+    bare = df.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.language_stage(spark, bare, "").count() == len(rows)
+    # a language of that name isn't a rejection
+    unnamed = df.withColumn("lang", F.lit("und"))
+    assert sorted(r.doc_id for r in corpus_pipeline.language_stage(spark, unnamed, "").collect()) == [0, 1, 2, 3]
+
+
 def test_components(spark):
     random = np.random.default_rng(4)
     edges = [(int(a), int(b)) for a, b in random.integers(0, 300, (200, 2))] + [(1000 + i, 1001 + i) for i in range(60)]
