@@ -1,76 +1,150 @@
-"""Line deduplication by an exact set-similarity join, with DataFrame functions only."""
+"""Line deduplication by an exact set-similarity join.
+
+Words are hashed, counted and ordered in Arrow batches; the join, its filters and the verification are DataFrame functions.
+"""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from imagelake.llm.shared import broadcast_if_small, cut, discard
+from imagelake.llm.text import U64, chunks, mix, run_hashes, words
 
 NO_ID = -(1 << 63)
 
 
-def tokens(line: Column) -> Column:
-    """The words of a line in lower case; ASCII white space parts them."""
-    lower = F.lower(line)
-    odd = [F.contains(line, F.lit(c)) for c in "\t\x0b\x0c\r"]
-    plain = F.when(odd[0] | odd[1] | odd[2] | odd[3], F.translate(lower, "\t\x0b\x0c\r", "    ")).otherwise(lower)
-    return F.split(plain, " ")
+def _placed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(row, text_key, text): row and text_key stand for the document."""
+    text = F.col(text_column).cast("string")
+    return docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("row"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
 
-def _with_lines(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(row, text_key, line_no, line): row and text_key stand for the document, line_no counts from 0."""
-    text = F.col(text_column).cast("string")
-    return docs.select(
-        F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("row"), F.xxhash64(text).alias("text_key"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line")
-    )
+def _words(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For runs of texts: first row, end row, the hashes of all words, and of each word its line, counted over the run.
+
+    A text's lines are numbered on from those of the texts before it: then first, each text's first line (n + 1), and first_word.
+    """
+    for lo, hi, data, offsets in chunks(pc.utf8_lower(texts.cast(pa.large_string()))):
+        starts, lengths, first_word = words(data, offsets)
+        feeds = np.cumsum(np.concatenate(([0], data == 10)))
+        text = np.repeat(np.arange(hi - lo), np.diff(first_word))
+        yield lo, hi, run_hashes(data, starts, lengths), feeds[starts] + text, feeds[offsets] + np.arange(hi - lo + 1), first_word
+
 
+def ordered(hashes: np.ndarray, lines: np.ndarray, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each line's distinct words as numbers, the rarest first: numbers end to end, each line's first (n + 1), and the lines' numbers.
 
-def rarity_table(docs: DataFrame, text_column: str, bits: int) -> bytes:
+    A number has the rarity of the word's bucket in the top byte, then 56 bits of hash. Lines come in order; those without words have no entry.
+    """
+    bits = U64(64 - (len(rarity) - 1).bit_length())
+    numbers = (rarity[(hashes >> bits).astype(np.int64)].astype(U64) << U64(56)) | (hashes & U64((1 << 56) - 1))
+    begins = np.flatnonzero(np.diff(lines, prepend=-1))
+    edges = [*begins.tolist(), len(lines)]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        numbers[a:b].sort()
+    fresh = np.ones(len(numbers), bool)
+    fresh[1:] = numbers[1:] != numbers[:-1]
+    fresh[begins] = True
+    sums = np.concatenate(([0], np.cumsum(fresh)))
+    return numbers[fresh], sums[edges], lines[begins]
+
+
+def rarity_table(docs: DataFrame, text_column: str, bits: int) -> np.ndarray:
     """A byte for each of 2**bits hash buckets of words: six times the logarithm of the words counted there, at most 127.
 
     Counts cover all words of all documents. The driver gets one number per bucket, at every size of the input.
     """
-    lines = docs.select(F.explode(F.split(F.col(text_column).cast("string"), "\n")).alias("line"))
-    bucket = F.shiftrightunsigned(F.xxhash64("word"), 64 - bits).cast("int")
-    words = lines.select(F.explode(tokens(F.col("line"))).alias("word")).where("word <> ''")
-    found = words.select(bucket.alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
-    scaled = F.least(F.lit(127), F.floor(6 * F.log("n"))).cast("tinyint")
-    table = bytearray(1 << bits)
-    for b, n in zip(*(c.to_pylist() for c in found.select("bucket", scaled).toArrow().columns), strict=True):
-        table[b] = n
-    return bytes(table)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << bits, np.int64)
+        for batch in batches:
+            for _, _, hashes, *_ in _words(batch.column(0)):
+                counts += np.bincount((hashes >> U64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at])], ["bucket", "n"])
+
+    texts = docs.select(F.col(text_column).cast("string").alias("text")).where("text <> ''")
+    found = texts.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(1 << bits, np.uint8)
+    table[found["bucket"].to_numpy()] = np.minimum(127, np.floor(6 * np.log(found["n"].to_numpy())))
+    return table
+
+
+def _line_rows(docs: DataFrame, id_column: str, text_column: str, rarity: np.ndarray, percent: int) -> DataFrame:
+    """(row, text_key, line_no, n, set, bits, prefix) of each line with a word.
+
+    set is a 64-bit hash of the set of words, bits its signature: a bit is set if a word hashes to it, so two sets differ in as
+    many words as their signatures in bits, or more. prefix holds the words among which a similar set of any length
+    has one; sets too small to differ from a similar one have none.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(rarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, hashes, lines, first, _ in _words(batch.column(2)):
+                if not len(hashes):
+                    continue
+                numbers, at, own = ordered(hashes, lines, shared.value)
+                n = np.diff(at)
+                sets = np.add.reduceat(mix(numbers ^ U64(0x51ED270B)), at[:-1])
+                bits = np.bitwise_or.reduceat(U64(1) << (numbers & U64(63)), at[:-1])
+                size = np.where(n * (100 - percent) >= percent, n + (-percent * n) // 100 + 1, 0)
+                ends = np.cumsum(size)
+                prefix = numbers[np.arange(ends[-1]) + np.repeat(at[:-1] - ends + size, size)]
+                text = np.searchsorted(first, own, "right") - 1
+                rows = [batch.column(k).slice(lo, hi - lo).take(pa.array(text)) for k in (0, 1)]
+                numbered = (own - first[text], n)
+                yield pa.RecordBatch.from_arrays(
+                    [*rows, *(pa.array(x, pa.int32()) for x in numbered), pa.array(sets.view(np.int64)), pa.array(bits.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(prefix.view(np.int64)))],
+                    ["row", "text_key", "line_no", "n", "set", "bits", "prefix"],
+                )
 
-def ordered_tokens(line: Column, rarity: bytes) -> Column:
-    """A line's distinct words as numbers, the rarest first: the bucket's rarity in the top byte, then 56 bits of hash."""
-    bits = int(math.log2(len(rarity)))
-    table = F.lit(rarity)
+    texts = _placed(docs, id_column, text_column).where("text <> ''")
+    return texts.mapInArrow(run, "row long, text_key long, line_no int, n int, set long, bits long, prefix array<long>")
 
-    def number(h: Column) -> Column:
-        place = F.shiftrightunsigned(h, 64 - bits).cast("int") + 1
-        rank = F.ascii(F.substring(table, place, F.lit(1)).cast("string"))
-        return F.shiftleft(rank.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h.bitwiseXOR(F.shiftleft(h, 23)), 8))
 
-    return F.sort_array(F.array_distinct(F.transform(F.transform(F.array_remove(tokens(line), ""), lambda word: F.xxhash64(word)), number)))
+def _sets_of(docs: DataFrame, id_column: str, text_column: str, rarity: np.ndarray, wanted: DataFrame) -> DataFrame:
+    """(class, words array<long>) of the lines in wanted (class, row, text_key, line_no): their whole sets."""
+    shared = docs.sparkSession.sparkContext.broadcast(rarity)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked = batch.column(1)
+            for lo, hi, hashes, lines, first, _ in _words(batch.column(0)):
+                part = asked.slice(lo, hi - lo)
+                owner = np.repeat(np.arange(hi - lo), part.value_lengths().to_numpy(zero_copy_only=False))
+                line_no, classes = (part.flatten().field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                line = first[owner] + line_no
+                order = np.argsort(line, kind="stable")
+                line, classes = line[order], classes[order]
+                mine = np.isin(lines, line)
+                numbers, at, own = ordered(hashes[mine], lines[mine], shared.value)
+                kept = np.searchsorted(own, line)  # every line asked for has a word
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(numbers.view(np.int64))).take(pa.array(kept))
+                yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), lists], ["class", "words"])
 
-def signature(words: str) -> Column:
-    """64 bits, each set if a word hashes to it. Two sets differ in as many words as their signatures in bits, or more."""
-    one = F.lit(1).cast("long")
-    return F.aggregate(words, F.lit(0).cast("long"), lambda bits, w: bits.bitwiseOR(F.call_function("shiftleft", one, w.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
+    asked = wanted.groupBy("row", "text_key").agg(F.collect_list(F.struct("line_no", "class")).alias("asked"))
+    found = _placed(docs, id_column, text_column).join(broadcast_if_small(asked, wanted.count(), 40), ["row", "text_key"]).select("text", "asked")
+    return found.mapInArrow(run, "class long, words array<long>")
 
 
-def line_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = 80, rarity_bits: int = 18, carry: tuple[str, ...] = ()) -> DataFrame:
+def line_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = 80, rarity_bits: int = 20, carry: tuple[str, ...] = ()) -> DataFrame:
     """Removes every line that is similar to an earlier line of any document.
 
     A line is the set of its lower-case words; two lines are similar if their Jaccard similarity is percent / 100 or
     more. Earlier means a smaller doc_id, then a smaller place in the text. The join is exact: a line's words are
     ordered by rarity over the whole corpus, similar lines share a word in their prefixes, lengths and positions
-    and bit signatures sieve the pairs, and the rest is verified on full sets. Equal sets are one class. Each class first meets the earliest
-    document's classes of each word of its prefix; classes that find no match there meet all earlier ones of these words.
+    and bit signatures sieve the pairs, and the rest is verified on full sets. Words are compared by 56 bits of hash and the
+    rarity of their bucket; equal sets are one class, told apart by 128 bits and their size. Each class first meets
+    the earliest class of each of its rarest words and its length; those that find no match there meet all
+    earlier ones of the words of their prefixes and fitting lengths.
 
     Returns (doc_id, n_lines, n_removed, removed array<int>, text): removed holds places from 0, text is what is left, its
     lines joined again. Lines without a word are never removed. A null text has no lines and stays null; an empty one has
@@ -78,14 +152,15 @@ def line_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     don't remove each other's lines. An empty table gives no rows. Columns named in carry follow as they
     are; others are not read.
     """
-    removed = removed_lines(docs, id_column, text_column, percent, rarity_bits)
+    removed = cut(removed_lines(docs, id_column, text_column, percent, rarity_bits))
+    size = removed.agg(F.count("*"), F.coalesce(F.sum(F.size("removed")), F.lit(0))).first()
     text = F.col(text_column).cast("string")
     n_lines = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1).cast("long")
     keyed = docs.select(F.col(id_column).alias("id"), text.alias("text"), n_lines.alias("n_lines"), F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("row"), F.xxhash64(text).alias("text_key"), *[F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry)])
     lines = F.split("text", "\n", -1)
     gone = F.coalesce("removed", F.array().cast("array<int>"))
     left = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(gone, i)), "\n")
-    return keyed.join(removed, ["row", "text_key"], "left").select(
+    return keyed.join(broadcast_if_small(removed, 8 * size[0] + size[1], 8), ["row", "text_key"], "left").select(
         F.col("id").alias(id_column),
         "n_lines",
         F.size(gone).cast("long").alias("n_removed"),
@@ -98,69 +173,94 @@ def line_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
 def removed_lines(docs: DataFrame, id_column: str, text_column: str, percent: int, rarity_bits: int) -> DataFrame:
     """(row, text_key, removed array<int>) of the documents that lose lines."""
     rarity = rarity_table(docs, text_column, rarity_bits)
-    n, least = F.col("n"), F.ceil(F.lit(percent) * F.col("n") / 100)
-    # one row per line: its set's hashes and size, and the prefix of its ordered words
-    lines = cut(
-        _with_lines(docs, id_column, text_column)
-        .where(F.btrim("line", F.lit(" \t\x0b\x0c\r")) != "")
-        .withColumn("words", ordered_tokens(F.col("line"), rarity))
-        .select("row", "text_key", "line_no", F.size("words").alias("n"), F.xxhash64("words").alias("set"), F.xxhash64("words", F.lit(1)).alias("check"), signature("words").alias("bits"), "words")
-        .select("row", "text_key", "line_no", "n", "set", "check", "bits", F.slice("words", 1, F.when(n * (100 - percent) >= percent, n - least + 1).otherwise(0).cast("int")).alias("prefix"))
-    )  # sets too small to differ from a similar one have no prefix
-    at = F.struct("row", "text_key", "line_no")
-    # a class is a set; its first line stands for it
-    classes = lines.groupBy("set", "check").agg(F.min(at).alias("first"), F.count("*").alias("copies"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits"), F.any_value("prefix").alias("prefix"))
-    classes = cut(classes)
-    words = classes.select("set", "n", F.col("first.row").alias("row"), F.posexplode("prefix").alias("pos", "token")).repartition("token")
-    # words that several classes share, with the earliest document among them; one shuffle serves count and join
-    several = words.groupBy("token").agg(F.min("row").alias("pivot"), F.min("set").alias("lo"), F.max("set").alias("hi")).where("lo <> hi").select("token", "pivot")
-    shared = cut(words.join(several, "token"))
-
-    def fits(n_a: Column, pos_a: Column, n_b: Column, pos_b: Column) -> Column:
-        """Length filter, and positional filter: this word and what follows it must suffice for the overlap."""
-        return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & ((100 + percent) * (1 + F.least(n_a - pos_a - 1, n_b - pos_b - 1)) >= percent * (n_a + n_b))
-
-    other = shared.select("token", *[F.col(c).alias(f"o_{c}") for c in ("set", "n", "pos", "row", "pivot")])
-    fit = (F.col("set") != F.col("o_set")) & fits(F.col("n"), F.col("pos"), F.col("o_n"), F.col("o_pos"))
-    ends = (F.least("set", "o_set").alias("a"), F.greatest("set", "o_set").alias("b"))
-    star = cut(shared.join(other.where("o_row = o_pivot"), "token").where(fit).select(*ends).distinct())
-    matched = _later(docs, id_column, text_column, rarity, star, classes, percent)
-    # classes without a match so far meet all earlier ones of their words; pairs with the earliest document are done
-    done = broadcast_if_small(matched.select("set"), matched.count(), 16)
-    rest = shared.where("row <> pivot").join(done, "set", "left_anti").join(other.where("o_row <> o_pivot"), "token")
-    rest = cut(rest.where(fit & (F.col("o_row") <= F.col("row"))).select(*ends).distinct())
-    discard(shared)
-    similar = matched.union(_later(docs, id_column, text_column, rarity, rest, classes, percent)).distinct().withColumn("similar", F.lit(True))
-    losing = classes.select("set", "check", "first", "copies").join(similar, ["set", "check"], "left").where("copies > 1 or similar")
+    lines = cut(_line_rows(docs, id_column, text_column, rarity, percent))
+    at, same = F.struct("row", "text_key", "line_no"), ["set", "bits", "n"]
+    # a class is a set; its first line stands for it, and its number is short and its own
+    classes = lines.groupBy(*same).agg(F.min(at).alias("first"), F.count("*").alias("copies"), F.any_value("prefix").alias("prefix"))
+    classes = cut(classes.withColumn("class", F.monotonically_increasing_id()))
+    places = cut(lines.select("row", "text_key", "line_no", *same))
+    discard(lines)
+    tried = cut(_first_pairs(classes, percent))
+    matched = _later(docs, id_column, text_column, rarity, tried, classes, percent)
+    rest = cut(_unmatched_pairs(classes, tried, matched, percent))
+    late = matched.union(_later(docs, id_column, text_column, rarity, rest, classes, percent)).distinct().withColumn("late", F.lit(True))
+    losing = cut(classes.select("class", *same, "first", "copies").join(late, "class", "left").where("copies > 1 or late").select(*same, "first", "late"))
+    discard(tried, rest, classes)
     return (
-        lines.select("row", "text_key", "line_no", "set", "check")
-        .join(losing, ["set", "check"])
-        .where(F.col("similar").isNotNull() | (F.col("first") != at))
+        places.join(broadcast_if_small(losing, losing.count(), 80), same)
+        .where(F.col("late").isNotNull() | (F.col("first") != at))
         .groupBy("row", "text_key")
         .agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
     )
 
 
-def _later(docs: DataFrame, id_column: str, text_column: str, rarity: bytes, pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(set, check) of the later class of each of the pairs (a, b) that is similar on full sets.
+def _fits(percent: int, n_a: Column, pos_a: Column, n_b: Column, pos_b: Column) -> Column:
+    """Length filter, and positional filter: this word and what follows it must suffice for the overlap."""
+    return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & ((100 + percent) * (1 + F.least(n_a - pos_a - 1, n_b - pos_b - 1)) >= percent * (n_a + n_b))
+
+
+def _length_class(size: Column, percent: int) -> Column:
+    """Lengths of similar sets lie in one length class or in neighbouring ones."""
+    return F.floor(F.log(size.cast("double")) / math.log(max(100 / percent, 1.01))).cast("int")
+
+
+def _first_pairs(classes: DataFrame, percent: int, heads: int = 3) -> DataFrame:
+    """(a, b): each class with the earliest one of each of its rarest words and its length class, if the two fit.
+
+    Large groups of near copies find their match here, in as many pairs as members.
+    """
+    rows = classes.where(F.size("prefix") > 0).select("class", F.col("first.row").alias("row"), "n", F.posexplode(F.slice("prefix", 1, heads)).alias("pos", "token"))
+    rows = rows.select(F.xxhash64("token", _length_class(F.col("n"), percent)).alias("key"), "class", "row", "n", "pos")
+    pivots = rows.groupBy("key").agg(F.min(F.struct("row", "class", "n", "pos")).alias("pivot"), F.count("*").alias("size")).where("size > 1").select("key", "pivot")
+    pairs = rows.join(pivots, "key").where((F.col("class") != F.col("pivot.class")) & _fits(percent, F.col("n"), F.col("pos"), F.col("pivot.n"), F.col("pivot.pos")))
+    return pairs.select(F.least("class", "pivot.class").alias("a"), F.greatest("class", "pivot.class").alias("b")).distinct()
+
+
+def _unmatched_pairs(classes: DataFrame, tried: DataFrame, matched: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of classes that share a word of their prefixes, fit, and whose later class isn't matched yet.
+
+    A class probes with its whole prefix at its own length class. It is indexed with the shorter prefix that suffices to
+    meet sets as long or longer, at the length classes these can have. Matched classes needn't meet each other: in a
+    second turn they probe among the unmatched ones only. A very frequent word's pairs are spread by Spark's skew join.
+    """
+    done = broadcast_if_small(matched.withColumn("done", F.lit(1)), matched.count(), 16)
+    n, pos = F.col("n"), F.col("pos")
+    sets = classes.where(F.size("prefix") > 0).join(done, "class", "left").select("class", F.col("first.row").alias("row"), "n", F.coalesce("done", F.lit(0)).alias("done"), "prefix")
+    # size, position and state travel as one number
+    packed = F.shiftleft(n.cast("long"), 32).bitwiseOR(F.shiftleft(pos.cast("long"), 1)).bitwiseOR(F.col("done").cast("long")).alias("packed")
+    probe = sets.withColumn("length", _length_class(n, percent)).select("class", "row", "n", "done", "length", F.posexplode("prefix").alias("pos", "token"))
+    probe = probe.select(F.xxhash64("token", "length", "done").alias("key"), "class", "row", packed)
+    shorter = F.slice("prefix", 1, (n - F.ceil(F.lit(2 * percent) * n / (100 + percent)) + 1).cast("int"))
+    turns = F.when(F.col("done") == 1, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
+    lengths = F.sequence(_length_class(n, percent), _length_class(F.floor(n * 100 / percent), percent))
+    where = F.flatten(F.transform(lengths, lambda x: F.transform(turns, lambda t: F.struct(x.alias("length"), t.alias("turn")))))
+    index = sets.select("class", "row", "n", "done", F.explode(where).alias("at"), shorter.alias("shorter")).select("class", "row", "n", "done", "at", F.posexplode("shorter").alias("pos", "token"))
+    index = index.select(F.xxhash64("token", "at.length", "at.turn").alias("key"), F.col("class").alias("o_class"), F.col("row").alias("o_row"), packed.alias("o_packed"))
+    size, place, state = (lambda c: F.shiftright(c, 32).cast("int")), (lambda c: F.shiftright(F.shiftleft(c, 32), 33).cast("int")), (lambda c: c.bitwiseAND(F.lit(1).cast("long")) == 1)
+    size_a, size_b, row, o_row = size(F.col("packed")), size(F.col("o_packed")), F.col("row"), F.col("o_row")
+    later = (~state(F.col("packed")) & (o_row <= row)) | (~state(F.col("o_packed")) & (row <= o_row))
+    once = (size_b < size_a) | ((size_b == size_a) & (F.col("o_class") < F.col("class")))
+    pairs = probe.join(index, "key").where(once & later & _fits(percent, size_a, place(F.col("packed")), size_b, place(F.col("o_packed"))))
+    pairs = pairs.select(F.least("class", "o_class").alias("a"), F.greatest("class", "o_class").alias("b")).distinct()
+    return pairs.join(broadcast_if_small(tried, tried.count(), 24), ["a", "b"], "left_anti")
+
+
+def _later(docs: DataFrame, id_column: str, text_column: str, rarity: np.ndarray, pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(class): the later class of each of the pairs (a, b) that is similar on full sets.
 
-    Only the lines that stand for the pairs' classes are read and ordered again.
+    Only the lines that stand for the pairs' classes are ordered again.
     """
-    of = lambda k: classes.select(F.col("set").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"))
+    of = lambda k: classes.select(F.col("class").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"), F.col("first").alias(f"first_{k}"))
     apart = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b")))
-    near = pairs.join(of("a"), "a").join(of("b"), "b").where((100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
-    near = cut(near.distinct())
-    ids = near.select(F.col("a").alias("set")).union(near.select(F.col("b").alias("set"))).distinct()
-    wanted = cut(classes.select("set", "check", "first").join(ids, "set", "left_semi").select("set", "check", "first.*"))
-    rows = cut(wanted.select(F.col("row").alias("_row")).distinct())
-    own = docs.withColumn("_row", F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)))
-    own = own.join(broadcast_if_small(rows, rows.count(), 16), "_row", "left_semi")
-    place = ["row", "text_key", "line_no"]
-    found = _with_lines(own, id_column, text_column).join(broadcast_if_small(wanted, wanted.count(), 48), place)
-    sets = cut(found.select("set", "check", F.struct(*place).alias("first"), ordered_tokens(F.col("line"), rarity).alias("words")))
-    get = lambda k: sets.select(F.col("set").alias(k), F.struct("first", "set", "check").alias(f"{k}_id"), F.col("words").alias(f"{k}_words"))
+    near = pairs.join(of("a"), "a").join(of("b"), "b").where((100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
+    near = cut(near.select("a", "b", "first_a", "first_b", "n_a", "n_b"))
+    one = lambda k: near.select(F.col(k).alias("class"), f"first_{k}.*")
+    wanted = cut(one("a").union(one("b")).distinct())
+    # equal rows give a class several times
+    sets = cut(_sets_of(docs, id_column, text_column, rarity, wanted).dropDuplicates(["class"]))
+    get = lambda k: sets.select(F.col("class").alias(k), F.col("words").alias(f"{k}_words"))
     both = F.size(F.array_intersect("a_words", "b_words"))
-    good = near.join(get("a"), "a").join(get("b"), "b").where((100 + percent) * both >= percent * (F.size("a_words") + F.size("b_words")))
-    late = cut(good.select(F.greatest("a_id", "b_id").alias("late")).select("late.set", "late.check").distinct())
-    discard(pairs, near, wanted, rows, sets)
+    good = near.join(get("a"), "a").join(get("b"), "b").where((100 + percent) * both >= percent * (F.col("n_a") + F.col("n_b")))
+    late = cut(good.select(F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b")).alias("class")).distinct())
+    discard(near, wanted, sets)
     return late

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _written: list[str] = []
-_path_of: dict[int, str] = {}
+_path_of: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -21,7 +22,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         folder = context.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-")
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")  # driver and tasks are one process here
         context.setCheckpointDir(folder)
         folder = context.getCheckpointDir()
     return folder.rstrip("/")
@@ -39,14 +42,14 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set(_CLEAN, before) if before is not None else spark.conf.unset(_CLEAN)
     _written.append(path)
     out = spark.read.schema(df.schema).parquet(path)
-    _path_of[id(out)] = path
+    _path_of[out] = path
     return out
 
 
 def discard(*tables: DataFrame) -> None:
     """Delete tables that cut() returned and that nothing reads any more."""
     for table in tables:
-        path = _path_of.pop(id(table), None)
+        path = _path_of.pop(table, None)
         if path in _written:
             _written.remove(path)
             _delete(table.sparkSession, path)
