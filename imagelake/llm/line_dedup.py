@@ -183,7 +183,7 @@ def removed_lines(docs: DataFrame, id_column: str, text_column: str, percent: in
     tried = cut(_first_pairs(classes, percent))
     matched = _later(docs, id_column, text_column, rarity, tried, classes, percent)
     rest = cut(_unmatched_pairs(classes, tried, matched, percent))
-    late = matched.union(_later(docs, id_column, text_column, rarity, rest, classes, percent)).distinct().withColumn("late", F.lit(True))
+    late = matched.union(_later(docs, id_column, text_column, rarity, rest, classes, percent, matched)).withColumn("late", F.lit(True))
     losing = cut(classes.select("class", *same, "first", "copies").join(late, "class", "left").where("copies > 1 or late").select(*same, "first", "late"))
     discard(tried, rest, classes)
     return (
@@ -200,8 +200,8 @@ def _fits(percent: int, n_a: Column, pos_a: Column, n_b: Column, pos_b: Column)
 
 
 def _length_class(size: Column, percent: int) -> Column:
-    """Lengths of similar sets lie in one length class or in neighbouring ones."""
-    return F.floor(F.log(size.cast("double")) / math.log(max(100 / percent, 1.01))).cast("int")
+    """Lengths of similar sets lie in one length class or in neighbouring ones, half of them in one."""
+    return F.floor(F.log(size.cast("double")) / math.log(max(100 / percent, 1.01) ** 2)).cast("int")
 
 
 def _first_pairs(classes: DataFrame, percent: int, heads: int = 3) -> DataFrame:
@@ -217,43 +217,44 @@ def _first_pairs(classes: DataFrame, percent: int, heads: int = 3) -> DataFrame:
 
 
 def _unmatched_pairs(classes: DataFrame, tried: DataFrame, matched: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of classes that share a word of their prefixes, fit, and whose later class isn't matched yet.
+    """(a, b): pairs of classes, not both matched, that share a word of their prefixes and fit.
 
     A class probes with its whole prefix at its own length class. It is indexed with the shorter prefix that suffices to
-    meet sets as long or longer, at the length classes these can have. Matched classes needn't meet each other: in a
-    second turn they probe among the unmatched ones only. A very frequent word's pairs are spread by Spark's skew join.
+    meet sets as long or longer, at the length classes these can have. Matched classes needn't meet each other: they
+    probe under keys of their own, where the unmatched ones are indexed as far as matched ones look there. A very frequent
+    word's pairs are spread by Spark's skew join.
     """
     done = broadcast_if_small(matched.withColumn("done", F.lit(1)), matched.count(), 16)
     n, pos = F.col("n"), F.col("pos")
-    sets = classes.where(F.size("prefix") > 0).join(done, "class", "left").select("class", F.col("first.row").alias("row"), "n", F.coalesce("done", F.lit(0)).alias("done"), "prefix")
-    # size, position and state travel as one number
-    packed = F.shiftleft(n.cast("long"), 32).bitwiseOR(F.shiftleft(pos.cast("long"), 1)).bitwiseOR(F.col("done").cast("long")).alias("packed")
-    probe = sets.withColumn("length", _length_class(n, percent)).select("class", "row", "n", "done", "length", F.posexplode("prefix").alias("pos", "token"))
-    probe = probe.select(F.xxhash64("token", "length", "done").alias("key"), "class", "row", packed)
+    sets = classes.where(F.size("prefix") > 0).join(done, "class", "left").select("class", "n", F.coalesce("done", F.lit(0)).alias("done"), "prefix")
+    packed = F.shiftleft(n.cast("long"), 32).bitwiseOR(pos.cast("long")).alias("packed")  # size and position travel as one number
+    probe = sets.withColumn("length", _length_class(n, percent)).select("class", "n", "done", "length", F.posexplode("prefix").alias("pos", "token"))
+    probe = probe.select(F.xxhash64("token", "length", "done").alias("key"), "class", packed, "done")
     shorter = F.slice("prefix", 1, (n - F.ceil(F.lit(2 * percent) * n / (100 + percent)) + 1).cast("int"))
-    turns = F.when(F.col("done") == 1, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
     lengths = F.sequence(_length_class(n, percent), _length_class(F.floor(n * 100 / percent), percent))
-    where = F.flatten(F.transform(lengths, lambda x: F.transform(turns, lambda t: F.struct(x.alias("length"), t.alias("turn")))))
-    index = sets.select("class", "row", "n", "done", F.explode(where).alias("at"), shorter.alias("shorter")).select("class", "row", "n", "done", "at", F.posexplode("shorter").alias("pos", "token"))
-    index = index.select(F.xxhash64("token", "at.length", "at.turn").alias("key"), F.col("class").alias("o_class"), F.col("row").alias("o_row"), packed.alias("o_packed"))
-    size, place, state = (lambda c: F.shiftright(c, 32).cast("int")), (lambda c: F.shiftright(F.shiftleft(c, 32), 33).cast("int")), (lambda c: c.bitwiseAND(F.lit(1).cast("long")) == 1)
-    size_a, size_b, row, o_row = size(F.col("packed")), size(F.col("o_packed")), F.col("row"), F.col("o_row")
-    later = (~state(F.col("packed")) & (o_row <= row)) | (~state(F.col("o_packed")) & (row <= o_row))
-    once = (size_b < size_a) | ((size_b == size_a) & (F.col("o_class") < F.col("class")))
-    pairs = probe.join(index, "key").where(once & later & _fits(percent, size_a, place(F.col("packed")), size_b, place(F.col("o_packed"))))
+    index = sets.select("class", "n", "done", F.explode(lengths).alias("length"), shorter.alias("shorter")).select("class", "n", "done", "length", F.posexplode("shorter").alias("pos", "token"))
+    at = lambda turn: index.select(F.xxhash64("token", "length", F.lit(turn)).alias("key"), F.col("class").alias("o_class"), packed.alias("o_packed"), "done")
+    asked = cut(probe.where("done = 1").select("key").distinct())
+    again = at(1).where("done = 0").join(broadcast_if_small(asked, asked.count(), 16), "key", "left_semi")
+    size, place = (lambda c: F.shiftright(F.col(c), 32).cast("int")), (lambda c: F.col(c).bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int"))
+    once = (size("o_packed") < size("packed")) | ((size("o_packed") == size("packed")) & (F.col("o_class") < F.col("class")))
+    pairs = probe.drop("done").join(at(0).union(again).drop("done"), "key").where(once & _fits(percent, size("packed"), place("packed"), size("o_packed"), place("o_packed")))
     pairs = pairs.select(F.least("class", "o_class").alias("a"), F.greatest("class", "o_class").alias("b")).distinct()
     return pairs.join(broadcast_if_small(tried, tried.count(), 24), ["a", "b"], "left_anti")
 
 
-def _later(docs: DataFrame, id_column: str, text_column: str, rarity: np.ndarray, pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(class): the later class of each of the pairs (a, b) that is similar on full sets.
+def _later(docs: DataFrame, id_column: str, text_column: str, rarity: np.ndarray, pairs: DataFrame, classes: DataFrame, percent: int, matched: DataFrame | None = None) -> DataFrame:
+    """(class): the later class of each of the pairs (a, b) that is similar on full sets; classes matched before aren't looked at again.
 
     Only the lines that stand for the pairs' classes are ordered again.
     """
     of = lambda k: classes.select(F.col("class").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"), F.col("first").alias(f"first_{k}"))
     apart = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b")))
     near = pairs.join(of("a"), "a").join(of("b"), "b").where((100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
-    near = cut(near.select("a", "b", "first_a", "first_b", "n_a", "n_b"))
+    near = near.select("a", "b", "first_a", "first_b", "n_a", "n_b", F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b")).alias("class"))
+    if matched is not None:
+        near = near.join(broadcast_if_small(matched, matched.count(), 16), "class", "left_anti")
+    near = cut(near)
     one = lambda k: near.select(F.col(k).alias("class"), f"first_{k}.*")
     wanted = cut(one("a").union(one("b")).distinct())
     # equal rows give a class several times
@@ -261,6 +262,6 @@ def _later(docs: DataFrame, id_column: str, text_column: str, rarity: np.ndarray
     get = lambda k: sets.select(F.col("class").alias(k), F.col("words").alias(f"{k}_words"))
     both = F.size(F.array_intersect("a_words", "b_words"))
     good = near.join(get("a"), "a").join(get("b"), "b").where((100 + percent) * both >= percent * (F.col("n_a") + F.col("n_b")))
-    late = cut(good.select(F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b")).alias("class")).distinct())
+    late = cut(good.select("class").distinct())
     discard(near, wanted, sets)
     return late
