@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ from imagelake.llm.shared import broadcast_if_small, cut, discard
 from imagelake.llm.text import U64, chunks, mix, run_hashes, words
 
 NO_ID = -(1 << 63)
+SIGNATURE = ("s0", "s1", "s2", "s3")
 
 
 def _placed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -78,11 +80,11 @@ def rarity_table(docs: DataFrame, text_column: str, bits: int) -> np.ndarray:
 
 
 def _line_rows(docs: DataFrame, id_column: str, text_column: str, rarity: np.ndarray, percent: int) -> DataFrame:
-    """(row, text_key, line_no, n, set, bits, prefix) of each line with a word.
+    """(row, text_key, line_no, n, set, s0 to s3, prefix) of each line with a word.
 
-    set is a 64-bit hash of the set of words, bits its signature: a bit is set if a word hashes to it, so two sets differ in as
-    many words as their signatures in bits, or more. prefix holds the words among which a similar set of any length
-    has one; sets too small to differ from a similar one have none.
+    set is a 64-bit hash of the set of words. s0 to s3 are its signature of 256 bits, each the parity of the words that hash to
+    it: two sets differ in as many words as their signatures in bits, or more. prefix holds the words among which a
+    similar set of any length has one; sets too small to differ from a similar one have none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(rarity)
 
@@ -94,7 +96,8 @@ def _line_rows(docs: DataFrame, id_column: str, text_column: str, rarity: np.nda
                 numbers, at, own = ordered(hashes, lines, shared.value)
                 n = np.diff(at)
                 sets = np.add.reduceat(mix(numbers ^ U64(0x51ED270B)), at[:-1])
-                bits = np.bitwise_or.reduceat(U64(1) << (numbers & U64(63)), at[:-1])
+                bit, quarter = U64(1) << (numbers & U64(63)), (numbers >> U64(6)) & U64(3)
+                parities = [np.bitwise_xor.reduceat(np.where(quarter == k, bit, U64(0)), at[:-1]).view(np.int64) for k in range(4)]
                 size = np.where(n * (100 - percent) >= percent, n + (-percent * n) // 100 + 1, 0)
                 ends = np.cumsum(size)
                 prefix = numbers[np.arange(ends[-1]) + np.repeat(at[:-1] - ends + size, size)]
@@ -102,12 +105,12 @@ def _line_rows(docs: DataFrame, id_column: str, text_column: str, rarity: np.nda
                 rows = [batch.column(k).slice(lo, hi - lo).take(pa.array(text)) for k in (0, 1)]
                 numbered = (own - first[text], n)
                 yield pa.RecordBatch.from_arrays(
-                    [*rows, *(pa.array(x, pa.int32()) for x in numbered), pa.array(sets.view(np.int64)), pa.array(bits.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(prefix.view(np.int64)))],
-                    ["row", "text_key", "line_no", "n", "set", "bits", "prefix"],
+                    [*rows, *(pa.array(x, pa.int32()) for x in numbered), pa.array(sets.view(np.int64)), *map(pa.array, parities), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(prefix.view(np.int64)))],
+                    ["row", "text_key", "line_no", "n", "set", *SIGNATURE, "prefix"],
                 )
 
     texts = _placed(docs, id_column, text_column).where("text <> ''")
-    return texts.mapInArrow(run, "row long, text_key long, line_no int, n int, set long, bits long, prefix array<long>")
+    return texts.mapInArrow(run, "row long, text_key long, line_no int, n int, set long, s0 long, s1 long, s2 long, s3 long, prefix array<long>")
 
 
 def _sets_of(docs: DataFrame, id_column: str, text_column: str, rarity: np.ndarray, wanted: DataFrame) -> DataFrame:
@@ -117,18 +120,20 @@ def _sets_of(docs: DataFrame, id_column: str, text_column: str, rarity: np.ndarr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             asked = batch.column(1)
-            for lo, hi, hashes, lines, first, _ in _words(batch.column(0)):
+            for lo, hi, data, offsets in chunks(batch.column(0)):
                 part = asked.slice(lo, hi - lo)
-                owner = np.repeat(np.arange(hi - lo), part.value_lengths().to_numpy(zero_copy_only=False))
+                text = np.repeat(np.arange(hi - lo), part.value_lengths().to_numpy(zero_copy_only=False))
                 line_no, classes = (part.flatten().field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-                line = first[owner] + line_no
-                order = np.argsort(line, kind="stable")
-                line, classes = line[order], classes[order]
-                mine = np.isin(lines, line)
-                numbers, at, own = ordered(hashes[mine], lines[mine], shared.value)
-                kept = np.searchsorted(own, line)  # every line asked for has a word
-                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(numbers.view(np.int64))).take(pa.array(kept))
-                yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), lists], ["class", "words"])
+                feeds = np.flatnonzero(data == 10)
+                # a text's line begins behind the feed before it, and ends at the next feed or the text's end
+                nth = np.searchsorted(feeds, offsets[:-1])[text] + line_no
+                begins = np.where(line_no > 0, feeds[np.maximum(nth - 1, 0)] + 1 if len(feeds) else 0, offsets[text])
+                ends = np.minimum(np.append(feeds, len(data))[nth], offsets[text + 1])
+                raw = data.tobytes()
+                each = pa.array([raw[x:y] for x, y in zip(begins.tolist(), ends.tolist(), strict=True)], pa.large_binary()).cast(pa.large_string())
+                for first, last, hashes, _, _, first_word in _words(each):
+                    numbers, at, _ = ordered(hashes, np.repeat(np.arange(last - first), np.diff(first_word)), shared.value)  # every line asked for has a word
+                    yield pa.RecordBatch.from_arrays([pa.array(classes[first:last], pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(numbers.view(np.int64)))], ["class", "words"])
 
     asked = wanted.groupBy("row", "text_key").agg(F.collect_list(F.struct("line_no", "class")).alias("asked"))
     found = _placed(docs, id_column, text_column).join(broadcast_if_small(asked, wanted.count(), 40), ["row", "text_key"]).select("text", "asked")
@@ -174,9 +179,9 @@ def removed_lines(docs: DataFrame, id_column: str, text_column: str, percent: in
     """(row, text_key, removed array<int>) of the documents that lose lines."""
     rarity = rarity_table(docs, text_column, rarity_bits)
     lines = cut(_line_rows(docs, id_column, text_column, rarity, percent))
-    at, same = F.struct("row", "text_key", "line_no"), ["set", "bits", "n"]
+    at, same = F.struct("row", "text_key", "line_no"), ["set", "s0", "n"]
     # a class is a set; its first line stands for it, and its number is short and its own
-    classes = lines.groupBy(*same).agg(F.min(at).alias("first"), F.count("*").alias("copies"), F.any_value("prefix").alias("prefix"))
+    classes = lines.groupBy(*same).agg(F.min(at).alias("first"), F.count("*").alias("copies"), *[F.any_value(c).alias(c) for c in (*SIGNATURE[1:], "prefix")])
     classes = cut(classes.withColumn("class", F.monotonically_increasing_id()))
     places = cut(lines.select("row", "text_key", "line_no", *same))
     discard(lines)
@@ -204,6 +209,11 @@ def _length_class(size: Column, percent: int) -> Column:
     return F.floor(F.log(size.cast("double")) / math.log(max(100 / percent, 1.01) ** 2)).cast("int")
 
 
+def _half(bits: Column) -> Column:
+    """A signature of 32 bits out of one of 64."""
+    return bits.bitwiseXOR(F.shiftrightunsigned(bits, 32)).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
 def _first_pairs(classes: DataFrame, percent: int, heads: int = 3) -> DataFrame:
     """(a, b): each class with the earliest one of each of its rarest words and its length class, if the two fit.
 
@@ -226,19 +236,24 @@ def _unmatched_pairs(classes: DataFrame, tried: DataFrame, matched: DataFrame, p
     """
     done = broadcast_if_small(matched.withColumn("done", F.lit(1)), matched.count(), 16)
     n, pos = F.col("n"), F.col("pos")
-    sets = classes.where(F.size("prefix") > 0).join(done, "class", "left").select("class", "n", F.coalesce("done", F.lit(0)).alias("done"), "prefix")
-    packed = F.shiftleft(n.cast("long"), 32).bitwiseOR(pos.cast("long")).alias("packed")  # size and position travel as one number
-    probe = sets.withColumn("length", _length_class(n, percent)).select("class", "n", "done", "length", F.posexplode("prefix").alias("pos", "token"))
+    sets = classes.where(F.size("prefix") > 0).join(done, "class", "left").select("class", "n", F.coalesce("done", F.lit(0)).alias("done"), "prefix", _half(F.col("s0")).alias("half"))
+    # size, position and half a signature travel as one number; for sets of 2**16 words or more it is zero, which lets all pairs pass
+    packed = F.when(n < 1 << 16, F.shiftleft(n.cast("long"), 48).bitwiseOR(F.shiftleft(pos.cast("long"), 32)).bitwiseOR(F.col("half"))).otherwise(0).alias("packed")
+    probe = sets.withColumn("length", _length_class(n, percent)).select("class", "n", "done", "half", "length", F.posexplode("prefix").alias("pos", "token"))
     probe = probe.select(F.xxhash64("token", "length", "done").alias("key"), "class", packed, "done")
     shorter = F.slice("prefix", 1, (n - F.ceil(F.lit(2 * percent) * n / (100 + percent)) + 1).cast("int"))
     lengths = F.sequence(_length_class(n, percent), _length_class(F.floor(n * 100 / percent), percent))
-    index = sets.select("class", "n", "done", F.explode(lengths).alias("length"), shorter.alias("shorter")).select("class", "n", "done", "length", F.posexplode("shorter").alias("pos", "token"))
+    index = sets.select("class", "n", "done", "half", F.explode(lengths).alias("length"), shorter.alias("shorter")).select("class", "n", "done", "half", "length", F.posexplode("shorter").alias("pos", "token"))
     at = lambda turn: index.select(F.xxhash64("token", "length", F.lit(turn)).alias("key"), F.col("class").alias("o_class"), packed.alias("o_packed"), "done")
     asked = cut(probe.where("done = 1").select("key").distinct())
     again = at(1).where("done = 0").join(broadcast_if_small(asked, asked.count(), 16), "key", "left_semi")
-    size, place = (lambda c: F.shiftright(F.col(c), 32).cast("int")), (lambda c: F.col(c).bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int"))
-    once = (size("o_packed") < size("packed")) | ((size("o_packed") == size("packed")) & (F.col("o_class") < F.col("class")))
-    pairs = probe.drop("done").join(at(0).union(again).drop("done"), "key").where(once & _fits(percent, size("packed"), place("packed"), size("o_packed"), place("o_packed")))
+    size, place = (lambda c: F.shiftrightunsigned(c, 48).cast("int")), (lambda c: F.shiftrightunsigned(c, 32).bitwiseAND(F.lit(0xFFFF).cast("long")).cast("int"))
+    mine, other = F.col("packed"), F.col("o_packed")
+    once = (size(other) < size(mine)) | ((size(other) == size(mine)) & (F.col("o_class") < F.col("class")))
+    apart = F.bit_count(mine.bitwiseXOR(other).bitwiseAND(F.lit(0xFFFFFFFF)))
+    near = (100 + percent) * apart <= (100 - percent) * (size(mine) + size(other))
+    fit = (mine == 0) | (other == 0) | (once & near & _fits(percent, size(mine), place(mine), size(other), place(other)))
+    pairs = probe.drop("done").join(at(0).union(again).drop("done"), "key").where((F.col("class") != F.col("o_class")) & fit)
     pairs = pairs.select(F.least("class", "o_class").alias("a"), F.greatest("class", "o_class").alias("b")).distinct()
     return pairs.join(broadcast_if_small(tried, tried.count(), 24), ["a", "b"], "left_anti")
 
@@ -248,20 +263,22 @@ def _later(docs: DataFrame, id_column: str, text_column: str, rarity: np.ndarray
 
     Only the lines that stand for the pairs' classes are ordered again.
     """
-    of = lambda k: classes.select(F.col("class").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"), F.col("first").alias(f"first_{k}"))
-    apart = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b")))
+    of = lambda k: classes.select(F.col("class").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", *SIGNATURE)])
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in SIGNATURE])
     near = pairs.join(of("a"), "a").join(of("b"), "b").where((100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
-    near = near.select("a", "b", "first_a", "first_b", "n_a", "n_b", F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b")).alias("class"))
+    near = cut(near.select("a", "b", "n_a", "n_b"))
+    ids = cut(near.select(F.col("a").alias("class")).union(near.select(F.col("b").alias("class"))).distinct())
+    wanted = cut(classes.select("class", "first").join(broadcast_if_small(ids, ids.count(), 16), "class", "left_semi"))
+    n_wanted = wanted.count()
+    first = lambda k: broadcast_if_small(wanted.select(F.col("class").alias(k), F.col("first").alias(f"first_{k}")), n_wanted, 40)
+    near = near.join(first("a"), "a").join(first("b"), "b").withColumn("class", F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b"))).drop("first_a", "first_b")
     if matched is not None:
         near = near.join(broadcast_if_small(matched, matched.count(), 16), "class", "left_anti")
-    near = cut(near)
-    one = lambda k: near.select(F.col(k).alias("class"), f"first_{k}.*")
-    wanted = cut(one("a").union(one("b")).distinct())
     # equal rows give a class several times
-    sets = cut(_sets_of(docs, id_column, text_column, rarity, wanted).dropDuplicates(["class"]))
+    sets = cut(_sets_of(docs, id_column, text_column, rarity, wanted.select("class", "first.*")).dropDuplicates(["class"]))
     get = lambda k: sets.select(F.col("class").alias(k), F.col("words").alias(f"{k}_words"))
     both = F.size(F.array_intersect("a_words", "b_words"))
     good = near.join(get("a"), "a").join(get("b"), "b").where((100 + percent) * both >= percent * (F.col("n_a") + F.col("n_b")))
     late = cut(good.select("class").distinct())
-    discard(near, wanted, sets)
+    discard(ids, wanted, sets)
     return late
