@@ -1,25 +1,18 @@
-"""Line deduplication by an exact set-similarity join.
-
-Words are hashed, counted and ordered in Arrow batches; the join, its filters and the verification are DataFrame functions.
-"""
+"""Line deduplication by an exact set-similarity join, with DataFrame functions only."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from imagelake.llm.shared import broadcast_if_small, cut, discard
-from imagelake.llm.text import U64, chunks, mix, run_hashes, words
 
 NO_ID = -(1 << 63)
 SIGNATURE = ("s0", "s1", "s2", "s3")
+SENT = {"s1": 80, "s2": 200, "s3": 200}  # the words from which a set sends these parts of its signature through the join
 
 
 def _placed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -28,119 +21,82 @@ def _placed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("row"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
 
-def _words(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For runs of texts: first row, end row, the hashes of all words, and of each word its line, counted over the run.
+def tokens(line: Column) -> Column:
+    """The words of a line in lower case; ASCII white space parts them."""
+    lower = F.lower(line)
+    odd = [F.contains(line, F.lit(c)) for c in "\t\x0b\x0c\r"]
+    plain = F.when(odd[0] | odd[1] | odd[2] | odd[3], F.translate(lower, "\t\x0b\x0c\r", "    ")).otherwise(lower)
+    return F.split(plain, " ")
+
+
+def rarity_table(docs: DataFrame, text_column: str, bits: int) -> bytes:
+    """A byte for each of 2**bits hash buckets of words: six times the logarithm of the words counted there, at most 127.
 
-    A text's lines are numbered on from those of the texts before it: then first, each text's first line (n + 1), and first_word.
+    Counts cover all words of all documents. The driver gets one number per bucket, at every size of the input.
     """
-    for lo, hi, data, offsets in chunks(pc.utf8_lower(texts.cast(pa.large_string()))):
-        starts, lengths, first_word = words(data, offsets)
-        feeds = np.cumsum(np.concatenate(([0], data == 10)))
-        text = np.repeat(np.arange(hi - lo), np.diff(first_word))
-        yield lo, hi, run_hashes(data, starts, lengths), feeds[starts] + text, feeds[offsets] + np.arange(hi - lo + 1), first_word
+    text = F.replace(F.col(text_column).cast("string"), F.lit("\n"), F.lit(" "))
+    bucket = F.shiftrightunsigned(F.xxhash64("word"), 64 - bits).cast("int")
+    words = docs.select(F.explode(tokens(text)).alias("word")).where("word <> ''")
+    found = words.select(bucket.alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+    scaled = F.least(F.lit(127), F.floor(6 * F.log("n"))).cast("tinyint")
+    table = bytearray(1 << bits)
+    for b, n in zip(*(c.to_pylist() for c in found.select("bucket", scaled).toArrow().columns), strict=True):
+        table[b] = n
+    return bytes(table)
 
 
-def ordered(hashes: np.ndarray, lines: np.ndarray, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each line's distinct words as numbers, the rarest first: numbers end to end, each line's first (n + 1), and the lines' numbers.
+def ordered_tokens(line: Column, rarity: bytes) -> Column:
+    """A line's distinct words as numbers, the rarest first: the bucket's rarity in the top byte, then 56 bits of hash."""
+    bits = int(math.log2(len(rarity)))
+    table = F.lit(rarity)
 
-    A number has the rarity of the word's bucket in the top byte, then 56 bits of hash. Lines come in order; those without words have no entry.
-    """
-    bits = U64(64 - (len(rarity) - 1).bit_length())
-    numbers = (rarity[(hashes >> bits).astype(np.int64)].astype(U64) << U64(56)) | (hashes & U64((1 << 56) - 1))
-    begins = np.flatnonzero(np.diff(lines, prepend=-1))
-    edges = [*begins.tolist(), len(lines)]
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        numbers[a:b].sort()
-    fresh = np.ones(len(numbers), bool)
-    fresh[1:] = numbers[1:] != numbers[:-1]
-    fresh[begins] = True
-    sums = np.concatenate(([0], np.cumsum(fresh)))
-    return numbers[fresh], sums[edges], lines[begins]
-
-
-def rarity_table(docs: DataFrame, text_column: str, bits: int) -> np.ndarray:
-    """A byte for each of 2**bits hash buckets of words: six times the logarithm of the words counted there, at most 127.
+    def number(h: Column) -> Column:
+        place = F.shiftrightunsigned(h, 64 - bits).cast("int") + 1
+        rank = F.ascii(F.substring(table, place, F.lit(1)).cast("string"))
+        return F.shiftleft(rank.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h.bitwiseXOR(F.shiftleft(h, 23)), 8))
 
-    Counts cover all words of all documents. The driver gets one number per bucket, at every size of the input.
+    return F.sort_array(F.array_distinct(F.transform(F.transform(F.array_remove(tokens(line), ""), lambda word: F.xxhash64(word)), number)))
+
+
+def signature(words: str) -> list[Column]:
+    """256 bits in four numbers, each bit the parity of the words that hash to it.
+
+    Two sets differ in as many words as their signatures in bits, or more.
     """
+    long = lambda n: F.lit(n).cast("long")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, np.int64)
-        for batch in batches:
-            for _, _, hashes, *_ in _words(batch.column(0)):
-                counts += np.bincount((hashes >> U64(64 - bits)).astype(np.int64), minlength=1 << bits)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at])], ["bucket", "n"])
+    def quarter(k: int) -> Column:
+        flip = lambda bits, w: bits.bitwiseXOR(F.call_function("shiftleft", long(1), w.bitwiseAND(long(63)).cast("int")))
+        return F.aggregate(words, long(0), lambda bits, w: F.when(w.bitwiseAND(long(192)) == 64 * k, flip(bits, w)).otherwise(bits))
 
-    texts = docs.select(F.col(text_column).cast("string").alias("text")).where("text <> ''")
-    found = texts.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(1 << bits, np.uint8)
-    table[found["bucket"].to_numpy()] = np.minimum(127, np.floor(6 * np.log(found["n"].to_numpy())))
-    return table
+    return [quarter(k).alias(name) for k, name in enumerate(SIGNATURE)]
 
 
-def _line_rows(docs: DataFrame, id_column: str, text_column: str, rarity: np.ndarray, percent: int) -> DataFrame:
+def _line_rows(docs: DataFrame, id_column: str, text_column: str, rarity: bytes, percent: int) -> DataFrame:
     """(row, text_key, line_no, n, set, s0 to s3, prefix) of each line with a word.
 
-    set is a 64-bit hash of the set of words. s0 to s3 are its signature of 256 bits, each the parity of the words that hash to
-    it: two sets differ in as many words as their signatures in bits, or more. prefix holds the words among which a
-    similar set of any length has one; sets too small to differ from a similar one have none.
+    set is a 64-bit hash of the set of words, s0 to s3 its signature. prefix holds the words among which a similar set of
+    any length has one; sets too small to differ from a similar one have none.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(rarity)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, hashes, lines, first, _ in _words(batch.column(2)):
-                if not len(hashes):
-                    continue
-                numbers, at, own = ordered(hashes, lines, shared.value)
-                n = np.diff(at)
-                sets = np.add.reduceat(mix(numbers ^ U64(0x51ED270B)), at[:-1])
-                bit, quarter = U64(1) << (numbers & U64(63)), (numbers >> U64(6)) & U64(3)
-                parities = [np.bitwise_xor.reduceat(np.where(quarter == k, bit, U64(0)), at[:-1]).view(np.int64) for k in range(4)]
-                size = np.where(n * (100 - percent) >= percent, n + (-percent * n) // 100 + 1, 0)
-                ends = np.cumsum(size)
-                prefix = numbers[np.arange(ends[-1]) + np.repeat(at[:-1] - ends + size, size)]
-                text = np.searchsorted(first, own, "right") - 1
-                rows = [batch.column(k).slice(lo, hi - lo).take(pa.array(text)) for k in (0, 1)]
-                numbered = (own - first[text], n)
-                yield pa.RecordBatch.from_arrays(
-                    [*rows, *(pa.array(x, pa.int32()) for x in numbered), pa.array(sets.view(np.int64)), *map(pa.array, parities), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(prefix.view(np.int64)))],
-                    ["row", "text_key", "line_no", "n", "set", *SIGNATURE, "prefix"],
-                )
-
-    texts = _placed(docs, id_column, text_column).where("text <> ''")
-    return texts.mapInArrow(run, "row long, text_key long, line_no int, n int, set long, s0 long, s1 long, s2 long, s3 long, prefix array<long>")
-
-
-def _sets_of(docs: DataFrame, id_column: str, text_column: str, rarity: np.ndarray, wanted: DataFrame) -> DataFrame:
-    """(class, words array<long>) of the lines in wanted (class, row, text_key, line_no): their whole sets."""
-    shared = docs.sparkSession.sparkContext.broadcast(rarity)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            asked = batch.column(1)
-            for lo, hi, data, offsets in chunks(batch.column(0)):
-                part = asked.slice(lo, hi - lo)
-                text = np.repeat(np.arange(hi - lo), part.value_lengths().to_numpy(zero_copy_only=False))
-                line_no, classes = (part.flatten().field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-                feeds = np.flatnonzero(data == 10)
-                # a text's line begins behind the feed before it, and ends at the next feed or the text's end
-                nth = np.searchsorted(feeds, offsets[:-1])[text] + line_no
-                begins = np.where(line_no > 0, feeds[np.maximum(nth - 1, 0)] + 1 if len(feeds) else 0, offsets[text])
-                ends = np.minimum(np.append(feeds, len(data))[nth], offsets[text + 1])
-                raw = data.tobytes()
-                each = pa.array([raw[x:y] for x, y in zip(begins.tolist(), ends.tolist(), strict=True)], pa.large_binary()).cast(pa.large_string())
-                for first, last, hashes, _, _, first_word in _words(each):
-                    numbers, at, _ = ordered(hashes, np.repeat(np.arange(last - first), np.diff(first_word)), shared.value)  # every line asked for has a word
-                    yield pa.RecordBatch.from_arrays([pa.array(classes[first:last], pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(numbers.view(np.int64)))], ["class", "words"])
+    n = F.col("n")
+    prefix_size = F.when(n * (100 - percent) >= percent, n - F.ceil(F.lit(percent) * n / 100) + 1).otherwise(0)
+    lines = _placed(docs, id_column, text_column).select("row", "text_key", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    lines = lines.where(F.btrim("line", F.lit(" \t\x0b\x0c\r")) != "").withColumn("words", ordered_tokens(F.col("line"), rarity))
+    lines = lines.select("row", "text_key", "line_no", F.size("words").alias("n"), F.xxhash64("words").alias("set"), *signature("words"), "words")
+    return lines.select("row", "text_key", "line_no", "n", "set", *SIGNATURE, F.slice("words", 1, prefix_size.cast("int")).alias("prefix"))
+
 
+def _sets_of(docs: DataFrame, id_column: str, text_column: str, rarity: bytes, wanted: DataFrame) -> DataFrame:
+    """(class, words array<long>) of the lines in wanted (class, row, text_key, line_no): their whole sets."""
     asked = wanted.groupBy("row", "text_key").agg(F.collect_list(F.struct("line_no", "class")).alias("asked"))
-    found = _placed(docs, id_column, text_column).join(broadcast_if_small(asked, wanted.count(), 40), ["row", "text_key"]).select("text", "asked")
-    return found.mapInArrow(run, "class long, words array<long>")
+    found = _placed(docs, id_column, text_column).join(broadcast_if_small(asked, wanted.count(), 40), ["row", "text_key"])
+    # the array around the lines has them made once for all places
+    lines = F.transform(F.array(F.split("text", "\n", -1)), lambda each: F.transform("asked", lambda a: F.struct(a["class"].alias("class"), F.get(each, a["line_no"]).alias("line"))))
+    found = found.select(F.explode(F.element_at(lines, 1)).alias("found"))
+    return found.select("found.class", ordered_tokens(F.col("found.line"), rarity).alias("words"))
 
 
-def line_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = 80, rarity_bits: int = 20, carry: tuple[str, ...] = ()) -> DataFrame:
+def line_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = 80, rarity_bits: int = 18, carry: tuple[str, ...] = ()) -> DataFrame:
     """Removes every line that is similar to an earlier line of any document.
 
     A line is the set of its lower-case words; two lines are similar if their Jaccard similarity is percent / 100 or
@@ -209,9 +165,9 @@ def _length_class(size: Column, percent: int) -> Column:
     return F.floor(F.log(size.cast("double")) / math.log(max(100 / percent, 1.01) ** 2)).cast("int")
 
 
-def _half(bits: Column) -> Column:
-    """A signature of 32 bits out of one of 64."""
-    return bits.bitwiseXOR(F.shiftrightunsigned(bits, 32)).bitwiseAND(F.lit(0xFFFFFFFF))
+def _folded(bits: Column) -> Column:
+    """A signature of 46 bits out of one of 64."""
+    return bits.bitwiseXOR(F.shiftrightunsigned(bits, 46)).bitwiseAND(F.lit((1 << 46) - 1))
 
 
 def _first_pairs(classes: DataFrame, percent: int, heads: int = 3) -> DataFrame:
@@ -236,21 +192,23 @@ def _unmatched_pairs(classes: DataFrame, tried: DataFrame, matched: DataFrame, p
     """
     done = broadcast_if_small(matched.withColumn("done", F.lit(1)), matched.count(), 16)
     n, pos = F.col("n"), F.col("pos")
-    sets = classes.where(F.size("prefix") > 0).join(done, "class", "left").select("class", "n", F.coalesce("done", F.lit(0)).alias("done"), "prefix", _half(F.col("s0")).alias("half"))
-    # size, position and half a signature travel as one number; for sets of 2**16 words or more it is zero, which lets all pairs pass
-    packed = F.when(n < 1 << 16, F.shiftleft(n.cast("long"), 48).bitwiseOR(F.shiftleft(pos.cast("long"), 32)).bitwiseOR(F.col("half"))).otherwise(0).alias("packed")
-    probe = sets.withColumn("length", _length_class(n, percent)).select("class", "n", "done", "half", "length", F.posexplode("prefix").alias("pos", "token"))
-    probe = probe.select(F.xxhash64("token", "length", "done").alias("key"), "class", packed, "done")
+    sets = classes.where(F.size("prefix") > 0).join(done, "class", "left").select("class", "n", F.coalesce("done", F.lit(0)).alias("done"), "prefix", _folded(F.col("s0")).alias("some"), *[F.when(n >= least, F.col(c)).otherwise(0).alias(c) for c, least in SENT.items()])
+    # size, position and 46 bits of a signature travel as one number; for sets of 1,024 words or more it is zero, which lets all pairs pass
+    packed = F.when((n < 1 << 10) & (pos < 1 << 8), F.shiftleft(n.cast("long"), 54).bitwiseOR(F.shiftleft(pos.cast("long"), 46)).bitwiseOR(F.col("some"))).otherwise(0).alias("packed")
+    probe = sets.withColumn("length", _length_class(n, percent)).select("class", "n", "done", "some", *SENT, "length", F.posexplode("prefix").alias("pos", "token"))
+    probe = probe.select(F.xxhash64("token", "length", "done").alias("key"), "class", packed, *SENT, "done")
     shorter = F.slice("prefix", 1, (n - F.ceil(F.lit(2 * percent) * n / (100 + percent)) + 1).cast("int"))
     lengths = F.sequence(_length_class(n, percent), _length_class(F.floor(n * 100 / percent), percent))
-    index = sets.select("class", "n", "done", "half", F.explode(lengths).alias("length"), shorter.alias("shorter")).select("class", "n", "done", "half", "length", F.posexplode("shorter").alias("pos", "token"))
-    at = lambda turn: index.select(F.xxhash64("token", "length", F.lit(turn)).alias("key"), F.col("class").alias("o_class"), packed.alias("o_packed"), "done")
+    index = sets.select("class", "n", "done", "some", *SENT, F.explode(lengths).alias("length"), shorter.alias("shorter")).select("class", "n", "done", "some", *SENT, "length", F.posexplode("shorter").alias("pos", "token"))
+    at = lambda turn: index.select(F.xxhash64("token", "length", F.lit(turn)).alias("key"), F.col("class").alias("o_class"), packed.alias("o_packed"), *[F.col(c).alias(f"o_{c}") for c in SENT], "done")
     asked = cut(probe.where("done = 1").select("key").distinct())
     again = at(1).where("done = 0").join(broadcast_if_small(asked, asked.count(), 16), "key", "left_semi")
-    size, place = (lambda c: F.shiftrightunsigned(c, 48).cast("int")), (lambda c: F.shiftrightunsigned(c, 32).bitwiseAND(F.lit(0xFFFF).cast("long")).cast("int"))
+    size, place = (lambda c: F.shiftrightunsigned(c, 54).cast("int")), (lambda c: F.shiftrightunsigned(c, 46).bitwiseAND(F.lit(0xFF).cast("long")).cast("int"))
     mine, other = F.col("packed"), F.col("o_packed")
     once = (size(other) < size(mine)) | ((size(other) == size(mine)) & (F.col("o_class") < F.col("class")))
-    apart = F.bit_count(mine.bitwiseXOR(other).bitwiseAND(F.lit(0xFFFFFFFF)))
+    apart = F.bit_count(mine.bitwiseXOR(other).bitwiseAND(F.lit((1 << 46) - 1)))
+    for c in SENT:
+        apart = apart + F.when((F.col(c) != 0) & (F.col(f"o_{c}") != 0), F.bit_count(F.col(c).bitwiseXOR(F.col(f"o_{c}")))).otherwise(0)
     near = (100 + percent) * apart <= (100 - percent) * (size(mine) + size(other))
     fit = (mine == 0) | (other == 0) | (once & near & _fits(percent, size(mine), place(mine), size(other), place(other)))
     pairs = probe.drop("done").join(at(0).union(again).drop("done"), "key").where((F.col("class") != F.col("o_class")) & fit)
@@ -258,7 +216,7 @@ def _unmatched_pairs(classes: DataFrame, tried: DataFrame, matched: DataFrame, p
     return pairs.join(broadcast_if_small(tried, tried.count(), 24), ["a", "b"], "left_anti")
 
 
-def _later(docs: DataFrame, id_column: str, text_column: str, rarity: np.ndarray, pairs: DataFrame, classes: DataFrame, percent: int, matched: DataFrame | None = None) -> DataFrame:
+def _later(docs: DataFrame, id_column: str, text_column: str, rarity: bytes, pairs: DataFrame, classes: DataFrame, percent: int, matched: DataFrame | None = None) -> DataFrame:
     """(class): the later class of each of the pairs (a, b) that is similar on full sets; classes matched before aren't looked at again.
 
     Only the lines that stand for the pairs' classes are ordered again.

@@ -79,26 +79,6 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, lengths, np.searchsorted(starts, offsets)
 
 
-_BASE = 0xD1342543DE82EF95  # odd, so it has an inverse
-_LETTERS = stream(256, 13)
-_powers = _inverse = np.ones(1, U64)
-
-
-def run_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, from running sums over the run: a random number for each byte times a power for its place.
-
-    Dividing by the power of the word's start makes the hash free of the place.
-    """
-    global _powers, _inverse
-    if len(_powers) < len(data):
-        n = max(1 << 20, len(data))
-        with np.errstate(over="ignore"):
-            _powers, _inverse = (np.cumprod(np.concatenate((np.ones(1, U64), np.full(n - 1, x, U64)))) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
-    with np.errstate(over="ignore"):
-        sums = np.concatenate((np.zeros(1, U64), np.cumsum(_LETTERS[data] * _powers[: len(data)])))
-        return mix((sums[starts + lengths] - sums[starts]) * _inverse[starts] + lengths.astype(U64))
-
-
 def word_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word: its bytes times a random number for each place, summed, then mixed."""
     if not len(starts):
