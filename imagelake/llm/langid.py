@@ -23,15 +23,22 @@ _ASCII_LETTER[[b for b in range(128) if chr(b).isalpha()]] = True
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def gram_buckets(data: np.ndarray, bits: int) -> np.ndarray:
+def gram_buckets(data: np.ndarray, offsets: np.ndarray, bits: int) -> np.ndarray:
     """The hash bucket of each run of four bytes, folded to lower case with one sign for all that isn't a letter.
 
-    The i-th stands for the bytes up to the i-th; the first three of a batch are padded.
+    The i-th stands for the bytes of its text up to the i-th; a text's first three are padded with that sign.
     """
     x = _FOLD[data].astype(np.uint32)
     h = x.copy()
+    begins = offsets[:-1][np.diff(offsets) > 0]
+    near = np.zeros(len(x), bool)
     for back in (1, 2, 3):
-        h[back:] += x[:-back] << np.uint32(8 * back)
+        at = begins + back - 1
+        near[at[at < len(x)]] = True  # fewer than `back` bytes of the text lie before
+        before = np.full(len(x), 32, np.uint32)
+        before[back:] = x[:-back]
+        before[near] = 32
+        h += before << np.uint32(8 * back)
     return (h * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
 
 
@@ -52,7 +59,7 @@ def gram_counts(docs: DataFrame, text_column: str, language_column: str, bits: i
         for batch in batches:
             languages = np.array(batch.column(1).to_pylist(), object)
             for lo, hi, data, offsets in chunks(batch.column(0)):
-                buckets, own = gram_buckets(data, bits), languages[lo:hi]
+                buckets, own = gram_buckets(data, offsets, bits), languages[lo:hi]
                 for lang in set(own):
                     mask = np.repeat(own == lang, np.diff(offsets))
                     counts[lang] = counts.get(lang, 0) + np.bincount(buckets[mask], minlength=1 << bits)
@@ -125,12 +132,22 @@ def infer(ll: np.ndarray, penalty: float, steps: int = 30) -> np.ndarray:
     return proportions
 
 
+def _segment_sums(table: np.ndarray, buckets: np.ndarray, begins: np.ndarray, at_once: int = 4096) -> np.ndarray:
+    """(segments, languages): the summed rows of the table, so many segments at once that long texts need no table of their bytes."""
+    ends = np.append(begins[1:], len(buckets))
+    out = np.empty((len(begins), table.shape[1]))
+    for a in range(0, len(begins), at_once):
+        b = min(a + at_once, len(begins))
+        out[a:b] = np.add.reduceat(table[buckets[begins[a] : ends[b - 1]]], begins[a:b] - begins[a], axis=0)
+    return out
+
+
 def identify(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", text_column: str = "text", segment: int = 64, penalty: float = 8.0, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, lang_pred, score, languages, carried columns): the language with the largest proportion of each whole text.
 
     A text is cut into segments of `segment` bytes; a segment's likelihood under a language comes from its four-byte
     grams, and expectation-maximisation estimates the proportions. score is the winner's proportion; languages
-    maps the chosen languages to theirs. A null text, or one without a letter, is `und` with score 0; so
+    maps the chosen languages to theirs. A row depends on its own text only, not on the rows beside it. A null text, or one without a letter, is `und` with score 0; so
     is every text when the model knows no language. Ties go to the language first in order. Ids may repeat or be
     null. Columns named in carry are passed on as they are; others are not read.
     """
@@ -148,7 +165,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", t
                     per = -(-sizes // segment)
                     first = np.concatenate(([0], np.cumsum(per)))
                     begins = (np.arange(first[-1]) - np.repeat(first[:-1], per)) * segment + np.repeat(offsets[:-1], per)
-                    ll = np.add.reduceat(table[gram_buckets(data, bits)], begins, axis=0).astype(np.float64)
+                    ll = _segment_sums(table, gram_buckets(data, offsets, bits), begins)
                     for i in np.flatnonzero(lettered):
                         shares = infer(ll[first[i] : first[i + 1]], penalty)
                         j = int(shares.argmax())

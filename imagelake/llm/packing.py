@@ -16,10 +16,19 @@ from imagelake.llm.shared import cut, number_rows
 from imagelake.llm.text import chunks
 
 
-def piece_lengths(n: int, longest: int) -> list[int]:
-    """n as a sum of as few powers of two up to longest as there are, the largest first."""
-    rest = n % longest
-    return [longest] * (n // longest) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
+def pieces_of(counts: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each count as a sum of as few powers of two up to longest as there are, the largest first: row, start and length of every piece."""
+    bits = longest.bit_length() - 1
+    powers = 1 << np.arange(bits - 1, -1, -1)
+    rest = (counts[:, None] & powers) > 0
+    whole = counts >> bits
+    n = whole + rest.sum(axis=1)
+    row = np.repeat(np.arange(len(counts)), n)
+    lengths = np.full(len(row), longest, np.int64)
+    tail = np.repeat(np.cumsum(n) - rest.sum(axis=1), rest.sum(axis=1))
+    lengths[tail + (np.cumsum(rest, axis=1) - 1)[rest]] = np.broadcast_to(powers, rest.shape)[rest]
+    start = np.cumsum(lengths) - lengths
+    return row, start - (np.cumsum(counts) - counts)[row], lengths
 
 
 def pack_powers_of_two(
@@ -30,7 +39,7 @@ def pack_powers_of_two(
     id_column: str = "doc_id",
     text_column: str = "text",
     with_ids: bool = False,
-    run_bytes: int = 4 << 20,
+    run_bytes: int = 16 << 20,
 ) -> DataFrame:
     """Cuts each document's ids (with end_id behind them) into pieces whose lengths are powers of two up to longest.
 
@@ -40,7 +49,8 @@ def pack_powers_of_two(
 
     Returns (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) and with with_ids also ids
     array<int>. A null or empty text is one piece that holds end_id alone. Rows that repeat an id or a text are packed
-    each for itself. An empty table gives no rows. Other columns are not read.
+    each for itself; a null doc_id is packed like others; of equal rows' pieces it is not said which comes first. An
+    empty table gives no rows. Other columns are not read.
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
@@ -52,20 +62,16 @@ def pack_powers_of_two(
             texts = _null_free(batch.column(1))
             for lo, hi, _, _ in chunks(texts, run_bytes):
                 ids, first = encoder.encode(texts.slice(lo, hi - lo))
-                ids = np.insert(ids, first[1:], end_id).astype("<u4")
-                first = first + np.arange(len(first))
-                row, start, length, crc = [], [], [], []
-                view = memoryview(ids.tobytes())
-                for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
-                    at = a
-                    for n in piece_lengths(b - a, longest):
-                        row.append(i)
-                        start.append(at - a)
-                        length.append(n)
-                        crc.append(zlib.crc32(view[4 * at : 4 * (at + n)]))
-                        at += n
-                row = np.array(row)
-                columns = [batch.column(0).slice(lo, hi - lo).take(pa.array(row)), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(np.diff(first)[row], pa.int64())]
+                own = first + np.arange(len(first))
+                out = np.empty(len(ids) + len(first) - 1, "<u4")
+                ends = np.zeros(len(out), bool)
+                ends[own[1:] - 1] = True
+                out[ends], out[~ends] = end_id, ids
+                ids, first = out, own
+                row, start, length = pieces_of(np.diff(first), longest)
+                raw, ends = memoryview(ids).cast("B"), 4 * np.cumsum(length)
+                crc = [zlib.crc32(raw[x:y]) for x, y in zip((ends - 4 * length).tolist(), ends.tolist(), strict=True)]
+                columns = [batch.column(0).slice(lo, hi - lo).take(pa.array(row)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.diff(first)[row])]
                 if with_ids:
                     columns.append(_lists(ids.view(np.int32), np.concatenate(([0], np.cumsum(length))), pa.int32()))
                 yield pa.RecordBatch.from_arrays(columns, ["id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(columns)])

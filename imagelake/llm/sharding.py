@@ -29,11 +29,15 @@ def topology(shards: int = 16, base: int = 16, racks_in_region: int = 2, shards_
     """
     per_region = racks_in_region * shards_in_rack
     return [
-        Shard(i, f"r{i // per_region}", f"k{i % per_region // shards_in_rack}") if i < base else Shard(i, f"x{i}", "k0")
+        Shard(i, f"r{i // per_region}", f"k{i % per_region // shards_in_rack}") if i < base else _further(i)
         for i in range(shards)
     ]
 
 
+def _further(shard: int) -> Shard:
+    return Shard(shard, f"x{shard}", "k0")
+
+
 def _draw(key: Column, node: str, weight: float) -> Column:
     """-ln(u) / weight with u in (0, 1) from the key and the node's name; a node wins in proportion to its weight."""
     u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(node)), 11).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
@@ -93,8 +97,8 @@ def shard_documents(
     null text has none, and the CRC of the empty text. A null id hashes like any other value, so all such rows share a
     shard; rows that repeat an id share its shard and get different slots. An empty table gives no rows.
     """
+    grown = grown_tree or (topology(shards + 1) if tree is None else [*tree, _further(max(x.shard for x in tree) + 1)])
     tree = tree or topology(shards)
-    grown = grown_tree or [*tree, Shard(max(x.shard for x in tree) + 1, "added", "k0")]
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     key = F.col("id")
     rows = cut(

@@ -9,6 +9,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from imagelake.llm import bpe, embedding_dedup, exact_dedup, langid, line_dedup, near_dedup, packing, pii, quality, sharding
 from imagelake.llm.queries import packing_tokenizer
@@ -82,6 +83,14 @@ def test_sharding(spark, docs, none):
     assert rows.where("grown_shard <> shard and grown_shard <> 16").isEmpty() and abs(moved - 20_000 / 17) < 200
 
 
+def test_a_further_shard_is_what_a_larger_tree_gives(spark):
+    ids = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    grown = {r.doc_id: r.grown_shard for r in sharding.shard_documents(ids, 16).collect()}
+    assert grown == {r.doc_id: r.shard for r in sharding.shard_documents(ids, 17).collect()}
+    own = [sharding.Shard(i, "r", f"k{i}") for i in range(3)]
+    assert {r.grown_shard for r in sharding.shard_documents(ids, tree=own).collect()} == {0, 1, 2, 3}
+
+
 def test_weights_and_confined_movement(spark):
     tree = [sharding.Shard(i, f"r{i // 2}", "k", 1.0 + (i == 3)) for i in range(4)]
     heavier = [sharding.Shard(x.shard, x.region, x.rack, 4.0 if x.shard == 3 else x.weight) for x in tree]
@@ -139,7 +148,18 @@ def test_packing(docs, none):
     pieces = sorted((r.start, r.length) for r in rows if r.doc_id == 9)
     assert pieces[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(pieces, pieces[1:])) and sum(n for _, n in pieces) == next(r.doc_tokens for r in rows if r.doc_id == 9)
     assert [(r.length, r.ids) for r in rows if r.doc_id == 5] == [(1, [1])]
-    assert packing.piece_lengths(2048 * 2 + 5, 2048) == [2048, 2048, 4, 1]
+    row, start, length = packing.pieces_of(np.array([2048 * 2 + 5, 1, 3]), 2048)
+    assert row.tolist() == [0, 0, 0, 0, 1, 2, 2] and start.tolist() == [0, 2048, 4096, 4100, 0, 0, 2] and length.tolist() == [2048, 2048, 4, 1, 1, 2, 1]
+    # ids against the library, joined over the pieces of each row
+    library = Tokenizer.from_str(packing_tokenizer())
+    library.encode_special_tokens = True
+    want = sorted(tuple(library.encode(t or "", add_special_tokens=False).ids) + (1,) for _, t in ROWS)
+    few = docs.sparkSession.createDataFrame([(k, t) for k, (_, t) in enumerate(ROWS)], "doc_id long, text string")
+    by = {}
+    for r in packing.pack_powers_of_two(few, packing_tokenizer(), longest=64, with_ids=True).collect():
+        by.setdefault(r.doc_id, []).append((r.start, r.ids))
+    assert sorted(tuple(i for _, ids in sorted(x) for i in ids) for x in by.values()) == want
+    assert sum(r.length for r in rows if r.doc_id is None) == sum(len(w) for w, (i, _) in zip([tuple(library.encode(t or "", add_special_tokens=False).ids) + (1,) for _, t in ROWS], ROWS) if i is None)
 
 
 def shingles(text, size):
@@ -306,6 +326,20 @@ def test_language(spark, docs, none):
     assert {r.lang_pred for r in langid.identify(asked, langid.LanguageModel.learn(none)).collect()} == {"und"}
 
 
+def test_language_rows_dont_depend_on_their_neighbours():
+    texts = ["hello", "hi yo", "", "a", "\u00e9t\u00e9 " * 300, "hi yo"]
+    alone = [langid.gram_buckets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]), 15).tolist() if t else [] for t in texts]
+    for order in (range(6), [5, 4, 3, 2, 1, 0], [2, 3, 1, 0, 4, 5]):
+        data = np.frombuffer("".join(texts[i] for i in order).encode(), np.uint8)
+        at = np.cumsum([0] + [len(texts[i].encode()) for i in order])
+        found = langid.gram_buckets(data, at, 15).tolist()
+        assert [found[a:b] for a, b in zip(at[:-1], at[1:], strict=True)] == [alone[i] for i in order]
+    table = np.random.default_rng(0).random((1 << 15, 3)).astype(np.float32)
+    buckets = np.arange(1000) * 7
+    begins = np.arange(0, 1000, 64)
+    assert np.allclose(langid._segment_sums(table, buckets, begins, 3), np.add.reduceat(table[buckets], begins, axis=0), rtol=1e-4)
+
+
 def test_language_stage_keeps_mixed_and_unknown(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     words = {"en": "the and of to with that this from have were ", "de": "der die und nicht ist mit eine von sich auf ", "fr": "les une dans pour que est sur pas vous avec "}
