@@ -192,7 +192,7 @@ def _unmatched_pairs(classes: DataFrame, tried: DataFrame, matched: DataFrame, p
     """
     done = broadcast_if_small(matched.withColumn("done", F.lit(1)), matched.count(), 16)
     n, pos = F.col("n"), F.col("pos")
-    sets = classes.where(F.size("prefix") > 0).join(done, "class", "left").select("class", "n", F.coalesce("done", F.lit(0)).alias("done"), "prefix", _folded(F.col("s0")).alias("some"), *[F.when(n >= least, F.col(c)).otherwise(0).alias(c) for c, least in SENT.items()])
+    sets = classes.where(F.size("prefix") > 0).join(done, "class", "left").select("class", "n", F.coalesce("done", F.lit(0)).alias("done"), "prefix", _folded(F.when(n < SENT["s1"], reduce(Column.bitwiseXOR, map(F.col, SIGNATURE))).otherwise(F.col("s0"))).alias("some"), *[F.when(n >= least, F.col(c)).otherwise(0).alias(c) for c, least in SENT.items()])
     # size, position and 46 bits of a signature travel as one number; for sets of 1,024 words or more it is zero, which lets all pairs pass
     packed = F.when((n < 1 << 10) & (pos < 1 << 8), F.shiftleft(n.cast("long"), 54).bitwiseOR(F.shiftleft(pos.cast("long"), 46)).bitwiseOR(F.col("some"))).otherwise(0).alias("packed")
     probe = sets.withColumn("length", _length_class(n, percent)).select("class", "n", "done", "some", *SENT, "length", F.posexplode("prefix").alias("pos", "token"))
@@ -206,7 +206,9 @@ def _unmatched_pairs(classes: DataFrame, tried: DataFrame, matched: DataFrame, p
     size, place = (lambda c: F.shiftrightunsigned(c, 54).cast("int")), (lambda c: F.shiftrightunsigned(c, 46).bitwiseAND(F.lit(0xFF).cast("long")).cast("int"))
     mine, other = F.col("packed"), F.col("o_packed")
     once = (size(other) < size(mine)) | ((size(other) == size(mine)) & (F.col("o_class") < F.col("class")))
-    apart = F.bit_count(mine.bitwiseXOR(other).bitwiseAND(F.lit((1 << 46) - 1)))
+    # short sets send the parities of all their words, the others those of a quarter
+    alike = (size(mine) < SENT["s1"]) == (size(other) < SENT["s1"])
+    apart = F.when(alike, F.bit_count(mine.bitwiseXOR(other).bitwiseAND(F.lit((1 << 46) - 1)))).otherwise(0)
     for c in SENT:
         apart = apart + F.when((F.col(c) != 0) & (F.col(f"o_{c}") != 0), F.bit_count(F.col(c).bitwiseXOR(F.col(f"o_{c}")))).otherwise(0)
     near = (100 + percent) * apart <= (100 - percent) * (size(mine) + size(other))
