@@ -12,7 +12,8 @@ from imagelake.llm.shared import broadcast_if_small, cut, discard
 
 NO_ID = -(1 << 63)
 SIGNATURE = ("s0", "s1", "s2", "s3")
-SENT = {"s1": 80, "s2": 200, "s3": 200}  # the words from which a set sends these parts of its signature through the join
+SHORT = 80  # sets below send the parities of all their words through the join, the others those of a quarter
+SENT = {"s1": 64, "s2": 160, "s3": 160}  # the words from which a set sends these parts of its signature too
 
 
 def _placed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -165,20 +166,28 @@ def _length_class(size: Column, percent: int) -> Column:
     return F.floor(F.log(size.cast("double")) / math.log(max(100 / percent, 1.01) ** 2)).cast("int")
 
 
+def _length_class_of(size: int, percent: int) -> int:
+    return math.floor(math.log(size) / math.log(max(100 / percent, 1.01) ** 2))
+
+
 def _folded(bits: Column) -> Column:
     """A signature of 46 bits out of one of 64."""
     return bits.bitwiseXOR(F.shiftrightunsigned(bits, 46)).bitwiseAND(F.lit((1 << 46) - 1))
 
 
-def _first_pairs(classes: DataFrame, percent: int, heads: int = 3) -> DataFrame:
-    """(a, b): each class with the earliest one of each of its rarest words and its length class, if the two fit.
+def _first_pairs(classes: DataFrame, percent: int, heads: int = 3, pivots: int = 4) -> DataFrame:
+    """(a, b): each class with some early ones of each of its rarest words and its length class, where the two fit.
 
-    Large groups of near copies find their match here, in as many pairs as members.
+    A word's classes are dealt to as many parts as pivots; the earliest of each part is one. Large groups of near copies find
+    their match here, in at most so many pairs a member.
     """
     rows = classes.where(F.size("prefix") > 0).select("class", F.col("first.row").alias("row"), "n", F.posexplode(F.slice("prefix", 1, heads)).alias("pos", "token"))
     rows = rows.select(F.xxhash64("token", _length_class(F.col("n"), percent)).alias("key"), "class", "row", "n", "pos")
-    pivots = rows.groupBy("key").agg(F.min(F.struct("row", "class", "n", "pos")).alias("pivot"), F.count("*").alias("size")).where("size > 1").select("key", "pivot")
-    pairs = rows.join(pivots, "key").where((F.col("class") != F.col("pivot.class")) & _fits(percent, F.col("n"), F.col("pos"), F.col("pivot.n"), F.col("pivot.pos")))
+    part = F.pmod(F.xxhash64("class"), F.lit(pivots))
+    earliest = [F.min(F.when(part == k, F.struct("row", "class", "n", "pos"))) for k in range(pivots)]
+    early = rows.groupBy("key").agg(F.array_compact(F.array(*earliest)).alias("early"), F.count("*").alias("size")).where("size > 1")
+    pairs = rows.join(early, "key").select("class", "n", "pos", F.explode("early").alias("pivot"))
+    pairs = pairs.where((F.col("class") != F.col("pivot.class")) & _fits(percent, F.col("n"), F.col("pos"), F.col("pivot.n"), F.col("pivot.pos")))
     return pairs.select(F.least("class", "pivot.class").alias("a"), F.greatest("class", "pivot.class").alias("b")).distinct()
 
 
@@ -192,28 +201,42 @@ def _unmatched_pairs(classes: DataFrame, tried: DataFrame, matched: DataFrame, p
     """
     done = broadcast_if_small(matched.withColumn("done", F.lit(1)), matched.count(), 16)
     n, pos = F.col("n"), F.col("pos")
-    sets = classes.where(F.size("prefix") > 0).join(done, "class", "left").select("class", "n", F.coalesce("done", F.lit(0)).alias("done"), "prefix", _folded(F.when(n < SENT["s1"], reduce(Column.bitwiseXOR, map(F.col, SIGNATURE))).otherwise(F.col("s0"))).alias("some"), *[F.when(n >= least, F.col(c)).otherwise(0).alias(c) for c, least in SENT.items()])
-    # size, position and 46 bits of a signature travel as one number; for sets of 1,024 words or more it is zero, which lets all pairs pass
-    packed = F.when((n < 1 << 10) & (pos < 1 << 8), F.shiftleft(n.cast("long"), 54).bitwiseOR(F.shiftleft(pos.cast("long"), 46)).bitwiseOR(F.col("some"))).otherwise(0).alias("packed")
-    probe = sets.withColumn("length", _length_class(n, percent)).select("class", "n", "done", "some", *SENT, "length", F.posexplode("prefix").alias("pos", "token"))
-    probe = probe.select(F.xxhash64("token", "length", "done").alias("key"), "class", packed, *SENT, "done")
+    short_set = n < SHORT
+    sets = classes.where(F.size("prefix") > 0).join(done, "class", "left").select("class", "n", F.coalesce("done", F.lit(0)).alias("done"), "prefix", *SIGNATURE)
+    probe = sets.withColumn("length", _length_class(n, percent)).select("class", "n", "done", *SIGNATURE, "length", F.posexplode("prefix").alias("pos", "token"))
     shorter = F.slice("prefix", 1, (n - F.ceil(F.lit(2 * percent) * n / (100 + percent)) + 1).cast("int"))
     lengths = F.sequence(_length_class(n, percent), _length_class(F.floor(n * 100 / percent), percent))
-    index = sets.select("class", "n", "done", "some", *SENT, F.explode(lengths).alias("length"), shorter.alias("shorter")).select("class", "n", "done", "some", *SENT, "length", F.posexplode("shorter").alias("pos", "token"))
-    at = lambda turn: index.select(F.xxhash64("token", "length", F.lit(turn)).alias("key"), F.col("class").alias("o_class"), packed.alias("o_packed"), *[F.col(c).alias(f"o_{c}") for c in SENT], "done")
-    asked = cut(probe.where("done = 1").select("key").distinct())
-    again = at(1).where("done = 0").join(broadcast_if_small(asked, asked.count(), 16), "key", "left_semi")
+    index = sets.select("class", "n", "done", *SIGNATURE, F.explode(lengths).alias("length"), shorter.alias("shorter")).select("class", "n", "done", *SIGNATURE, "length", F.posexplode("shorter").alias("pos", "token"))
+    key = lambda turn: F.xxhash64("token", "length", turn).alias("key")
+    asked = cut(probe.where("done = 1").select(key(F.lit(1))).distinct())
+    asked = broadcast_if_small(asked, asked.count(), 16)
+
+    def met(some: Column, sent: list[Column]) -> DataFrame:
+        """Pairs of rows of one key, those of the index with o_ before their names."""
+        own = probe.where(some).select(key(F.col("done")), "class", *sent)
+        at = lambda rows, turn: rows.where(some).select(key(F.lit(turn)), "class", *sent)
+        others = at(index, 0).union(at(index.where("done = 0"), 1).join(asked, "key", "left_semi"))
+        return own.join(others.toDF("key", *[f"o_{c}" for c in others.columns[1:]]), "key").where("class <> o_class")
+
+    def fit(size: Column, place: Column, o_size: Column, o_place: Column, apart: Column) -> Column:
+        once = (o_size < size) | ((o_size == size) & (F.col("o_class") < F.col("class")))
+        return once & ((100 + percent) * apart <= (100 - percent) * (size + o_size)) & _fits(percent, size, place, o_size, o_place)
+
+    differ = lambda c: F.bit_count(F.col(c).bitwiseXOR(F.col(f"o_{c}")))
+    # in the lower length classes size, position and 46 bits of a signature travel as one number
+    low = F.col("length") < _length_class_of(900, percent)
+    some_bits = _folded(F.when(short_set, reduce(Column.bitwiseXOR, map(F.col, SIGNATURE))).otherwise(F.col("s0")))
+    packed = F.shiftleft(n.cast("long"), 54).bitwiseOR(F.shiftleft(pos.cast("long"), 46)).bitwiseOR(some_bits).alias("packed")
+    rows = met(low, [packed, *[F.when(n >= least, F.col(c)).otherwise(0).alias(c) for c, least in SENT.items()]])
     size, place = (lambda c: F.shiftrightunsigned(c, 54).cast("int")), (lambda c: F.shiftrightunsigned(c, 46).bitwiseAND(F.lit(0xFF).cast("long")).cast("int"))
     mine, other = F.col("packed"), F.col("o_packed")
-    once = (size(other) < size(mine)) | ((size(other) == size(mine)) & (F.col("o_class") < F.col("class")))
-    # short sets send the parities of all their words, the others those of a quarter
-    alike = (size(mine) < SENT["s1"]) == (size(other) < SENT["s1"])
-    apart = F.when(alike, F.bit_count(mine.bitwiseXOR(other).bitwiseAND(F.lit((1 << 46) - 1)))).otherwise(0)
-    for c in SENT:
-        apart = apart + F.when((F.col(c) != 0) & (F.col(f"o_{c}") != 0), F.bit_count(F.col(c).bitwiseXOR(F.col(f"o_{c}")))).otherwise(0)
-    near = (100 + percent) * apart <= (100 - percent) * (size(mine) + size(other))
-    fit = (mine == 0) | (other == 0) | (once & near & _fits(percent, size(mine), place(mine), size(other), place(other)))
-    pairs = probe.drop("done").join(at(0).union(again).drop("done"), "key").where((F.col("class") != F.col("o_class")) & fit)
+    head = F.bit_count(mine.bitwiseXOR(other).bitwiseAND(F.lit((1 << 46) - 1)))
+    more = reduce(lambda x, y: x + y, [F.when((F.col(c) != 0) & (F.col(f"o_{c}") != 0), differ(c)).otherwise(0) for c in SENT])
+    both_short, both_long = (size(mine) < SHORT) & (size(other) < SHORT), (size(mine) >= SHORT) & (size(other) >= SHORT)
+    apart = F.when(both_short, head).when(both_long, head + more).otherwise(more)
+    pairs = rows.where(fit(size(mine), place(mine), size(other), place(other), apart)).select("class", "o_class")
+    rows = met(~low, [n, pos, *map(F.col, SIGNATURE)])
+    pairs = pairs.union(rows.where(fit(n, pos, F.col("o_n"), F.col("o_pos"), reduce(lambda x, y: x + y, map(differ, SIGNATURE)))).select("class", "o_class"))
     pairs = pairs.select(F.least("class", "o_class").alias("a"), F.greatest("class", "o_class").alias("b")).distinct()
     return pairs.join(broadcast_if_small(tried, tried.count(), 24), ["a", "b"], "left_anti")
 
