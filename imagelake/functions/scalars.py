@@ -14,7 +14,7 @@ LENGTH_MASK = 0x00FFFFFFFFFFFFFF
 FILE_TYPES = {1: "fifo", 2: "character device", 4: "directory", 6: "block device", 8: "regular", 10: "symlink", 12: "socket", 14: "whiteout"}
 #: Volume role bits; above 0x20 the role is a number in the upper bits.
 VOLUME_ROLE_BITS = {1: "System", 2: "User", 4: "Recovery", 8: "VM", 16: "Preboot", 32: "Installer"}
-VOLUME_ROLES = {1: "Data", 2: "Baseband", 3: "Update", 4: "xART", 5: "Hardware", 6: "Backup", 9: "Enterprise", 11: "Prelogin"}
+VOLUME_ROLES = {1: "Data", 2: "Baseband", 3: "Update", 4: "Xart", 5: "Hardware", 6: "Backup", 7: "Reserved-7", 8: "Reserved-8", 9: "Enterprise", 10: "Reserved-10", 11: "Prelogin"}
 
 
 def _col(c: Column | str) -> Column:
@@ -35,9 +35,9 @@ def enum_name(value: Column | str, table: dict[int, str], default: str = "") ->
 
 
 def role_names(role: Column | str) -> Column:
-    """Roles up to 0x20 are a set of bits, larger ones a number in the bits from 6 on."""
+    """Roles up to 0x20 are a set of bits, larger ones a number in the bits from 6 on; no role has a name too, unknown numbers none."""
     r = _col(role).cast("long")
-    return F.when(r <= 0x20, flag_names(r, VOLUME_ROLE_BITS)).otherwise(enum_name(F.shiftright(r, 6), VOLUME_ROLES, "Unknown"))
+    return F.when(r == 0, "No specific role").when(r <= 0x20, flag_names(r, VOLUME_ROLE_BITS)).otherwise(enum_name(F.shiftright(r, 6), VOLUME_ROLES))
 
 
 def _div(a: Column, b: int) -> Column:

@@ -12,13 +12,15 @@ from imagelake.functions.scalars import enum_name
 from imagelake.kernels import fletcher64_sums, name_hash, valid_blocks
 
 #: Object types below 0x21 by number.
+#: The names of object types, by number.
 OBJECT_TYPES = {
-    0x01: "Container Superblock", 0x02: "B-Tree", 0x03: "B-Tree Node", 0x05: "Space Manager", 0x06: "Space Manager Address Blocks", 0x07: "Space Manager Info Blocks",
-    0x08: "Space Manager Bitmap", 0x09: "Space Manager Free Queue", 0x0A: "Extent List Tree", 0x0B: "Object Map", 0x0C: "Checkpoint Map", 0x0D: "Volume Superblock",
-    0x0E: "Filesystem Tree", 0x0F: "Block Reference Tree", 0x10: "Snapshot Metadata Tree", 0x11: "Reaper", 0x12: "Reap List", 0x13: "Object Map Snapshot",
-    0x14: "EFI Jumpstart", 0x15: "Fusion Middle Tree", 0x16: "Fusion Write Cache", 0x17: "Fusion Write Cache List", 0x18: "Encryption Rolling State",
-    0x19: "General Bitmap", 0x1A: "General Bitmap Tree", 0x1B: "General Bitmap Block", 0x1C: "Encryption Rolling Recovery Block", 0x1D: "Snapshot Metadata Extension",
-    0x1E: "Integrity Metadata", 0x1F: "File Extent Tree", 0x20: "Reserved",
+    0x00: "0", 0x01: "Container Superblock", 0x02: "B-Tree", 0x03: "B-Tree Node", 0x04: "M-Tree",
+    0x05: "Spaceman", 0x06: "Spaceman CIB Address Block", 0x07: "Spaceman Chunk Info Block", 0x08: "Spaceman Bitmap", 0x09: "Spaceman Free Queue",
+    0x0A: "Extent List Tree", 0x0B: "Object Map", 0x0C: "Checkpoint Map", 0x0D: "Volume Superblock", 0x0E: "Filesystem Tree",
+    0x0F: "Block Ref Tree", 0x10: "Snap Meta Tree", 0x11: "NX Reaper", 0x12: "NX Reap List", 0x13: "OMap Snapshot",
+    0x14: "EFI Jumpstart", 0x15: "Fusion Middle Tree", 0x16: "Fusion WBC", 0x17: "Fusion WBC List", 0x18: "ER State",
+    0x19: "G Bitmap", 0x1A: "G Bitmap Tree", 0x1B: "G Bitmap Block", 0x1C: "ER Recovery Block", 0x1D: "Snap Meta Ext",
+    0x1E: "Integrity Meta", 0x1F: "Fext Tree", 0x20: "Reserved 20",
 }
 B_TREE, B_TREE_NODE = 2, 3
 

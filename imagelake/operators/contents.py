@@ -165,7 +165,8 @@ def xattr_values(xattrs: DataFrame, extents: DataFrame, blocks: DataFrame, block
     outside = xattrs.where(F.col("data").isNull() & F.col("stream_id").isNotNull())
     streams = outside.select(F.col("stream_id").alias("private_id"), F.col("stream_size").alias("ds_size")).distinct()
     read = file_content(streams, extents, blocks, block_size)
-    found = outside.join(read.select(F.col("private_id").alias("stream_id"), F.col("data").alias("value")), "stream_id", "left")
+    one_row = F.when(F.col("part") == 0, F.col("data")).otherwise(F.raise_error(F.lit("an attribute's value is too long for a row")).cast("binary"))
+    found = outside.join(read.select(F.col("private_id").alias("stream_id"), one_row.alias("value")), "stream_id", "left")
     return inside.unionByName(found.select("ino", "name", F.lit(False).alias("embedded"), "value"))
 
 

@@ -52,30 +52,41 @@ def explode_extents(extents: DataFrame, block_size: int) -> DataFrame:
     )
 
 
-def concat_pieces(pieces: DataFrame, key: str, order: str, data: str, limit: int = 1 << 30) -> DataFrame:
-    """(key, data): a key's pieces in order, joined. Keys of more than limit bytes are left out: their pieces stay rows."""
-    sizes = pieces.groupBy(key).agg(F.sum(F.octet_length(data)).alias("_n")).where(F.col("_n") <= limit).select(key)
+def concat_pieces(pieces: DataFrame, key: str | list[str], order: str, data: str, limit: int = 1 << 30) -> DataFrame:
+    """(key, data): a key's pieces in order, joined. A key of more than limit bytes raises an error: it wouldn't fit a row."""
+    keys = [key] if isinstance(key, str) else list(key)
+    size = F.sum(F.octet_length(data))
+    fits = F.when(size > limit, F.raise_error(F.concat(F.lit(f"more than {limit} bytes: "), F.to_json(F.struct(*keys))))).otherwise(F.lit(True))
+    sizes = pieces.groupBy(*keys).agg(fits.cast("boolean").alias("_fits")).where("_fits").select(*keys)
     ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(data).alias("d"))))
-    joined = pieces.join(sizes, key, "left_semi").groupBy(key).agg(ordered.alias("_p"))
+    joined = pieces.join(sizes, keys, "left_semi").groupBy(*keys).agg(ordered.alias("_p"))
     # hex digits join in linear time; concat in a fold would copy what is done again and again
-    return joined.select(key, F.unhex(F.array_join(F.transform("_p", lambda p: F.hex(p["d"])), "")).alias(data))
+    return joined.select(*keys, F.unhex(F.array_join(F.transform("_p", lambda p: F.hex(p["d"])), "")).alias(data))
 
 
 def file_content(inodes: DataFrame, extents: DataFrame, blocks: DataFrame, block_size: int, limit: int = 1 << 30) -> DataFrame:
-    """(private_id, size, data) of whole files: the key is the private id, holes are zeros, the end is cut to the size.
+    """(private_id, size, part, data) of all files: the key is the private id, holes are zeros, the end is cut to the size.
 
-    Blocks are joined by address; an empty file has empty data; files above limit bytes are left out and stay available
-    through explode_extents. Missing blocks read as zeros.
+    A file of up to limit bytes is part 0; a larger one is as many parts as it takes, each of limit bytes (in whole blocks)
+    but the last, which in order are the file. Blocks are joined by address; an empty file has empty data. Missing blocks
+    read as zeros.
     """
-    wanted = inodes.where(F.col("ds_size") <= limit).select("private_id", F.col("ds_size").alias("size"))
+    per_part = max(1, limit // block_size)
+    div = lambda c, n: F.call_function("div", c, F.lit(n).cast("long"))
+    wanted = inodes.select("private_id", F.col("ds_size").alias("size"))
     units = explode_extents(extents, block_size).join(wanted, F.col("file_id") == F.col("private_id")).where(F.col("file_block") * block_size < F.col("size"))
     zero = F.unhex(F.repeat(F.lit("00"), block_size))
-    read = units.join(blocks.select("paddr", "data"), "paddr", "left").select("private_id", "size", "file_block", F.coalesce(F.when(F.col("paddr") != 0, F.col("data")), zero).alias("data"))
+    read = units.join(blocks.select("paddr", "data"), "paddr", "left").select("private_id", "file_block", F.coalesce(F.when(F.col("paddr") != 0, F.col("data")), zero).alias("data"))
     # blocks that no extent covers are zeros too
-    every = wanted.where("size > 0").select("private_id", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.call_function("div", F.col("size") - 1, F.lit(block_size).cast("long")))).alias("file_block"))
-    full = every.join(read.select("private_id", "file_block", "data"), ["private_id", "file_block"], "left").withColumn("data", F.coalesce("data", zero))
-    joined = concat_pieces(full, "private_id", "file_block", "data", limit + block_size)
-    return wanted.join(joined, "private_id", "left").select("private_id", "size", F.substring(F.coalesce("data", F.lit(b"")), F.lit(1), F.col("size").cast("int")).alias("data"))
+    last = div(F.col("size") - 1, block_size)
+    parts = wanted.where("size > 0").select("private_id", "size", F.explode(F.sequence(F.lit(0).cast("long"), div(last, per_part))).alias("part"))
+    end = F.least(last, (F.col("part") + 1) * per_part - 1)
+    every = parts.select("private_id", "part", F.explode(F.sequence(F.col("part") * per_part, end)).alias("file_block"))
+    full = every.join(read, ["private_id", "file_block"], "left").withColumn("data", F.coalesce("data", zero))
+    joined = concat_pieces(full, ["private_id", "part"], "file_block", "data", per_part * block_size)
+    whole = wanted.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), div(F.greatest(last, F.lit(0)), per_part)))))
+    left = F.least(F.col("size") - F.col("part") * per_part * block_size, F.lit(per_part * block_size)).cast("int")
+    return whole.join(joined, ["private_id", "part"], "left").select("private_id", "size", "part", F.substring(F.coalesce("data", F.lit(b"")), F.lit(1), F.greatest(left, F.lit(0))).alias("data"))
 
 
 def shared_extents(extents: DataFrame, by: list[str] | str, size: str) -> DataFrame:

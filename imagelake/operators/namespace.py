@@ -39,22 +39,27 @@ def lookup_name(probes: DataFrame, entries: DataFrame, fold: bool = False, hash_
     return probes.join(side, same, "left").drop("_parent", "_name", "_hash")
 
 
-def build_paths(entries: DataFrame, directories: Column, root: int = ROOT, max_depth: int = 64, every: int = 4) -> DataFrame:
-    """entries with depth and path from the root. An entry that no root reaches, or only past max_depth, has none.
+def build_paths(entries: DataFrame, directories: Column, root: int = ROOT) -> DataFrame:
+    """entries with depth and path from the root. An entry that no root reaches has none.
 
-    Directories are walked level by level, files join once at the end. A level holds the directories of that depth, so all
-    rounds together read each directory once. Every few levels the walk is cut in the checkpoint folder.
+    Directories are stored once and walked level by level until a level is empty, whatever the depth; files join once at
+    the end. A directory isn't entered again below itself, so a cycle in a corrupt image ends.
     """
-    dirs = entries.where(directories).select("parent_id", "name", "file_id")
-    level = dirs.where(F.col("parent_id") == root).select(F.col("file_id").alias("dir"), F.concat(F.lit("/"), "name").alias("dir_path"), F.lit(1).alias("dir_depth"))
-    spark = entries.sparkSession
-    reached = spark.range(1).select(F.lit(root).cast("long").alias("dir"), F.lit("").alias("dir_path"), F.lit(0).alias("dir_depth"))
-    for depth in range(1, max_depth + 1):
+    dirs = checkpoint_table(entries.where(directories).select("parent_id", "name", "file_id"))
+    above = F.array(F.lit(root).cast("long"))
+    level = dirs.where((F.col("parent_id") == root) & (F.col("file_id") != root)).select(F.col("file_id").alias("dir"), F.concat(F.lit("/"), "name").alias("dir_path"), F.lit(1).alias("dir_depth"), above.alias("above"))
+    reached = entries.sparkSession.range(1).select(F.lit(root).cast("long").alias("dir"), F.lit("").alias("dir_path"), F.lit(0).alias("dir_depth"))
+    depth = 0
+    while True:
+        depth += 1
         level = checkpoint_table(level)
         if level.isEmpty():
             break
-        reached = reached.unionByName(level)
-        level = dirs.join(level, F.col("parent_id") == F.col("dir")).select(F.col("file_id").alias("dir"), F.concat("dir_path", F.lit("/"), "name").alias("dir_path"), F.lit(depth + 1).alias("dir_depth"))
+        reached = reached.unionByName(level.drop("above"))
+        if depth % 16 == 0:  # plans stay short
+            reached = checkpoint_table(reached)
+        below = dirs.join(level, F.col("parent_id") == F.col("dir")).withColumn("above", F.concat("above", F.array("dir"))).where(~F.array_contains("above", F.col("file_id")))
+        level = below.select(F.col("file_id").alias("dir"), F.concat("dir_path", F.lit("/"), "name").alias("dir_path"), F.lit(depth + 1).alias("dir_depth"), "above")
     return entries.join(reached, F.col("parent_id") == F.col("dir"), "left").select(*[entries[c] for c in entries.columns], (F.col("dir_depth") + 1).alias("depth"), F.concat("dir_path", F.lit("/"), "name").alias("path"))
 
 
@@ -63,20 +68,20 @@ def orphans(entries: DataFrame, paths: DataFrame) -> DataFrame:
     return paths.where("path is null").select(*entries.columns)
 
 
-def resolve_paths(paths: DataFrame, entries: DataFrame, root: int = ROOT, fold: bool = False, max_depth: int = 64) -> DataFrame:
-    """paths (path) with file_id, one name lookup per component; null where a component is missing or it's too deep."""
+def resolve_paths(paths: DataFrame, entries: DataFrame, root: int = ROOT, fold: bool = False) -> DataFrame:
+    """paths (path) with file_id, one name lookup per component of the longest path; null where a component is missing."""
     parts = F.filter(F.split("path", "/"), lambda x: x != "")
     state = paths.withColumns({"_parts": parts, "_at": F.lit(root).cast("long")})
     deepest = state.agg(F.max(F.size("_parts"))).first()[0] or 0
     side = entries.select(F.col("parent_id").alias("_parent"), (F.lower("name") if fold else F.col("name")).alias("_name"), F.col("file_id").alias("_next"))
-    for depth in range(1, min(deepest, max_depth) + 1):
+    for depth in range(1, deepest + 1):
         part = F.try_element_at("_parts", F.lit(depth))
         part = F.lower(part) if fold else part
         joined = state.join(side, (F.col("_at") == F.col("_parent")) & (part == F.col("_name")), "left")
         state = joined.withColumn("_at", F.when(F.size("_parts") >= depth, F.col("_next")).otherwise(F.col("_at"))).drop("_parent", "_name", "_next")
         if depth % 4 == 0:
             state = checkpoint_table(state)
-    return state.withColumn("file_id", F.when(F.size("_parts") <= max_depth, F.col("_at"))).drop("_parts", "_at")
+    return state.withColumn("file_id", F.col("_at")).drop("_parts", "_at")
 
 
 def stat(inodes: DataFrame, xattrs: DataFrame, uid: int | None = None, gid: int | None = None) -> DataFrame:

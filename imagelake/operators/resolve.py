@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from imagelake.sources.tables import checkpoint_table
+
 MODES = ("EQ", "LE", "LT", "GE", "GT")
 
 
@@ -46,40 +48,31 @@ def asof_lookup(probes: DataFrame, log: DataFrame, key: str, version: str, probe
     return found.where("_side = 1").select("_probe.*", *[F.when(hit, F.col("_found")[c]).alias(f"found_{c}") for c in values])
 
 
-def neighbor_lookup(probes: DataFrame, table: DataFrame, probe: str, value: str, mode: str, buckets: int = 64) -> DataFrame:
+def neighbor_lookup(probes: DataFrame, table: DataFrame, probe: str, value: str, mode: str) -> DataFrame:
     """probes with `neighbor`: the value of table that stands in the relation `mode` to the probe, or null if none does.
 
-    EQ is a join. For the others, values and probes are dealt to ranges of about equal size and a window finds the
-    neighbour inside a range; what lies beyond a range's edge comes from the ranges' limits, at most `buckets` values.
+    EQ is a join. For the others, the distinct values and probes are dealt to ranges in one order, as many as Spark has shuffle
+    partitions, and a running window carries the last value on: forwards for LE and LT, backwards for GE and GT. What
+    lies beyond a range's edge comes from the ranges' limits, a row a range. The neighbours then join the probes.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     values = table.where(F.col(value).isNotNull()).select(F.col(value).alias("_v")).distinct()
     if mode == "EQ":
         return probes.join(values.withColumn("neighbor", F.col("_v")), F.col(probe) == F.col("_v"), "left").drop("_v")
-    shares = F.array(*[F.lit(k / buckets) for k in range(1, buckets)])
-    edges = sorted(set(values.agg(F.percentile_approx("_v", shares, F.lit(10_000))).first()[0] or []))
     kind = values.schema["_v"].dataType
-    literals = lambda xs: F.array(*[F.lit(x).cast(kind) for x in xs])
-    bucket = (F.size(F.filter(literals(edges), lambda x: x < F.col("_v"))) if edges else F.lit(0)).alias("_b")
     up = mode[0] == "G"
-    limits = {r[0]: r[1] for r in values.select(bucket, "_v").groupBy("_b").agg((F.min if up else F.max)("_v")).collect()}
-    beyond = []
-    for b in range(len(edges) + 1):
-        others = [limits[x] for x in limits if (x > b if up else x < b)]
-        beyond.append((min(others) if up else max(others)) if others else None)
-    before = mode in ("LE", "GT")  # whether a value equal to the probe stands before it in ascending order
-    cells = probes.select(F.struct("*").alias("p")).schema["p"].dataType
-    rows = values.select("_v", F.col("_v").alias("_hit"), F.lit(0 if before else 2).alias("_side"), F.lit(None).cast(cells).alias("_probe"))
-    asked = probes.select(F.col(probe).cast(kind).alias("_v"), F.lit(None).cast(kind).alias("_hit"), F.lit(1).alias("_side"), F.struct("*").alias("_probe"))
-    order = W.partitionBy("_b").orderBy("_v", "_side")
-    if up:
-        near = F.first("_hit", ignorenulls=True).over(order.rowsBetween(W.currentRow, W.unboundedFollowing))
-    else:
-        near = F.last("_hit", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
-    found = rows.unionByName(asked).select("*", bucket).withColumn("_near", near).where("_side = 1")
-    far = F.element_at(literals(beyond), F.col("_b") + 1)
-    return found.select("_probe.*", F.when(F.col("_v").isNotNull(), F.coalesce("_near", far)).alias("neighbor"))
+    onward = (lambda c: F.desc(c)) if up else (lambda c: F.asc(c))
+    rows = values.select("_v", F.col("_v").alias("_hit"), F.lit(0 if mode[1] == "E" else 2).alias("_side"))  # an equal value comes before the probe or behind it
+    asked = probes.select(F.col(probe).cast(kind).alias("_v")).where("_v is not null").distinct().select("_v", F.lit(None).cast(kind).alias("_hit"), F.lit(1).alias("_side"))
+    dealt = checkpoint_table(rows.unionByName(asked).repartitionByRange("_v").withColumn("_b", F.spark_partition_id()))  # written once, so the ranges stay
+    limits = dealt.groupBy("_b").agg((F.min if up else F.max)("_hit").alias("_limit"))
+    earlier = W.orderBy(onward("_b")).rowsBetween(W.unboundedPreceding, -1)
+    far = limits.select("_b", F.last("_limit", ignorenulls=True).over(earlier).alias("_far"))
+    order = W.partitionBy("_b").orderBy(onward("_v"), "_side").rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = dealt.withColumn("_near", F.last("_hit", ignorenulls=True).over(order)).where("_side = 1")
+    found = found.join(F.broadcast(far), "_b").select("_v", F.coalesce("_near", "_far").alias("neighbor"))  # a row a range
+    return probes.join(found, F.col(probe).cast(kind) == F.col("_v"), "left").drop("_v")
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame, keys: str | list[str]) -> DataFrame:

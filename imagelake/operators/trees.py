@@ -8,21 +8,24 @@ from pyspark.sql import functions as F
 from imagelake.sources.tables import checkpoint_table
 
 
-def reachable(edges: DataFrame, roots: list[int], max_depth: int = 64) -> DataFrame:
+def reachable(edges: DataFrame, roots: list[int]) -> DataFrame:
     """(node, depth) of all nodes that roots reach over edges (node, child), level by level; a node counts at its first level.
 
-    The depth is bounded, so a cycle in a corrupt image ends. Each level is cut in the checkpoint folder.
+    The walk goes on until a level brings no new node, so any depth is reached and a cycle in a corrupt image ends. The
+    edges and each level are stored in the checkpoint folder.
     """
-    spark = edges.sparkSession
-    level = spark.createDataFrame([(r,) for r in roots], "node long").withColumn("depth", F.lit(0))
-    every = level
-    for depth in range(1, max_depth + 1):
+    edges = checkpoint_table(edges.select("node", "child"))
+    level = edges.sparkSession.createDataFrame([(r,) for r in roots], "node long").withColumn("depth", F.lit(0))
+    every, depth = level, 0
+    while True:
+        depth += 1
         new = edges.join(level.select("node"), "node").select(F.col("child").alias("node")).distinct().join(every, "node", "left_anti").withColumn("depth", F.lit(depth))
         level = checkpoint_table(new)
         if level.isEmpty():
-            break
+            return every
         every = every.unionByName(level)
-    return every
+        if depth % 16 == 0:  # plans stay short
+            every = checkpoint_table(every)
 
 
 def missing_children(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -128,12 +128,14 @@ def b2_fletcher64(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", B.fletcher64(head).alias("s")).select("doc_id", F.col("s")[0].alias("s1"), F.col("s")[1].alias("s2"))
 
 
-def _type_names() -> str:
-    return " ".join(f"WHEN {k} THEN '{v}'" for k, v in B.OBJECT_TYPES.items())
-
-
-@query(f"""
-    SELECT o_orderkey, CASE CASE WHEN o_orderkey % 40 IN (2, 3) THEN o_custkey % 50 ELSE o_orderkey % 40 END {_type_names()} ELSE 'Unknown' END AS type_name FROM orders""")
+@query("""
+    SELECT o_orderkey, coalesce(list_extract([
+        '0', 'Container Superblock', 'B-Tree', 'B-Tree Node', 'M-Tree', 'Spaceman', 'Spaceman CIB Address Block', 'Spaceman Chunk Info Block',
+        'Spaceman Bitmap', 'Spaceman Free Queue', 'Extent List Tree', 'Object Map', 'Checkpoint Map', 'Volume Superblock', 'Filesystem Tree', 'Block Ref Tree',
+        'Snap Meta Tree', 'NX Reaper', 'NX Reap List', 'OMap Snapshot', 'EFI Jumpstart', 'Fusion Middle Tree', 'Fusion WBC', 'Fusion WBC List',
+        'ER State', 'G Bitmap', 'G Bitmap Tree', 'G Bitmap Block', 'ER Recovery Block', 'Snap Meta Ext', 'Integrity Meta', 'Fext Tree',
+        'Reserved 20'
+    ], (1 + CASE WHEN o_orderkey % 40 IN (2, 3) THEN o_custkey % 50 ELSE o_orderkey % 40 END)::INTEGER), 'Unknown') AS type_name FROM orders""")
 def b4_object_type_name(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", B.object_type_name(F.col("o_orderkey") % 40, F.col("o_custkey") % 50).alias("type_name"))
 
@@ -189,15 +191,15 @@ def c3_checkpoint_lookup(spark, sf_dir):
     return C.checkpoint_lookup(maps, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("oid"))).select("oid", "paddr", "xid")
 
 
-def _flags_sql(value: str, names: dict[int, str]) -> str:
-    return "concat_ws(', ', " + ", ".join(f"CASE WHEN {value} & {b} <> 0 THEN '{n}' END" for b, n in names.items()) + ")"
-
-
-@query(f"""
-    SELECT p_partkey, CASE WHEN r <= 32 THEN {_flags_sql("r", X.VOLUME_ROLE_BITS)} ELSE CASE r >> 6 {" ".join(f"WHEN {k} THEN '{v}'" for k, v in X.VOLUME_ROLES.items())} ELSE 'Unknown' END END AS roles
-    FROM (SELECT p_partkey, CASE WHEN p_size <= 32 THEN p_size ELSE (p_size - 32) * 64 END::BIGINT AS r FROM part)""")
+@query("""
+    SELECT p_partkey, CASE WHEN r = 0 THEN 'No specific role' WHEN r <= 32 THEN
+        concat_ws(', ', CASE WHEN r & 1 <> 0 THEN 'System' END, CASE WHEN r & 2 <> 0 THEN 'User' END, CASE WHEN r & 4 <> 0 THEN 'Recovery' END,
+            CASE WHEN r & 8 <> 0 THEN 'VM' END, CASE WHEN r & 16 <> 0 THEN 'Preboot' END, CASE WHEN r & 32 <> 0 THEN 'Installer' END)
+        ELSE CASE r >> 6 WHEN 1 THEN 'Data' WHEN 2 THEN 'Baseband' WHEN 3 THEN 'Update' WHEN 4 THEN 'Xart' WHEN 5 THEN 'Hardware' WHEN 6 THEN 'Backup' WHEN 7 THEN 'Reserved-7'
+            WHEN 8 THEN 'Reserved-8' WHEN 9 THEN 'Enterprise' WHEN 10 THEN 'Reserved-10' WHEN 11 THEN 'Prelogin' ELSE '' END END AS roles
+    FROM (SELECT p_partkey, CASE WHEN p_size <= 32 THEN p_size - 1 ELSE (p_size - 32) * 64 END::BIGINT AS r FROM part)""")
 def c5_role_names(spark, sf_dir):
-    role = F.when(F.col("p_size") <= 32, F.col("p_size")).otherwise((F.col("p_size") - 32) * 64)
+    role = F.when(F.col("p_size") <= 32, F.col("p_size") - 1).otherwise((F.col("p_size") - 32) * 64)
     return table(spark, sf_dir, "part").select("p_partkey", X.role_names(role).alias("roles"))
 
 
@@ -447,6 +449,10 @@ def d3_decrypt_blocks(spark, sf_dir):
 COLOURS = {1: "red", 2: "green", 4: "blue", 8: "cyan", 16: "pink", 32: "grey"}
 
 
+def _flags_sql(value: str, names: dict[int, str]) -> str:
+    return "concat_ws(', ', " + ", ".join(f"CASE WHEN {value} & {b} <> 0 THEN '{n}' END" for b, n in names.items()) + ")"
+
+
 @query(f"SELECT p_partkey, {_flags_sql('p_size', COLOURS)} AS names FROM part")
 def x1_flag_names(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", X.flag_names("p_size", COLOURS).alias("names"))
@@ -488,7 +494,9 @@ def x7_compare_names(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", X.compare_names("p_name", "p_type").alias("raw"), X.compare_names("p_name", "p_type", True).alias("folded"))
 
 
-@query(f"SELECT p_partkey, CASE p_size % 16 {' '.join(f'WHEN {k} THEN {chr(39)}{v}{chr(39)}' for k, v in X.FILE_TYPES.items())} ELSE '' END AS kind FROM part")
+@query("""
+    SELECT p_partkey, CASE p_size % 16 WHEN 1 THEN 'fifo' WHEN 2 THEN 'character device' WHEN 4 THEN 'directory' WHEN 6 THEN 'block device' WHEN 8 THEN 'regular'
+        WHEN 10 THEN 'symlink' WHEN 12 THEN 'socket' WHEN 14 THEN 'whiteout' ELSE '' END AS kind FROM part""")
 def x8_mode_type(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", X.mode_type((F.col("p_size") % 16) * 4096 + 420).alias("kind"))
 

@@ -42,7 +42,7 @@ class BlockReader(DataSourceReader):
             size = os.path.getsize(path) - self.offset
             size = size if self.length is None else min(size, self.length)
             blocks, step = -(-size // self.block_size), max(1, self.range_bytes // self.block_size)
-            out += [Range(path, os.path.basename(path), self.tier, b, min(blocks, b + step), self.offset, self.block_size) for b in range(0, blocks, step)]
+            out += [Range(path, path, self.tier, b, min(blocks, b + step), self.offset, self.block_size) for b in range(0, blocks, step)]
         return out or [Range("", "", self.tier, 0, 0, 0, self.block_size)]
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
@@ -151,24 +151,32 @@ CHUNK_MAP = "method string, logical_off long, logical_len long, file_off long, f
 
 
 def parse_sparse(head: bytes, read) -> list[dict]:
-    """Bands of a sparse image: an index node at 0, others linked; band numbers from 1, 0 is a hole."""
+    """Bands of a sparse image: a header node at 0, index nodes linked from it; band numbers from 1, what no node names is a hole.
+
+    Fixed values of the format, in bytes: the header has sectors per band at 8, the next node's offset (8 bytes) at 20, the
+    total of sectors (8 bytes) at 28 and bands from 64; an index node has the next offset (8 bytes) at 12 and bands
+    from 56. Bands follow their node of 4096 bytes in the order named. Holes give rows of method `zero`.
+    """
     if head[:4] != b"sprs":
         return []
     number = lambda raw, at, n=4: int.from_bytes(raw[at : at + n], "big")
-    band, total = number(head, 8) * 512, number(head, 16) * 512
-    out, node, base, room, slot = [], head, 0, (4096 - 64) // 4, 0
-    following = number(head, 20, 8) if len(head) >= 28 else 0
+    band, total = number(head, 8) * 512, number(head, 28, 8) * 512
+    placed, node, base, first, following, seen = {}, head, 0, 64, number(head, 20, 8), {0}
     while True:
-        for i in range(room):
-            logical = number(node, (64 if base == 0 else 56) + 4 * i)
-            if logical:
-                out.append({"method": "stored", "logical_off": (logical - 1) * band, "logical_len": min(band, total - (logical - 1) * band), "file_off": base + 4096 + i * band, "file_len": min(band, total - (logical - 1) * band)})
-                slot += 1
-        if not following:
-            return out
-        base, node = following, read(following, 4096)
-        following = number(node, 16, 8)
-        room = (4096 - 56) // 4
+        for i, at in enumerate(range(first, 4096, 4)):
+            if logical := number(node, at):
+                placed[logical - 1] = base + 4096 + i * band
+        if not following or following in seen:  # a loop in a corrupt image ends
+            break
+        seen.add(following)
+        base, node, first = following, read(following, 4096), 56
+        following = number(node, 12, 8)
+    out = []
+    for k in range(-(-total // band) if band else 0):
+        size = min(band, total - k * band)
+        found = placed.get(k)
+        out.append({"method": "zero" if found is None else "stored", "logical_off": k * band, "logical_len": size, "file_off": found or 0, "file_len": 0 if found is None else size})
+    return out
 
 
 def parse_dmg(read, size: int) -> list[dict]:

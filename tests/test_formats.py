@@ -133,3 +133,17 @@ def test_tables_round_trip(spark, tmp_path):
 def test_name_hash_holds_the_length(name, length):
     assert kernels.name_hash(name) & 0x3FF == length
     assert kernels.name_hash("É", True) >> 10 == kernels.name_hash("é", True) >> 10
+
+
+def test_sparse_image_with_two_nodes_and_a_hole():
+    number = lambda n, size=4: n.to_bytes(size, "big")
+    band = 8 * 512
+    head = bytearray(4096)
+    head[:4], head[8:12], head[20:28], head[28:36] = b"sprs", number(8), number(100_000, 8), number(8 * 4 + 3, 8)
+    head[64:68], head[72:76] = number(2), number(1)  # the second band named has no number
+    node = bytearray(4096)
+    node[12:20], node[56:60] = number(0, 8), number(5)
+    rows = S.parse_sparse(bytes(head), lambda at, n: bytes(node) if at == 100_000 and n == 4096 else b"")
+    assert [(r["method"], r["logical_off"], r["logical_len"], r["file_off"], r["file_len"]) for r in rows] == [
+        ("stored", 0, band, 4096 + 2 * band, band), ("stored", band, band, 4096, band), ("zero", 2 * band, band, 0, 0), ("zero", 3 * band, band, 0, 0), ("stored", 4 * band, 3 * 512, 104_096, 3 * 512),
+    ]

@@ -112,3 +112,20 @@ def test_file_content_with_holes_and_ends(spark):
     blocks = spark.createDataFrame([(7, bytearray(b"abcd")), (9, bytearray(b"wxyz"))], "paddr long, data binary")
     found = {r.private_id: bytes(r.data) for r in E.file_content(inodes, extents, blocks, 4).collect()}
     assert found == {1: b"abcd\0\0\0\0wx", 2: b"", 3: b"\0\0\0\0ab"}
+    pieces = sorted((r.private_id, r.part, bytes(r.data)) for r in E.file_content(inodes, extents, blocks, 4, limit=4).collect())
+    assert pieces == [(1, 0, b"abcd"), (1, 1, b"\0\0\0\0"), (1, 2, b"wx"), (2, 0, b""), (3, 0, b"\0\0\0\0"), (3, 1, b"ab")]
+    with pytest.raises(Exception, match="more than 3 bytes"):
+        E.concat_pieces(blocks, "paddr", "paddr", "data", 3).collect()
+
+
+def test_deep_chains_and_cycles(spark):
+    """A chain past any fixed depth, and directories that hold themselves."""
+    deep = 70
+    rows = [(N.ROOT if i == 0 else 100 + i - 1, f"d{i}", 100 + i, 4) for i in range(deep)] + [(100 + deep - 1, "file", 900, 8), (100 + 2, "loop", 100, 4), (500, "x", 501, 4), (501, "y", 500, 4)]
+    entries = spark.createDataFrame(rows, "parent_id long, name string, file_id long, flags int").coalesce(1)
+    paths = N.build_paths(entries, F.col("flags") == 4)
+    found = {r.file_id: r.path for r in paths.where("name <> 'loop'").collect()}
+    want = "/" + "/".join(f"d{i}" for i in range(deep))
+    assert found[100 + deep - 1] == want and found[900] == want + "/file" and found[500] is None and found[501] is None
+    asked = spark.createDataFrame([(want + "/file",), ("/d0/no",)], "path string")
+    assert {r.path: r.file_id for r in N.resolve_paths(asked, entries).collect()} == {want + "/file": 900, "/d0/no": None}
