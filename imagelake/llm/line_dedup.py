@@ -122,7 +122,7 @@ def line_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     lines = F.split("text", "\n", -1)
     gone = F.coalesce("removed", F.array().cast("array<int>"))
     left = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(gone, i)), "\n")
-    return keyed.join(broadcast_if_small(removed, 8 * size[0] + size[1], 8), ["row", "text_key"], "left").select(
+    return keyed.join(broadcast_if_small(removed, size[0], 64 + 4 * size[1] // max(1, size[0])), ["row", "text_key"], "left").select(
         F.col("id").alias(id_column),
         "n_lines",
         F.size(gone).cast("long").alias("n_removed"),

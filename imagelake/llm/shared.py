@@ -69,9 +69,9 @@ def clean_up(spark: SparkSession) -> int:
     return gone
 
 
-def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int, limit_bytes: int = 64 << 20) -> DataFrame:
-    """df with a broadcast hint when its counted rows stay under limit_bytes; else as it is, to be shuffled."""
-    return F.broadcast(df) if rows * row_bytes <= limit_bytes else df
+def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int, limit_bytes: int = 32 << 20) -> DataFrame:
+    """df with a broadcast hint when its counted rows, with what a hash table needs for each, stay under limit_bytes; else as it is, to be shuffled."""
+    return F.broadcast(df) if rows * (row_bytes + 48) <= limit_bytes else df
 
 
 def number_rows(df: DataFrame, by: list[str], spread: Column, order: list[str], name: str, buckets: int = 1024) -> DataFrame:
