@@ -39,7 +39,8 @@ def pack_powers_of_two(
     id_column: str = "doc_id",
     text_column: str = "text",
     with_ids: bool = False,
-    run_bytes: int = 16 << 20,
+    run_bytes: int = 4 << 20,
+    cache_pieces: int = 400_000,
 ) -> DataFrame:
     """Cuts each document's ids (with end_id behind them) into pieces whose lengths are powers of two up to longest.
 
@@ -57,7 +58,7 @@ def pack_powers_of_two(
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_for(shared.value)
+        encoder = encoder_for(shared.value, cache_pieces)
         for batch in batches:
             texts = _null_free(batch.column(1))
             for lo, hi, _, _ in chunks(texts, run_bytes):
