@@ -56,8 +56,8 @@ def find(text: Column, expression: str) -> Column:
     )
 
 
-def with_context(text: Column, matches: Column, seed: bool) -> Column:
-    """The matches with left and right, the CONTEXT characters of the whole text on each side, and seed.
+def with_context(text: Column, matches: Column) -> Column:
+    """The matches (start, end, value, seed) with left and right, the CONTEXT characters of the whole text on each side.
 
     A place is looked up in the piece of the text that holds it and the one next to it, so that long texts stay cheap.
     """
@@ -69,7 +69,7 @@ def with_context(text: Column, matches: Column, seed: bool) -> Column:
         first, last = div(m["start"]), div(m["end"])
         before = F.concat(block(b, first - 1), F.left(block(b, first), m["start"] - first * _BLOCK))
         after = F.concat(F.substring(block(b, last), m["end"] - last * _BLOCK + 1, F.lit(_BLOCK)), block(b, last + 1))
-        return F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), F.right(before, F.lit(CONTEXT)).alias("left"), F.left(after, F.lit(CONTEXT)).alias("right"), F.lit(seed).alias("seed"))
+        return F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), m["seed"].alias("seed"), F.right(before, F.lit(CONTEXT)).alias("left"), F.left(after, F.lit(CONTEXT)).alias("right"))
 
     # the array around blocks has them made once for all matches
     return F.element_at(F.transform(F.array(blocks), lambda b: F.transform(matches, lambda m: one(b, m))), 1)
@@ -103,10 +103,11 @@ def _matches(text: Column, kind: str) -> Column:
 
 
 def base_matches(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(id, text_key, text, email, ip, card, phone): the valid matches of each kind."""
+    """(id, text_key, text, email, ip, card, phone, numbers): the valid matches of each kind, and all numbers as long as a card's."""
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     found = docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    keep = lambda kind: F.filter(_matches(F.col("text"), kind), lambda m: valid(kind, m["value"]))
+    found = found.withColumn("numbers", F.filter(_matches(F.col("text"), "card"), lambda m: _card_long(m["value"])))
+    keep = lambda kind: F.filter("numbers" if kind == "card" else _matches(F.col("text"), kind), lambda m: valid(kind, m["value"]))
     return found.withColumns({kind: keep(kind) for kind in KINDS})
 
 
@@ -122,64 +123,69 @@ def patterns_of(left: Column, right: Column) -> Column:
     return F.array_compact(F.array(two, around))
 
 
-def _contexts(found: DataFrame) -> DataFrame:
-    """(id, text_key, start, end, seed, instance, patterns) of seeds and of tokens that could be identifiers.
+def _with_contexts(found: DataFrame) -> DataFrame:
+    """(id, text_key, base, contexts): base spans, and the places of seeds and of tokens that could be identifiers.
 
     Tokens that touch a seed, or a number as long as a card's that fails its check, are no candidates. What refutes a
-    token lies in its own place: the rest of the text doesn't matter.
+    token lies in its own place: the rest of the text doesn't matter. Nothing is filtered here: a filter would be pushed
+    below the columns it reads and have every expression run once more.
     """
     text = F.col("text")
+    span = lambda i, kind: F.transform(kind, lambda m: F.struct(m["start"].alias("start"), F.lit(i).alias("rank"), m["end"].alias("end"), F.lit(kind).alias("kind")))
+    base = F.concat(*[span(i, kind) for i, kind in enumerate(KINDS)])
+    tokens = F.when(text.rlike(r"(?:[0-9][A-Za-z_-]*+){4}"), find(text, IDENTIFIER)).otherwise(F.array().cast(_EMPTY))
     seeds = F.concat(*KINDS)
-    tokens = F.when(text.rlike(r"[0-9]"), find(text, IDENTIFIER)).otherwise(F.array().cast(_EMPTY))
-    refuted = F.concat("seeds", F.filter(_matches(text, "card"), lambda m: _card_long(m["value"])))
-    rows = found.select("id", "text_key", "text", seeds.alias("seeds"), tokens.alias("tokens")).where((F.size("seeds") > 0) | (F.size("tokens") > 0))
-    rows = rows.withColumn("refuted", F.when(F.size("tokens") > 0, refuted).otherwise(F.array().cast(_EMPTY)))
-    rows = rows.withColumn("others", F.filter("tokens", lambda t: ~F.exists("refuted", lambda r: (r["start"] < t["end"]) & (t["start"] < r["end"]))))
-    rows = rows.where((F.size("seeds") > 0) | (F.size("others") > 0))
-    one = rows.select("id", "text_key", F.explode(F.concat(with_context(text, F.col("seeds"), True), with_context(text, F.col("others"), False))).alias("m"))
-    return one.select("id", "text_key", "m.start", "m.end", "m.seed", F.xxhash64(F.lower("m.value")).alias("instance"), patterns_of(F.col("m.left"), F.col("m.right")).alias("patterns"))
+    rows = found.select("id", "text_key", "text", base.alias("base"), seeds.alias("seeds"), F.concat(seeds, "numbers").alias("refuted"), tokens.alias("tokens"))
+    others = F.filter("tokens", lambda t: ~F.exists("refuted", lambda r: (r["start"] < t["end"]) & (t["start"] < r["end"])))
+    marked = lambda matches, seed: F.transform(matches, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), F.lit(seed).alias("seed")))
+    rows = rows.select("id", "text_key", "text", "base", F.concat(marked(F.col("seeds"), True), marked(others, False)).alias("places"))
+    instance = lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["seed"].alias("seed"), F.xxhash64(F.lower(m["value"])).alias("instance"), patterns_of(m["left"], m["right"]).alias("patterns"))
+    contexts = F.when(F.size("places") > 0, F.transform(with_context(text, F.col("places")), instance))
+    return rows.select("id", "text_key", "base", contexts.alias("contexts"))
 
 
 def trusted_patterns(contexts: DataFrame, rounds: int, confidence: float, support: int) -> DataFrame:
-    """(pattern): those whose score reaches confidence, with at least `support` different seeds behind it.
+    """(pattern): those whose score reaches confidence, with at least `support` different supporters behind it.
 
-    Patterns and instances form a graph. A seed scores 1, another instance as much as its best supported pattern; a
-    pattern scores the mean of its instances. Each round scores all patterns, then all instances.
+    Patterns and instances form a graph. A seed scores 1, another instance as much as its best pattern, or 0 while it has none. In
+    each round, the patterns with enough supporters score the mean of all their instances, then all instances are
+    scored anew. Supporters are seeds, and from the second round on instances that have reached the confidence: what one
+    pattern discovers supports the next, which no seed need be near.
     """
-    edges = cut(contexts.select("instance", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
-    seeded = edges.groupBy("pattern").agg(F.count(F.when(F.col("seed"), 1)).alias("seeds")).where(F.col("seeds") >= support).select("pattern")
-    # patterns with too few seeds never gain any: only instances gain scores
-    edges = cut(edges.join(seeded, "pattern"))
+    edges = contexts.select("instance", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
+    edges = cut(edges)
+    # a pattern of fewer instances than supporters asked for never has enough
+    edges = edges.join(edges.groupBy("pattern").count().where(F.col("count") >= support).select("pattern"), "pattern")
+    edges = cut(edges)
     scores = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("score"))
     for step in range(rounds):
-        scored = edges.join(scores, "instance").groupBy("pattern").agg(F.avg("score").alias("confidence"))
+        scored = edges.join(scores, "instance").groupBy("pattern").agg(F.avg("score").alias("confidence"), F.count(F.when(F.col("score") >= confidence, 1)).alias("supporters")).where(F.col("supporters") >= support)
         if step < rounds - 1:
-            scores = edges.join(scored, "pattern").groupBy("instance").agg(F.max(F.when(F.col("seed"), 1.0).otherwise(F.col("confidence"))).alias("score"))
+            best = F.max(F.when(F.col("seed"), 1.0).otherwise(F.coalesce("confidence", F.lit(0.0))))
+            scores = edges.join(scored, "pattern", "left").groupBy("instance").agg(best.alias("score"))
     return scored.where(F.col("confidence") >= confidence).select("pattern")
 
 
-def pii(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rounds: int = 3, confidence: float = 0.6, support: int = 3) -> DataFrame:
+def pii(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rounds: int = 5, confidence: float = 0.6, support: int = 3) -> DataFrame:
     """Personal data in each whole text: (doc_id, spans array<struct<start, end, kind>>), a row for each input row.
 
     Emails, IP addresses, card and phone numbers that pass their checks are the base spans, and the seeds of a bootstrap: the
     words around them make patterns, patterns and the identifier-like tokens they surround are scored in rounds over
-    the whole corpus, and tokens in the place that a trusted pattern marks become spans of kind `id`. Such a token
-    never touches a base span, nor a number of 14 to 19 digits that fails its check. Spans are sorted by start, then by kind in the order email, ip, card, phone,
+    the whole corpus, and tokens in the place that a trusted pattern marks become spans of kind `id`. Tokens found so
+    support further patterns in the next round. Such a token never touches a base span, nor a number of 14 to 19 digits
+    that fails its check. Spans are sorted by start, then by kind in the order email, ip, card, phone,
     id; places are code points, ends exclusive.
 
     A null or empty text has no spans. Rows that repeat a doc_id and a text have the same spans; a null doc_id is a key
     like others. An empty table gives no rows. Other columns are not read.
     """
-    found = base_matches(docs, id_column, text_column)
-    span = lambda i, kind: F.transform(kind, lambda m: F.struct(m["start"].alias("start"), F.lit(i).alias("rank"), m["end"].alias("end"), F.lit(kind).alias("kind")))
-    base = F.concat(*[span(i, kind) for i, kind in enumerate(KINDS)])
-    rows = cut(found.select("id", "text_key", base.alias("base")))
-    contexts = cut(_contexts(found))
+    rows = cut(_with_contexts(base_matches(docs, id_column, text_column)))
+    contexts = rows.select("id", "text_key", F.explode("contexts").alias("c")).select("id", "text_key", "c.*")
     trusted = trusted_patterns(contexts, rounds, confidence, support)
     candidates = contexts.where(~F.col("seed")).select("id", "text_key", "start", "end", F.explode("patterns").alias("pattern"))
     added = candidates.join(trusted, "pattern", "left_semi").select(F.coalesce("id", F.lit(0)).alias("key"), F.col("id").isNull().alias("no_id"), "text_key", F.struct("start", F.lit(len(KINDS)).alias("rank"), "end", F.lit(EXTRA).alias("kind")).alias("span"))
     added = added.groupBy("key", "no_id", "text_key").agg(F.collect_set("span").alias("added"))
-    keyed = rows.withColumns({"key": F.coalesce("id", F.lit(0)), "no_id": F.col("id").isNull()})
+    keyed = rows.select("id", "text_key", "base", F.coalesce("id", F.lit(0)).alias("key"), F.col("id").isNull().alias("no_id"))
     spans = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>"))))
     return keyed.join(added, ["key", "no_id", "text_key"], "left").select(F.col("id").alias(id_column), "text_key", F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))).alias("spans"))
 

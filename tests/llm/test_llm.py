@@ -288,10 +288,48 @@ def test_pii_identifier_beside_a_card(spark):
     assert found[9] == "id:2116:2125,card:2146:2165" and found[10] == "id:9:18" and found[11] == ""
     assert found[16] == "email:8:16,id:17:26"
     n, text = 300, "".join(f"é{i} 123456 \n" for i in range(300))
-    row = spark.createDataFrame([(text,)], "text string").select(pii.with_context(F.col("text"), pii.find(F.col("text"), "123456"), False).alias("m")).first()
+    row = spark.createDataFrame([(text,)], "text string").select(pii.with_context(F.col("text"), F.transform(pii.find(F.col("text"), "123456"), lambda m: m.withField("seed", F.lit(False)))).alias("m")).first()
     assert len(row.m) == n and all((m.left, m.right) == (text[max(0, m.start - 48) : m.start], text[m.end : m.end + 48]) and text[m.start : m.end] == "123456" for m in row.m)
 
 
+def test_pii_discoveries_support_further_patterns(spark):
+    """Identifiers beside seeds support a pattern that no seed is near; a pattern of unknown tokens stays untrusted."""
+    names = [f"AB-{i}8812x" for i in range(4)]
+    texts = [f"please write to user{i}@mail.com for the account now" for i in range(8)] + [f"please write to {n} for the account now" for n in names]
+    texts += [f"badge of holder {n} expires" for n in names] + ["badge of holder QQ-90013z expires"] + [f"part no {i}77{i}1-a in stock" for i in range(9)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.s for r in pii.pii(df).select("doc_id", pii.joined(F.col("spans")).alias("s")).collect()}
+    assert all(found[i] == "id:16:25" for i in range(8, 17))
+    assert all(found[i] == "" for i in range(17, 26))
+    one_hop = {r.doc_id: r.s for r in pii.pii(df, rounds=2).select("doc_id", pii.joined(F.col("spans")).alias("s")).collect()}
+    assert one_hop[8] == "id:16:25" and one_hop[16] == ""
+
+
+def test_pii_base_spans_are_the_plain_expressions(spark):
+    """Base spans of random texts against Python's re and the contract's own expressions."""
+    plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def good(kind, value):
+        digits = [int(c) for c in value if c.isdigit()]
+        if kind == "ip":
+            return all(int(x) <= 255 for x in value.split("."))
+        if kind == "card":
+            return 14 <= len(digits) <= 19 and sum(d if i % 2 == 0 else 2 * d - 9 * (d > 4) for i, d in enumerate(reversed(digits))) % 10 == 0
+        return kind == "email" or 10 <= len(digits) <= 15
+
+    draw = np.random.default_rng(5)
+    parts = ["4111 1111 1111 1111", "5500-0000-0000-0004", "+1 (663) 555-6869", "a.b@c.de", "10.0.0.255", "256.1.1.1", "é", "😀", " ", "  ", "\n", ".", "@", "-", "+", "x1", "0", "12", "..", "word"]
+    texts = ["".join(draw.choice(parts, 14)) for _ in range(600)]
+    want = []
+    for text in texts:
+        spans = sorted((m.start(), rank, m.end(), kind) for rank, (kind, e) in enumerate(plain.items()) for m in re.finditer(e, text) if good(kind, m[0]))
+        want.append(",".join(f"{kind}:{start}:{end}" for start, _, end, kind in spans))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    base = F.filter("spans", lambda s: s["kind"] != pii.EXTRA)
+    found = {r.doc_id: r.s for r in pii.pii(df).select("doc_id", pii.joined(base).alias("s")).collect()}
+    assert [found[i] for i in range(600)] == want and sum(map(len, want)) > 5000
+
+
 def test_quality(spark, docs, none):
     rows = [(i, (prose(i, 60) if i % 3 else prose(i, 60).upper().replace(" ", "!! ")), 0, int(i % 3 > 0)) for i in range(300)]
     df = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, n_chars long")
