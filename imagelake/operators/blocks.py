@@ -39,17 +39,16 @@ def tail_not_zero(data: Column | str, start: int) -> Column:
 
 def _by_length(data: pd.Series, work, empty) -> pd.Series:
     """Applies work to the rows of each length together; empty where the length isn't a multiple of 4, or null."""
-    out = pd.Series([empty] * len(data), dtype=object)
-    sizes = data.map(lambda x: -1 if x is None else len(x))
-    for n in sizes.unique():
+    out = np.full(len(data), empty, dtype=object)
+    sizes = data.map(lambda x: -1 if x is None else len(x)).to_numpy()
+    for n in np.unique(sizes):
         if n > 0 and n % 4 == 0:
-            at = np.flatnonzero(sizes.to_numpy() == n)
+            at = np.flatnonzero(sizes == n)
             for part in np.array_split(at, max(1, len(at) * int(n) // (8 << 20) + 1)):
                 if len(part):
-                    rows = np.frombuffer(b"".join(data.iloc[part]), np.uint8).reshape(len(part), n)
-                    for i, x in zip(part, work(rows), strict=True):
-                        out.iat[i] = x
-    return out
+                    done = work(np.frombuffer(b"".join(data.iloc[part]), np.uint8).reshape(len(part), n))
+                    out[part] = np.fromiter(done, dtype=object, count=len(part))
+    return pd.Series(out)
 
 
 def fletcher64(data: Column | str) -> Column:
@@ -137,10 +136,10 @@ def hexdump(data: Column | str, line: int = 16) -> Column:
     starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(line))).otherwise(F.array().cast("array<int>"))
 
     def one(at: Column) -> Column:
-        digits = F.hex(F.substring(d, at + 1, F.lit(line)))
-        pairs = F.filter(F.split(F.regexp_replace(digits, "(..)", "$1 "), " "), lambda x: x != "")
-        text = F.array_join(F.transform(pairs, lambda h: F.when((h >= "20") & (h < "7F"), F.decode(F.unhex(h), "US-ASCII")).otherwise(".")), "")
-        return F.struct(at.alias("offset"), F.array_join(pairs, " ").alias("hex"), text.alias("text"))
+        part = F.substring(d, at + 1, F.lit(line))
+        pairs = F.rtrim(F.regexp_replace(F.hex(part), "(..)", "$1 "))
+        text = F.regexp_replace(F.decode(part, "ISO-8859-1"), "[^ -~]", ".")
+        return F.struct(at.alias("offset"), pairs.alias("hex"), text.alias("text"))
 
     return F.transform(starts, one)
 

@@ -26,7 +26,9 @@ SQL: dict[str, str] = {}
 
 #: ids of the directory tree: each level has an offset of its own.
 REGION, NATION, CUSTOMER, ORDER = 10, 100, 1000, 1_000_000_000
-CUT = 4000  # a transaction in the middle of the log at the smallest sizes
+#: Transactions are fixed tenths of the log, so that what a query reads grows with the log.
+CUT_SQL = "(SELECT max(event_id) * {} // 10 FROM events)"
+EARLY, HALF, LATE = (CUT_SQL.format(tenths) for tenths in (1, 5, 9))
 
 
 def query(sql: str | None = None):
@@ -43,6 +45,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def cuts(spark: SparkSession, sf_dir: str) -> tuple[int, int, int]:
+    """The transactions after one, five and nine tenths of the log."""
+    newest = table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] or 0
+    return newest // 10, newest * 5 // 10, newest * 9 // 10
+
+
+def pieces(spark: SparkSession, sf_dir: str, size: int = 4096, pad: bool = True) -> DataFrame:
+    """(doc_id, block, data): every whole text cut in blocks; an empty one is one block. Cut as an array, so no row repeats a text."""
+    data = F.coalesce("text", F.lit("")).cast("binary")
+    last = F.greatest(F.ceil(F.octet_length(data) / size).cast("int"), F.lit(1)) - 1
+    part = lambda i: F.substring(data, i * size + 1, F.lit(size))
+    cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.rpad(part(i), size, F.lit(b"\0")) if pad else part(i))
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(cut).alias("block", "data"))
+
+
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directory entries of the tree: (parent_id, name, file_id, flags)."""
     t = lambda name: table(spark, sf_dir, name)
@@ -101,10 +118,16 @@ def s2_resolve_tier(spark, sf_dir):
 
 @query()
 def s1_read_blocks(spark, sf_dir):
-    """The regions' file as raw blocks, by a path of Spark's own."""
-    from imagelake.sources.images import block_table
+    """The bytes of the lines' files as raw blocks, a task per 16 MiB, with how many are empty or hold a check sum of their own."""
+    import glob
+    import os
+
+    from imagelake.sources.images import block_table, read_blocks
 
-    return block_table(spark, f"{sf_dir}/orders.parquet").groupBy("tier").agg(F.count("*").alias("blocks"), F.sum(F.octet_length("data")).alias("bytes"))
+    path = f"{sf_dir}/lineitem.parquet".removeprefix("file:")
+    local = sorted(glob.glob(f"{path}/*.parquet")) if os.path.isdir(path) else [path] * os.path.exists(path)
+    blocks = read_blocks(spark, local, range_bytes=16 << 20) if local else block_table(spark, path)
+    return B.classify(blocks).groupBy("tier", "class").agg(F.count("*").alias("blocks"), F.sum(F.octet_length("data")).alias("bytes"))
 
 
 @query()
@@ -120,12 +143,13 @@ def b1_is_empty(spark, sf_dir):
 
 
 @query("""
-    WITH h AS (SELECT doc_id, rpad(substr(hex(encode(text)), 1, 512), 512, '0') AS h FROM documents),
-    w AS (SELECT doc_id, i, ('0x' || substr(h, 8*i+7, 2) || substr(h, 8*i+5, 2) || substr(h, 8*i+3, 2) || substr(h, 8*i+1, 2))::BIGINT AS v FROM h, range(64) r(i))
-    SELECT doc_id, (sum(v) % 4294967295)::BIGINT AS s1, (sum(v * (64 - i)) % 4294967295)::BIGINT AS s2 FROM w GROUP BY doc_id""")
+    WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    b AS (SELECT doc_id, h, unnest(range(greatest(1, (length(h) + 8191) // 8192))) AS block FROM h),
+    p AS (SELECT doc_id, block, rpad(substr(h, 8192*block+1, 8192), 8192, '0') AS h FROM b),
+    w AS (SELECT doc_id, block, i, ('0x' || substr(h, 8*i+7, 2) || substr(h, 8*i+5, 2) || substr(h, 8*i+3, 2) || substr(h, 8*i+1, 2))::BIGINT AS v FROM p, range(1024) r(i))
+    SELECT doc_id, block::INTEGER AS block, (sum(v) % 4294967295)::BIGINT AS s1, (sum(v * (1024 - i)) % 4294967295)::BIGINT AS s2 FROM w GROUP BY doc_id, block""")
 def b2_fletcher64(spark, sf_dir):
-    head = F.unhex(F.rpad(F.substring(F.hex(F.col("text").cast("binary")), 1, 512), 512, "0"))
-    return table(spark, sf_dir, "documents").select("doc_id", B.fletcher64(head).alias("s")).select("doc_id", F.col("s")[0].alias("s1"), F.col("s")[1].alias("s2"))
+    return pieces(spark, sf_dir).select("doc_id", "block", B.fletcher64("data").alias("s")).select("doc_id", "block", F.col("s")[0].alias("s1"), F.col("s")[1].alias("s2"))
 
 
 @query("""
@@ -154,25 +178,26 @@ def b6_block_census(spark, sf_dir):
 
 
 @query("""
-    WITH h AS (SELECT doc_id, hex(encode(text))[:128] AS h FROM documents),
-    b AS (SELECT doc_id, i, substr(h, 2*i+1, 2) AS d FROM h, range(64) r(i) WHERE 2*i < length(h))
-    SELECT doc_id, (i // 16 * 16)::INTEGER AS "offset", string_agg(d, ' ' ORDER BY i) AS hex,
-        string_agg(CASE WHEN d >= '20' AND d < '7F' THEN chr(('0x' || d)::INTEGER) ELSE '.' END, '' ORDER BY i) AS text FROM b GROUP BY ALL""")
+    WITH h AS (SELECT doc_id, hex(encode(text)) AS h FROM documents WHERE text <> ''),
+    b AS (SELECT doc_id, h, unnest(range((length(h) + 31) // 32)) AS i FROM h),
+    l AS (SELECT doc_id, i, substr(h, 32*i+1, 32) AS d FROM b)
+    SELECT doc_id, (i * 16)::INTEGER AS "offset", rtrim(regexp_replace(d, '(..)', '\\1 ', 'g')) AS hex,
+        array_to_string(list_transform(range(length(d) // 2), lambda j: CASE WHEN substr(d, 2*j+1, 2) >= '20' AND substr(d, 2*j+1, 2) < '7F' THEN chr(('0x' || substr(d, 2*j+1, 2))::INTEGER) ELSE '.' END), '') AS text FROM l""")
 def b8_hexdump(spark, sf_dir):
-    head = F.substring(F.col("text").cast("binary"), 1, 64)
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(B.hexdump(head)).alias("l")).select("doc_id", "l.*")
+    lines = pieces(spark, sf_dir, pad=False).select("doc_id", "block", F.explode(B.hexdump("data")).alias("l"))
+    return lines.select("doc_id", (F.col("block") * 4096 + F.col("l.offset")).alias("offset"), "l.hex", "l.text")
 
 
 # ---- checkpoints
 
 
-@query("""
+@query(f"""
     SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS xid, 'latest' AS which FROM events GROUP BY user_id
-    UNION ALL SELECT user_id, event_type, event_id, 'at' FROM events WHERE event_id = 500""")
+    UNION ALL SELECT user_id, event_type, event_id, 'at' FROM events WHERE event_id = {HALF}""")
 def c1_latest_superblock(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("xid"), F.col("event_id").alias("paddr"), "event_type")
     pick = lambda at, name: C.latest_superblock(rows, ["user_id"], at).select("user_id", "event_type", "xid", F.lit(name).alias("which"))
-    return pick(None, "latest").unionByName(pick(500, "at"))
+    return pick(None, "latest").unionByName(pick(cuts(spark, sf_dir)[1], "at"))
 
 
 @query("""
@@ -203,24 +228,25 @@ def c5_role_names(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", X.role_names(role).alias("roles"))
 
 
-@query("""
-    WITH s(xid, snapshot) AS (VALUES (300, 'a'), (700, 'b'), (4000, 'c')), v AS (SELECT xid, snapshot, user_id, max(event_id) AS event_id FROM events, s WHERE event_id <= xid GROUP BY ALL)
+@query(f"""
+    WITH s(xid, snapshot) AS (VALUES ({EARLY}, 'a'), ({HALF}, 'b'), ({LATE}, 'c')), v AS (SELECT xid, snapshot, user_id, max(event_id) AS event_id FROM events, s WHERE event_id <= xid GROUP BY ALL)
     SELECT xid::BIGINT AS xid, snapshot, v.user_id, event_id, event_type FROM v JOIN events USING (event_id) WHERE event_type <> 'error'""")
 def c7_as_of_snapshot(spark, sf_dir):
-    snaps = spark.createDataFrame([(300, "a"), (700, "b"), (4000, "c")], "xid long, snapshot string")
+    snaps = spark.createDataFrame(list(zip(cuts(spark, sf_dir), "abc", strict=True)), "xid long, snapshot string")
     log = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
     return R.as_of_snapshot(log, snaps, "user_id", "event_id", "xid", F.col("event_type") == "error")
 
 
-@query("""
-    WITH a AS (SELECT user_id, arg_max(event_type, event_id) AS t, max(event_id) AS v FROM events WHERE event_id <= 300 GROUP BY 1),
-    b AS (SELECT user_id, arg_max(event_type, event_id) AS t, max(event_id) AS v FROM events WHERE event_id <= 4000 GROUP BY 1)
+@query(f"""
+    WITH a AS (SELECT user_id, arg_max(event_type, event_id) AS t, max(event_id) AS v FROM events WHERE event_id <= {EARLY} GROUP BY 1),
+    b AS (SELECT user_id, arg_max(event_type, event_id) AS t, max(event_id) AS v FROM events WHERE event_id <= {LATE} GROUP BY 1)
     SELECT coalesce(a.user_id, b.user_id) AS user_id, CASE WHEN a.v IS NULL THEN 'added' WHEN b.v IS NULL THEN 'removed' ELSE 'changed' END AS change, a.t AS before_type, b.t AS after_type
     FROM a FULL JOIN b USING (user_id) WHERE a.v IS DISTINCT FROM b.v""")
 def c8_snapshot_diff(spark, sf_dir):
     log = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
     state = lambda at: R.resolve_version(log, "user_id", "event_id", at)
-    return R.snapshot_diff(state(300), state(CUT), "user_id").select("user_id", "change", F.col("before.event_type").alias("before_type"), F.col("after.event_type").alias("after_type"))
+    early, _, late = cuts(spark, sf_dir)
+    return R.snapshot_diff(state(early), state(late), "user_id").select("user_id", "change", F.col("before.event_type").alias("before_type"), F.col("after.event_type").alias("after_type"))
 
 
 # ---- space
@@ -272,15 +298,18 @@ def r5_split_key(spark, sf_dir):
 
 @query("""
     SELECT o_orderkey, l.event_id AS found_event_id, l.event_type AS found_event_type
-    FROM (SELECT o_orderkey, o_custkey % 200 AS user_id, o_orderkey % 9000 AS at FROM orders) p ASOF LEFT JOIN events l ON p.user_id = l.user_id AND p.at >= l.event_id""")
+    FROM (SELECT o_orderkey, o_custkey % (SELECT max(user_id) + 1 FROM events) AS user_id, o_orderkey * 7919 % (SELECT max(event_id) + 1 FROM events) AS at FROM orders) p
+    ASOF LEFT JOIN events l ON p.user_id = l.user_id AND p.at >= l.event_id""")
 def j1_asof_lookup(spark, sf_dir):
-    probes = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 200).alias("user_id"), (F.col("o_orderkey") % 9000).alias("at"))
-    return R.asof_lookup(probes, table(spark, sf_dir, "events"), "user_id", "event_id", "at", ["event_id", "event_type"]).drop("user_id", "at")
+    log = table(spark, sf_dir, "events")
+    users, versions = log.agg(F.max("user_id") + 1, F.max("event_id") + 1).first()
+    probes = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % users).alias("user_id"), (F.col("o_orderkey") * 7919 % versions).alias("at"))
+    return R.asof_lookup(probes, log, "user_id", "event_id", "at", ["event_id", "event_type"]).drop("user_id", "at")
 
 
-@query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events WHERE event_id <= 4000 GROUP BY 1")
+@query(f"SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events WHERE event_id <= {LATE} GROUP BY 1")
 def j2_resolve_version(spark, sf_dir):
-    return R.resolve_version(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", CUT)
+    return R.resolve_version(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", cuts(spark, sf_dir)[2])
 
 
 @query("SELECT * FROM (SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1) WHERE event_type <> 'error'")
@@ -297,10 +326,11 @@ def j4_neighbor_lookup(spark, sf_dir):
     return FI.findings(parts)
 
 
-@query(f"WITH {TREE_SQL} SELECT parent_id, name, file_id, (flags & 15) << 12 AS mode FROM tree WHERE parent_id BETWEEN 100 AND 124")
+@query(f"WITH {TREE_SQL} SELECT parent_id, name, file_id, (flags & 15) << 12 AS mode FROM tree WHERE parent_id IN (SELECT file_id FROM tree WHERE flags = 4)")
 def j5_list_directory(spark, sf_dir):
     rows = entries(spark, sf_dir)
-    return N.list_directory(rows, rows.where(F.col("parent_id").between(100, 124))).select("parent_id", "name", "file_id", F.col("mode").cast("int").alias("mode"))
+    directories = rows.where("flags = 4").select(F.col("file_id").alias("parent_id"))
+    return N.list_directory(rows, directories).select("parent_id", "name", "file_id", F.col("mode").cast("int").alias("mode"))
 
 
 @query()
@@ -380,11 +410,13 @@ def j16_explode_extents(spark, sf_dir):
 
 @query("SELECT doc_id, md5(text) AS digest, octet_length(encode(text)) AS size FROM documents")
 def j17_file_content(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("data"))
-    n = F.greatest(F.ceil(F.octet_length("data") / 4096).cast("int"), F.lit(1))
-    pieces = d.select("doc_id", "data", F.explode(F.sequence(F.lit(0), n - 1)).alias("pos")).select("doc_id", "pos", F.substring("data", F.col("pos") * 4096 + 1, F.lit(4096)).alias("data"))
-    whole = E.concat_pieces(pieces, "doc_id", "pos", "data")
-    return whole.select("doc_id", F.md5("data").alias("digest"), F.octet_length("data").cast("long").alias("size"))
+    """Each text as a file: its blocks lie in one run, whose extent and inode file_content reads."""
+    stored = pieces(spark, sf_dir).select((F.col("doc_id") * 1_000_000 + 1 + F.col("block")).alias("paddr"), "data")
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("private_id"), F.octet_length("text").cast("long").alias("ds_size"))
+    zero = F.lit(0).cast("long")
+    runs = files.select(F.col("private_id").alias("file_id"), zero.alias("logical_addr"), F.col("ds_size").alias("length"), (F.col("private_id") * 1_000_000 + 1).alias("phys_block"), zero.alias("crypto_id"))
+    read = E.file_content(files, runs, stored, 4096)
+    return read.select(F.col("private_id").alias("doc_id"), F.md5("data").alias("digest"), F.octet_length("data").cast("long").alias("size"))
 
 
 @query("""
@@ -394,9 +426,7 @@ def j12_xattr_values(spark, sf_dir):
 
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ino"), F.col("text").cast("binary").alias("data"))
     small = F.octet_length("data") <= 3804
-    n = F.ceil(F.octet_length("data") / 4096).cast("int")
-    blocks = d.where(~small).select("ino", "data", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
-    blocks = blocks.select((F.col("ino") * 1_000_000 + 1 + F.col("i")).alias("paddr"), F.rpad(F.substring("data", F.col("i") * 4096 + 1, F.lit(4096)), 4096, F.lit(b"\\0")).alias("data"))
+    blocks = pieces(spark, sf_dir).select((F.col("doc_id") * 1_000_000 + 1 + F.col("block")).alias("paddr"), "data")
     size = F.octet_length("data").cast("long")
     ext = d.where(~small).select(F.col("ino").alias("file_id"), F.lit(0).cast("long").alias("logical_addr"), size.alias("length"), (F.col("ino") * 1_000_000 + 1).alias("phys_block"), F.lit(0).cast("long").alias("crypto_id"))
     xattrs = d.select("ino", F.lit("a").alias("name"), F.when(small, F.col("data")).alias("data"), F.when(~small, F.col("ino")).alias("stream_id"), F.when(~small, size).alias("stream_size"))
@@ -425,23 +455,21 @@ def d2_decompress_files(spark, sf_dir):
     """Texts cut in 4 KiB chunks, each compressed, then decompressed and joined again."""
     from imagelake.operators.contents import compress_zlib, decompress_chunks
 
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("data"))
-    n = F.greatest(F.ceil(F.octet_length("data") / 4096).cast("int"), F.lit(1))
-    pieces = d.select("doc_id", "data", F.explode(F.sequence(F.lit(0), n - 1)).alias("pos")).select("doc_id", "pos", F.substring("data", F.col("pos") * 4096 + 1, F.lit(4096)).alias("piece"))
-    packed = pieces.select("doc_id", "pos", compress_zlib("piece").alias("src"), F.lit("zlib").alias("method"), F.octet_length("piece").cast("long").alias("dst_len"))
-    return E.concat_pieces(decompress_chunks(packed, "method", "src", "dst_len").where("status = 'ok'"), "doc_id", "pos", "data").select("doc_id", F.md5("data").alias("digest"))
+    parts = pieces(spark, sf_dir, pad=False)
+    packed = parts.select("doc_id", "block", compress_zlib("data").alias("src"), F.lit("zlib").alias("method"), F.octet_length("data").cast("long").alias("dst_len"))
+    return E.concat_pieces(decompress_chunks(packed, "method", "src", "dst_len").where("status = 'ok'"), "doc_id", "block", "data").select("doc_id", F.md5("data").alias("digest"))
 
 
-@query("SELECT doc_id, true AS same, octet_length(encode(text)) // 512 AS sectors FROM documents WHERE octet_length(encode(text)) >= 512")
+@query("SELECT doc_id, true AS same, greatest(1, (octet_length(encode(coalesce(text, ''))) + 4095) // 4096)::BIGINT AS blocks FROM documents")
 def d3_decrypt_blocks(spark, sf_dir):
+    """Every block of every whole text encrypted and decrypted again; same: no block kept its bytes, and all came back."""
     from imagelake.operators.contents import xts_blocks
 
     key = bytes(range(32))
-    whole = F.col("text").cast("binary")
-    d = table(spark, sf_dir, "documents").where(F.octet_length("text") >= 512).select("doc_id", F.substring(whole, F.lit(1), F.call_function("div", F.octet_length("text"), F.lit(512)).cast("int") * 512).alias("data"), (F.col("doc_id") + 1).alias("tweak"))
-    there = xts_blocks(d, key, "data", "tweak", decrypt=False).withColumnRenamed("data", "secret").select("doc_id", "secret", F.col("secret").alias("data"), "tweak")
+    clear = pieces(spark, sf_dir).select("doc_id", "data", F.col("data").alias("plain"), (F.col("doc_id") * 1_000_000 + F.col("block") + 1).alias("tweak"))
+    there = xts_blocks(clear, key, "data", "tweak", decrypt=False).withColumn("secret", F.col("data"))
     back = xts_blocks(there, key, "data", "tweak", decrypt=True)
-    return back.join(d.select("doc_id", F.col("data").alias("plain")), "doc_id").select("doc_id", ((F.col("data") == F.col("plain")) & (F.col("secret") != F.col("plain"))).alias("same"), F.call_function("div", F.octet_length("plain"), F.lit(512)).cast("long").alias("sectors"))
+    return back.groupBy("doc_id").agg(F.bool_and((F.col("data") == F.col("plain")) & (F.col("secret") != F.col("plain"))).alias("same"), F.count("*").alias("blocks"))
 
 
 # ---- scalars
@@ -527,14 +555,14 @@ def f1_findings(spark, sf_dir):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each directory's path with the number and sum of what it holds at a transaction: resolve, drop deleted, paths, roll-up."""
     log = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
-    live = R.drop_deleted(R.resolve_version(log, "user_id", "event_id", CUT), F.col("event_type") == "error")
+    live = R.drop_deleted(R.resolve_version(log, "user_id", "event_id", cuts(spark, sf_dir)[2]), F.col("event_type") == "error")
     paths = N.build_paths(entries(spark, sf_dir), F.col("flags") == 4)
     files = paths.where("depth = 4").select((F.col("parent_id") - CUSTOMER).alias("user_id"), F.regexp_replace("path", "/[^/]*/[^/]*$", "").alias("dir"))
     return files.join(live, "user_id").groupBy("dir").agg(F.count("*").alias("files"), F.countDistinct("user_id").alias("owners"), F.max("event_id").alias("newest"))
 
 
 @query(f"""
-    WITH {PATH_SQL}, live AS (SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS t FROM events WHERE event_id <= 4000 GROUP BY 1)
+    WITH {PATH_SQL}, live AS (SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS t FROM events WHERE event_id <= {LATE} GROUP BY 1)
     SELECT '/' || r_name || '/' || n_name AS dir, count(*) AS files, count(DISTINCT user_id) AS owners, max(event_id) AS newest
     FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN live ON user_id = c_custkey WHERE t <> 'error' GROUP BY 1""")
 def w2_directory_rollup(spark, sf_dir):
