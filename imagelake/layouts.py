@@ -31,6 +31,10 @@ sibling 10 parent_id@0 name_len@8
 sibling_map 8 file_id@0
 snapshot 50 extentref_oid@0 sblock_paddr@8 create_ns@16 change_ns@24 inum@32 extentref_type@40 flags@44 name_len@48
 snap_name 8 snap_xid@0
+omap_snapshot 16 snap_flags@0 pad@4 snap_oid@8
+crypto_state 24 refcnt@0 major_version@4 minor_version@6 cpflags@8 persistent_class@12 key_os_version@16 key_revision@20 key_len@22
+file_hash 3 hashed_len@0 hash_size@2
+free_count 8 count@0
 dstream_id 4 refcnt@0
 dir_stats 32 num_children@0 total_size@8 chained_key@16 gen_count@24
 sealed_key 16 private_id@0 logical_addr@8

@@ -221,6 +221,55 @@ def sibling_maps(routed: DataFrame) -> DataFrame:
     return rows.select("image_id", key_id("packed").alias("sibling_id"), "file_id")
 
 
+def _ids(keys: list[bytes]) -> np.ndarray:
+    return numbers([k[:8] + bytes(8) for k in keys], "omap_key")["oid"] & 0x0FFFFFFFFFFFFFFF
+
+
+def _table(routed: DataFrame, table: str, key: str, fields: tuple[str, ...], layout: str, more: dict[str, str] | None = None, work: Callable | None = None) -> DataFrame:
+    """The records of one table: the id of the key under the name `key`, the number fields of a layout, and what work adds."""
+    rows = routed.where((F.col("table") == table) & F.col("val").isNotNull())
+    types = {key: "long", **dict.fromkeys(fields, "long"), **(more or {})}
+    return _decode(rows, types, lambda k, v: numbers(v, layout) | {key: _ids(k)} | (work(k, v) if work else {}))
+
+
+def dstream_ids(routed: DataFrame) -> DataFrame:
+    return _table(routed, "dstream_ids", "private_id", ("refcnt",), "dstream_id")
+
+
+def crypto_states(routed: DataFrame) -> DataFrame:
+    """States of per-file keys, with the wrapped key's bytes."""
+    fields = ("refcnt", "major_version", "minor_version", "cpflags", "persistent_class", "key_os_version", "key_revision", "key_len")
+    wrapped = lambda k, v: {"persistent_key": [x[24 : 24 + int.from_bytes(x[22:24], "little")] for x in v]}
+    return _table(routed, "crypto_states", "crypto_id", fields, "crypto_state", {"persistent_key": "binary"}, wrapped)
+
+
+def file_hashes(routed: DataFrame) -> DataFrame:
+    """Hashes of stretches of a file: the logical block is the low 56 bits of the key's second word."""
+    more = lambda k, v: {"lba": numbers(k, "omap_key")["xid"] & 0x00FFFFFFFFFFFFFF, "hash": [x[3 : 3 + x[2]] if len(x) > 2 else None for x in v]}
+    return _table(routed, "file_hashes", "ino", ("hashed_len",), "file_hash", {"lba": "long", "hash": "binary"}, more)
+
+
+def dir_stats(routed: DataFrame) -> DataFrame:
+    return _table(routed, "dir_stats", "ino", ("num_children", "total_size", "chained_key", "gen_count"), "dir_stats")
+
+
+def snapshot_names(routed: DataFrame) -> DataFrame:
+    """(image_id, name, snap_xid): a name's key is its text."""
+    rows = _decode(routed.where("table = 'snapshot_names' and val is not null"), {"name": "string", "snap_xid": "long"}, lambda k, v: numbers(v, "snap_name") | {"name": [_text(x[10:]) for x in k]})
+    return rows
+
+
+def omap_snapshots(records: DataFrame) -> DataFrame:
+    """(image_id, xid, snap_flags, snap_oid) of the leaves of an object map's snapshot tree."""
+    return _decode(records.where("is_leaf and val is not null"), dict.fromkeys(("xid", "snap_flags", "snap_oid"), "long"), lambda k, v: numbers(v, "omap_snapshot") | {"xid": numbers([x + bytes(8) for x in k], "omap_key")["oid"]})
+
+
+def free_queue_entries(records: DataFrame) -> DataFrame:
+    """(image_id, xid, paddr, count) of the leaves of a free queue; a missing value means one block."""
+    known = lambda v: np.where([x is None for x in v], 1, numbers(v, "free_count")["count"])
+    return _decode(records.where("is_leaf"), dict.fromkeys(("xid", "paddr", "count"), "long"), lambda k, v: {"xid": numbers(k, "omap_key")["oid"], "paddr": numbers(k, "omap_key")["xid"], "count": known(v)})
+
+
 def block_struct(blocks: DataFrame, layout: str) -> DataFrame:
     """The number fields of a block's structure (container, volume, object_map, space_manager ...), a row per block."""
     names = list(numbers([b""], layout))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from imagelake.functions.scalars import role_names
+from imagelake.functions.scalars import role_names, uuid_string
+from imagelake.layouts import LAYOUTS
+from imagelake.operators.blocks import le_number
 
 
 def latest_superblock(objects: DataFrame, keys: list[str], at_xid: int | None = None, fallback: DataFrame | None = None) -> DataFrame:
@@ -44,6 +46,44 @@ def volume_oids(superblocks: DataFrame) -> DataFrame:
     return superblocks.select(*rest, F.posexplode("fs_oids").alias("volume", "oid")).where("oid <> 0")
 
 
+#: The magic numbers of a container's and of a volume's superblock.
+CONTAINER_MAGIC, VOLUME_MAGIC = int.from_bytes(b"NXSB", "little"), int.from_bytes(b"APSB", "little")
+
+
+def container_slots(superblocks: DataFrame) -> DataFrame:
+    """(image_id, xid, block_size, volume, oid) of superblocks (image_id, xid, data): a row for each volume slot in use."""
+    d = F.col("data")
+    oids = F.transform(F.sequence(F.lit(0), F.least(le_number(d, 180, 4), F.lit(100)).cast("int")), lambda i: le_number(d, 184 + 8 * i, 8))
+    slots = superblocks.select("image_id", "xid", le_number(d, 36, 4).alias("block_size"), F.slice(oids, 1, F.size(oids) - 1).alias("fs_oids"))
+    return volume_oids(slots)
+
+
+def volumes(superblocks: DataFrame, log: DataFrame, blocks: DataFrame, at_xid: int | None = None) -> DataFrame:
+    """The volumes of containers: (image_id, volume, oid, paddr, status, name, uuid, and the fields that volume_summary reads).
+
+    superblocks are container superblocks (image_id, xid, data), log the object map (image_id, oid, xid, flags, paddr), blocks
+    (image_id, tier, paddr, data, class) those of the whole image. Each slot is resolved as of at_xid, or of its superblock's own xid. A slot that leads
+    nowhere stays, with status `no map entry`, `deleted`, `no block`, `bad check sum` or `wrong magic`; a volume read is `ok`.
+    """
+    slots = container_slots(superblocks)
+    upto = F.lit(at_xid).cast("long") if at_xid is not None else F.col("at")
+    asked = slots.select("image_id", "oid", F.col("xid").alias("at")).distinct()
+    known = log.select("image_id", "oid", F.col("xid").alias("map_xid"), "flags", "paddr").join(asked, ["image_id", "oid"]).where(F.col("map_xid") <= upto)
+    newest = known.groupBy("image_id", "oid", "at").agg(F.max_by(F.struct("flags", "paddr"), "map_xid").alias("m"))
+    found = slots.withColumnRenamed("xid", "at").join(newest, ["image_id", "oid", "at"], "left")
+    found = found.select("image_id", "at", "block_size", "volume", "oid", F.col("m.flags").alias("map_flags"), F.col("m.paddr").alias("paddr"))
+    read = found.join(blocks.where("tier = 'main'").select("image_id", "paddr", "data", "class"), ["image_id", "paddr"], "left")
+    d = F.col("data")
+    deleted = F.col("map_flags").bitwiseAND(F.lit(1).cast("long")) != 0
+    status = F.when(F.col("paddr").isNull(), "no map entry").when(deleted, "deleted").when(d.isNull(), "no block").when(F.col("class") != "Metadata", "bad check sum").when(le_number(d, 32, 4) != VOLUME_MAGIC, "wrong magic").otherwise("ok")
+    fields = [(f, at, n) for f, at, n in LAYOUTS["volume"][1] if n in (1, 2, 4, 8) and f != "magic"]
+    ok = lambda value: F.when(F.col("status") == "ok", value)
+    text = F.regexp_extract(F.substring(d, 705, 256).cast("string"), "^[^\\x00]*", 0)
+    return read.withColumn("status", status).select(
+        "image_id", "at", "block_size", "volume", "oid", "paddr", "status", ok(text).alias("name"), ok(uuid_string(F.substring(d, 241, 16))).alias("uuid"), *[ok(le_number(d, at, n)).alias(f) for f, at, n in fields]
+    )
+
+
 def volume_summary(volumes: DataFrame, block_size: int) -> DataFrame:
     """Names, roles, case sensitivity, bytes used, encryption and counts of each volume."""
     flag = lambda c, bit: F.col(c).bitwiseAND(F.lit(bit).cast("long")) != 0

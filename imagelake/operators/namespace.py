@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from imagelake.functions.scalars import entry_mode
+from imagelake.operators.blocks import le_number
 from imagelake.sources.tables import checkpoint_table
 
 ROOT = 2  # the root directory's id
@@ -84,6 +85,12 @@ def resolve_paths(paths: DataFrame, entries: DataFrame, root: int = ROOT, fold:
     return state.withColumn("file_id", F.col("_at")).drop("_parts", "_at")
 
 
+def with_compression_header(xattrs: DataFrame) -> DataFrame:
+    """xattrs with algo and header_size, the method and size that an embedded compression attribute names; null for others."""
+    own = (F.col("name") == COMPRESSION_ATTRIBUTE) & (F.octet_length("data") >= 16)
+    return xattrs.withColumns({"algo": F.when(own, le_number(F.col("data"), 4, 4)), "header_size": F.when(own, le_number(F.col("data"), 8, 8))})
+
+
 def stat(inodes: DataFrame, xattrs: DataFrame, uid: int | None = None, gid: int | None = None) -> DataFrame:
     """Inodes with kind, size, uid and gid, and size_status.
 

@@ -146,7 +146,8 @@ def b1_is_empty(spark, sf_dir):
     WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
     b AS (SELECT doc_id, h, unnest(range(greatest(1, (length(h) + 8191) // 8192))) AS block FROM h),
     p AS (SELECT doc_id, block, rpad(substr(h, 8192*block+1, 8192), 8192, '0') AS h FROM b),
-    w AS (SELECT doc_id, block, i, ('0x' || substr(h, 8*i+7, 2) || substr(h, 8*i+5, 2) || substr(h, 8*i+3, 2) || substr(h, 8*i+1, 2))::BIGINT AS v FROM p, range(1024) r(i))
+    q AS (SELECT doc_id, block, j, substr(h, 128*j+1, 128) AS h FROM p, range(64) r(j)),
+    w AS (SELECT doc_id, block, 16*j + i AS i, ('0x' || substr(h, 8*i+7, 2) || substr(h, 8*i+5, 2) || substr(h, 8*i+3, 2) || substr(h, 8*i+1, 2))::BIGINT AS v FROM q, range(16) r(i))
     SELECT doc_id, block::INTEGER AS block, (sum(v) % 4294967295)::BIGINT AS s1, (sum(v * (1024 - i)) % 4294967295)::BIGINT AS s2 FROM w GROUP BY doc_id, block""")
 def b2_fletcher64(spark, sf_dir):
     return pieces(spark, sf_dir).select("doc_id", "block", B.fletcher64("data").alias("s")).select("doc_id", "block", F.col("s")[0].alias("s1"), F.col("s")[1].alias("s2"))
@@ -552,6 +553,37 @@ def f1_findings(spark, sf_dir):
     ])
 
 
+@query("""
+    WITH x AS (SELECT l_orderkey AS ino, l_partkey AS p FROM lineitem WHERE l_suppkey % 2 = 0),
+    m AS (SELECT user_id, arg_max(event_type, event_id) AS t, max(event_id) AS paddr FROM events GROUP BY 1),
+    f AS (
+        SELECT 'compressed without attribute' AS kind, o_orderkey AS object_id, '32' AS detail FROM orders WHERE o_custkey % 4 = 0 AND o_orderkey NOT IN (SELECT ino FROM x)
+        UNION ALL SELECT CASE WHEN p % 13 = 0 THEN 'short compression header' WHEN p % 11 = 0 THEN 'bad compression magic' WHEN p % 16 NOT IN (3, 4, 7, 8, 9, 10, 11, 12, 13, 14) THEN 'unknown compression method' END,
+            ino, CASE WHEN p % 13 <> 0 THEN (p % 16)::VARCHAR END FROM x
+        UNION ALL SELECT CASE WHEN paddr IS NULL THEN 'no map entry' WHEN t = 'error' THEN 'deleted map entry referenced' WHEN p_partkey IS NULL THEN 'no block' WHEN p_size % 2 = 1 THEN 'bad check sum' END,
+            c_custkey, paddr::VARCHAR FROM customer LEFT JOIN m ON user_id = c_custkey LEFT JOIN part ON p_partkey = paddr
+        UNION ALL SELECT 'unknown object type', o_orderkey, (o_orderkey % 40)::VARCHAR || '/' || (o_custkey % 50)::VARCHAR FROM orders
+            WHERE CASE WHEN o_orderkey % 40 IN (2, 3) THEN o_custkey % 50 ELSE o_orderkey % 40 END > 32
+        UNION ALL SELECT 'line without order', l_orderkey, l_orderkey::VARCHAR FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P'))
+    SELECT 'image' AS image_id, kind, object_id::BIGINT AS object_id, detail FROM f WHERE kind IS NOT NULL""")
+def f1_checks(spark, sf_dir):
+    """The checks of maps, compressed files, types and references over driver tables in the shape of decoded ones."""
+    t = lambda name: table(spark, sf_dir, name).withColumn("image_id", F.lit("image"))
+    part = F.col("l_partkey")
+    head = F.concat(F.when(part % 11 == 0, "00000000").otherwise("66706D63"), F.lpad(F.hex(part % 16), 2, "0"), F.lit("0" * 22))
+    xattrs = t("lineitem").select("image_id", F.col("l_orderkey").alias("ino"), F.when(F.col("l_suppkey") % 2 == 0, N.COMPRESSION_ATTRIBUTE).otherwise("user.note").alias("name"), F.unhex(F.when(part % 13 == 0, "6670").otherwise(head)).alias("data"))
+    inodes = t("orders").select("image_id", F.col("o_orderkey").alias("ino"), F.when(F.col("o_custkey") % 4 == 0, N.COMPRESSED).otherwise(0).alias("bsd_flags"))
+    log = t("events").select("image_id", F.col("user_id").alias("oid"), F.col("event_id").alias("xid"), (F.col("event_type") == "error").cast("long").alias("flags"), F.col("event_id").alias("paddr"))
+    stored = t("part").select("image_id", F.col("p_partkey").alias("paddr"), F.when(F.col("p_size") % 2 == 0, "Metadata").otherwise("Data").alias("class"))
+    headers = t("orders").select("image_id", F.col("o_orderkey").alias("paddr"), (F.col("o_orderkey") % 40).alias("o_type"), (F.col("o_custkey") % 50).alias("o_subtype"))
+    return FI.findings([
+        FI.compression_findings(inodes, xattrs),
+        FI.map_findings(t("customer").select("image_id", F.col("c_custkey").alias("oid")), R.resolve_version(log, ["image_id", "oid"], "xid"), stored),
+        FI.type_findings(headers),
+        FI.reference_findings(t("lineitem"), "l_orderkey", t("orders").where("o_orderstatus <> 'P'"), "o_orderkey", "line without order"),
+    ])
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each directory's path with the number and sum of what it holds at a transaction: resolve, drop deleted, paths, roll-up."""
     log = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
