@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -12,8 +13,8 @@ from imagelake.llm.shared import broadcast_if_small, cut, discard
 
 NO_ID = -(1 << 63)
 SIGNATURE = ("s0", "s1", "s2", "s3")
-SHORT = 80  # sets below send the parities of all their words through the join, the others those of a quarter
-SENT = {"s1": 64, "s2": 160, "s3": 160}  # the words from which a set sends these parts of its signature too
+SENT = {"s1": 48, "s2": 160, "s3": 160}  # the words from which a set has these parts of its signature
+LONG = 64  # sets of so many words send the parities of half their words and s1 through the join, the others those of all
 
 
 def _placed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -54,23 +55,33 @@ def ordered_tokens(line: Column, rarity: bytes) -> Column:
     def number(h: Column) -> Column:
         place = F.shiftrightunsigned(h, 64 - bits).cast("int") + 1
         rank = F.ascii(F.substring(table, place, F.lit(1)).cast("string"))
-        return F.shiftleft(rank.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h.bitwiseXOR(F.shiftleft(h, 23)), 8))
+        return F.shiftleft(rank.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
     return F.sort_array(F.array_distinct(F.transform(F.transform(F.array_remove(tokens(line), ""), lambda word: F.xxhash64(word)), number)))
 
 
 def signature(words: str) -> list[Column]:
-    """256 bits in four numbers, each bit the parity of the words that hash to it.
+    """Four numbers of 64 bits, each bit the parity of the words that hash to it: s0 of all words, s1 of a half, s2 and s3 of a quarter of that and of the other half.
 
-    Two sets differ in as many words as their signatures in bits, or more.
+    Small sets have zero for the later ones, see SENT. Two sets differ in as many words as their signatures in bits, or more; see differing_bits.
     """
     long = lambda n: F.lit(n).cast("long")
+    flip = lambda bits, w: bits.bitwiseXOR(F.call_function("shiftleft", long(1), w.bitwiseAND(long(63)).cast("int")))
 
-    def quarter(k: int) -> Column:
-        flip = lambda bits, w: bits.bitwiseXOR(F.call_function("shiftleft", long(1), w.bitwiseAND(long(63)).cast("int")))
-        return F.aggregate(words, long(0), lambda bits, w: F.when(w.bitwiseAND(long(192)) == 64 * k, flip(bits, w)).otherwise(bits))
+    def part(name: str, mask: int, marks: int) -> Column:
+        bits = F.aggregate(words, long(0), lambda bits, w: F.when(w.bitwiseAND(long(mask)) == marks, flip(bits, w)).otherwise(bits))
+        return F.when(F.size(words) >= SENT[name], bits).otherwise(long(0)).alias(name)
 
-    return [quarter(k).alias(name) for k, name in enumerate(SIGNATURE)]
+    return [F.aggregate(words, long(0), flip).alias("s0"), part("s1", 64, 64), part("s2", 192, 192), part("s3", 192, 128)]
+
+
+def differing_bits(mine: Callable[[str], Column], other: Callable[[str], Column]) -> Column:
+    """A lower bound of the words that two sets differ in, from all of their sizes n and signatures."""
+    s0, s1, s2, s3 = (mine(c).bitwiseXOR(other(c)) for c in SIGNATURE)
+    ones, least = F.bit_count, F.least(mine("n"), other("n"))
+    rest = s0.bitwiseXOR(s1)
+    quarters = ones(s2) + ones(s1.bitwiseXOR(s2)) + ones(s3) + ones(rest.bitwiseXOR(s3))
+    return F.when(least >= SENT["s2"], quarters).when(least >= SENT["s1"], ones(s1) + ones(rest)).otherwise(ones(s0))
 
 
 def _line_rows(docs: DataFrame, id_column: str, text_column: str, rarity: bytes, percent: int) -> DataFrame:
@@ -182,12 +193,15 @@ def _first_pairs(classes: DataFrame, percent: int, heads: int = 3, pivots: int =
     their match here, in at most so many pairs a member.
     """
     rows = classes.where(F.size("prefix") > 0).select("class", F.col("first.row").alias("row"), "n", F.posexplode(F.slice("prefix", 1, heads)).alias("pos", "token"))
-    rows = rows.select(F.xxhash64("token", _length_class(F.col("n"), percent)).alias("key"), "class", "row", "n", "pos")
+    rows = rows.select(F.xxhash64("token", _length_class(F.col("n"), percent)).alias("key"), "class", "row", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("at"))
+    size, place = (lambda c: F.shiftrightunsigned(c, 32).cast("int")), (lambda c: c.bitwiseAND(F.lit((1 << 31) - 1).cast("long")).cast("int"))
     part = F.pmod(F.xxhash64("class"), F.lit(pivots))
-    earliest = [F.min(F.when(part == k, F.struct("row", "class", "n", "pos"))) for k in range(pivots)]
-    early = rows.groupBy("key").agg(F.array_compact(F.array(*earliest)).alias("early"), F.count("*").alias("size")).where("size > 1")
-    pairs = rows.join(early, "key").select("class", "n", "pos", F.explode("early").alias("pivot"))
-    pairs = pairs.where((F.col("class") != F.col("pivot.class")) & _fits(percent, F.col("n"), F.col("pos"), F.col("pivot.n"), F.col("pivot.pos")))
+    # numbers only, for which Spark aggregates without sorting
+    earliest = [[F.min_by(F.when(part == k, F.col(c)), F.when(part == k, F.col("row"))).alias(f"{c}_{k}") for c in ("class", "at")] for k in range(pivots)]
+    early = rows.groupBy("key").agg(*[c for pair in earliest for c in pair], F.count("*").alias("size")).where("size > 1").drop("size")
+    pivot = F.explode(F.array(*[F.struct(F.col(f"class_{k}").alias("class"), F.col(f"at_{k}").alias("at")) for k in range(pivots)]))
+    pairs = rows.join(early, "key").select("class", "at", pivot.alias("pivot")).where("class <> pivot.class")
+    pairs = pairs.where(_fits(percent, size(F.col("at")), place(F.col("at")), size(F.col("pivot.at")), place(F.col("pivot.at"))))
     return pairs.select(F.least("class", "pivot.class").alias("a"), F.greatest("class", "pivot.class").alias("b")).distinct()
 
 
@@ -201,43 +215,48 @@ def _unmatched_pairs(classes: DataFrame, tried: DataFrame, matched: DataFrame, p
     """
     done = broadcast_if_small(matched.withColumn("done", F.lit(1)), matched.count(), 16)
     n, pos = F.col("n"), F.col("pos")
-    short_set = n < SHORT
     sets = classes.where(F.size("prefix") > 0).join(done, "class", "left").select("class", "n", F.coalesce("done", F.lit(0)).alias("done"), "prefix", *SIGNATURE)
     probe = sets.withColumn("length", _length_class(n, percent)).select("class", "n", "done", *SIGNATURE, "length", F.posexplode("prefix").alias("pos", "token"))
     shorter = F.slice("prefix", 1, (n - F.ceil(F.lit(2 * percent) * n / (100 + percent)) + 1).cast("int"))
     lengths = F.sequence(_length_class(n, percent), _length_class(F.floor(n * 100 / percent), percent))
     index = sets.select("class", "n", "done", *SIGNATURE, F.explode(lengths).alias("length"), shorter.alias("shorter")).select("class", "n", "done", *SIGNATURE, "length", F.posexplode("shorter").alias("pos", "token"))
     key = lambda turn: F.xxhash64("token", "length", turn).alias("key")
-    asked = cut(probe.where("done = 1").select(key(F.lit(1))).distinct())
-    asked = broadcast_if_small(asked, asked.count(), 16)
+    # a bit for the keys asked for, in 2**18 words at most: some keys share bits, which lets more of the index through
+    word, bit = F.shiftrightunsigned("key", 46).alias("word"), F.col("key").bitwiseAND(F.lit(63).cast("long")).cast("int")
+    asked = probe.where("done = 1").select(key(F.lit(1)))
+    asked = cut(asked.groupBy(word).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits")))
+
+    def asked_for(rows: DataFrame) -> DataFrame:
+        found = rows.join(F.broadcast(asked), F.shiftrightunsigned("key", 46) == F.col("word"))
+        return found.where(F.call_function("shiftrightunsigned", F.col("bits"), bit).bitwiseAND(F.lit(1).cast("long")) == 1).select(*rows.columns)
 
-    def met(some: Column, sent: list[Column]) -> DataFrame:
+    def met(some: Column, sent: list[Column | str]) -> DataFrame:
         """Pairs of rows of one key, those of the index with o_ before their names."""
         own = probe.where(some).select(key(F.col("done")), "class", *sent)
-        at = lambda rows, turn: rows.where(some).select(key(F.lit(turn)), "class", *sent)
-        others = at(index, 0).union(at(index.where("done = 0"), 1).join(asked, "key", "left_semi"))
+        at = lambda rows, done: rows.where(some).select(key(F.lit(done)), "class", *sent)
+        others = at(index, 0).union(asked_for(at(index.where("done = 0"), 1)))
         return own.join(others.toDF("key", *[f"o_{c}" for c in others.columns[1:]]), "key").where("class <> o_class")
 
     def fit(size: Column, place: Column, o_size: Column, o_place: Column, apart: Column) -> Column:
         once = (o_size < size) | ((o_size == size) & (F.col("o_class") < F.col("class")))
         return once & ((100 + percent) * apart <= (100 - percent) * (size + o_size)) & _fits(percent, size, place, o_size, o_place)
 
-    differ = lambda c: F.bit_count(F.col(c).bitwiseXOR(F.col(f"o_{c}")))
     # in the lower length classes size, position and 46 bits of a signature travel as one number
-    low = F.col("length") < _length_class_of(900, percent)
-    some_bits = _folded(F.when(short_set, reduce(Column.bitwiseXOR, map(F.col, SIGNATURE))).otherwise(F.col("s0")))
-    packed = F.shiftleft(n.cast("long"), 54).bitwiseOR(F.shiftleft(pos.cast("long"), 46)).bitwiseOR(some_bits).alias("packed")
-    rows = met(low, [packed, *[F.when(n >= least, F.col(c)).otherwise(0).alias(c) for c, least in SENT.items()]])
+    low = F.col("length") < _length_class_of(min(900, 25000 // max(1, 100 - percent)), percent)
+    packed = F.shiftleft(n.cast("long"), 54).bitwiseOR(F.shiftleft(pos.cast("long"), 46)).bitwiseOR(_folded(F.when(n < LONG, F.col("s0")).otherwise(F.col("s0").bitwiseXOR(F.col("s1"))))).alias("packed")
     size, place = (lambda c: F.shiftrightunsigned(c, 54).cast("int")), (lambda c: F.shiftrightunsigned(c, 46).bitwiseAND(F.lit(0xFF).cast("long")).cast("int"))
     mine, other = F.col("packed"), F.col("o_packed")
     head = F.bit_count(mine.bitwiseXOR(other).bitwiseAND(F.lit((1 << 46) - 1)))
-    more = reduce(lambda x, y: x + y, [F.when((F.col(c) != 0) & (F.col(f"o_{c}") != 0), differ(c)).otherwise(0) for c in SENT])
-    both_short, both_long = (size(mine) < SHORT) & (size(other) < SHORT), (size(mine) >= SHORT) & (size(other) >= SHORT)
-    apart = F.when(both_short, head).when(both_long, head + more).otherwise(more)
-    pairs = rows.where(fit(size(mine), place(mine), size(other), place(other), apart)).select("class", "o_class")
+    sent = [F.col(c).bitwiseXOR(F.col(f"o_{c}")) for c in SENT]
+    half = F.when((F.col("s1") != 0) & (F.col("o_s1") != 0), F.bit_count(sent[0])).otherwise(0)
+    parts = F.bit_count(sent[1]) + F.bit_count(sent[0].bitwiseXOR(sent[1])) + F.bit_count(sent[2])
+    least, most = F.least(size(mine), size(other)), F.greatest(size(mine), size(other))
+    apart = F.when(least >= SENT["s2"], F.greatest(parts, head + half)).when(least >= LONG, head + half).when(most < LONG, F.greatest(head, half)).otherwise(half)
+    rows = met(low, [packed, *SENT])
+    found = rows.where(fit(size(mine), place(mine), size(other), place(other), apart)).select("class", "o_class")
     rows = met(~low, [n, pos, *map(F.col, SIGNATURE)])
-    pairs = pairs.union(rows.where(fit(n, pos, F.col("o_n"), F.col("o_pos"), reduce(lambda x, y: x + y, map(differ, SIGNATURE)))).select("class", "o_class"))
-    pairs = pairs.select(F.least("class", "o_class").alias("a"), F.greatest("class", "o_class").alias("b")).distinct()
+    found = found.union(rows.where(fit(n, pos, F.col("o_n"), F.col("o_pos"), differing_bits(F.col, lambda c: F.col(f"o_{c}")))).select("class", "o_class"))
+    pairs = found.select(F.least("class", "o_class").alias("a"), F.greatest("class", "o_class").alias("b")).distinct()
     return pairs.join(broadcast_if_small(tried, tried.count(), 24), ["a", "b"], "left_anti")
 
 
@@ -247,7 +266,7 @@ def _later(docs: DataFrame, id_column: str, text_column: str, rarity: bytes, pai
     Only the lines that stand for the pairs' classes are ordered again.
     """
     of = lambda k: classes.select(F.col("class").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", *SIGNATURE)])
-    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in SIGNATURE])
+    apart = differing_bits(lambda c: F.col(f"{c}_a"), lambda c: F.col(f"{c}_b"))
     near = pairs.join(of("a"), "a").join(of("b"), "b").where((100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
     near = cut(near.select("a", "b", "n_a", "n_b"))
     ids = cut(near.select(F.col("a").alias("class")).union(near.select(F.col("b").alias("class"))).distinct())
