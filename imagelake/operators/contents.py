@@ -7,12 +7,15 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from imagelake.aes import xts
 from imagelake.operators.extents import file_content
 
+#: Bytes that are decrypted together.
+PART = 1 << 17
 METHODS = ("stored", "zero", "zlib", "bzip2", "adc", "lzbitmap")
 
 
@@ -174,27 +177,28 @@ def xts_blocks(df: DataFrame, key: bytes, data: str, tweak: str, decrypt: bool =
     """df with data decrypted (or encrypted) by AES-XTS in sectors of 512 bytes. A tweak of 0 means clear text.
 
     The unit number of a sector is tweak times the sectors in the block, plus the sector's place. The key, 32 bytes for AES-128,
-    is the volume's. All sectors of a batch are worked on together.
+    is the volume's. Sectors are worked on by the PART together: a Python worker holds a batch's blocks once, and once as they
+    come out, whatever the tables of the cipher take for a part.
     """
 
-    @F.pandas_udf("binary")
-    def run(blocks: pd.Series, tweaks: pd.Series) -> pd.Series:
-        out = blocks.copy()
-        sizes = blocks.map(lambda x: 0 if x is None else len(x))
-        for n in sizes.unique():
-            at = np.flatnonzero((sizes.to_numpy() == n) & (tweaks.fillna(0).to_numpy() != 0))
-            if n == 0 or not len(at):
-                continue
+    @F.arrow_udf("binary")
+    def run(blocks: pa.Array, tweaks: pa.Array) -> pa.Array:
+        valid, at, raw = blocks.buffers()
+        begins = np.frombuffer(at, np.int64 if pa.types.is_large_binary(blocks.type) else np.int32)[blocks.offset : blocks.offset + len(blocks) + 1].astype(np.int64)
+        clear = np.frombuffer(raw or b"", np.uint8)
+        out, sizes, units = clear.copy(), np.diff(begins), tweaks.fill_null(0).to_numpy().astype(np.uint64)
+        chosen = (units != 0) & (sizes > 0) & blocks.is_valid().to_numpy(zero_copy_only=False)
+        for n in np.unique(sizes[chosen]).tolist():
             if n % sector:
                 raise ValueError("a block isn't a whole number of sectors")
-            per = int(n) // sector
-            for part in np.array_split(at, max(1, len(at) * int(n) // (4 << 20) + 1)):
-                if len(part):
-                    raw = np.frombuffer(b"".join(blocks.iloc[part]), np.uint8).reshape(-1, sector)
-                    units = (tweaks.iloc[part].to_numpy(np.uint64)[:, None] * np.uint64(per) + np.arange(per, dtype=np.uint64)).reshape(-1)
-                    done = xts(raw, units, key, decrypt).reshape(len(part), -1)
-                    for i, row in zip(part, done, strict=True):
-                        out.iat[i] = row.tobytes()
-        return out
-
-    return df.withColumn(data, run(F.col(data), F.col(tweak).cast("long")))
+            per, rows = n // sector, np.flatnonzero(chosen & (sizes == n))
+            step = max(1, PART // n)
+            for lo in range(0, len(rows), step):
+                part = rows[lo : lo + step]
+                where = begins[part][:, None] + np.arange(n)
+                each = (units[part][:, None] * np.uint64(per) + np.arange(per, dtype=np.uint64)).reshape(-1)
+                out[where] = xts(clear[where].reshape(-1, sector), each, key, decrypt).reshape(len(part), n)
+        return pa.Array.from_buffers(blocks.type, len(blocks), [valid, at, pa.py_buffer(out)], offset=blocks.offset)  # lengths and nulls stay
+
+    once = run.asNondeterministic()  # or each use of data would have it done again
+    return df.withColumn(data, once(F.col(data).cast("binary"), F.col(tweak).cast("long")))
