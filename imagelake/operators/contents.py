@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bz2
 import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,7 @@ PART = 1 << 17
 METHODS = ("stored", "zero", "zlib", "bzip2", "adc", "lzbitmap")
 
 
-def adc_decompress(data: bytes, size: int) -> bytes:
+def adc_decompress(data: bytes | memoryview, size: int) -> bytes:
     """Apple Data Compression: plain runs, and copies of two or three bytes' description.
 
     A first byte from 0x80 announces up to 128 plain bytes; from 0x40 a copy of 4 to 67 bytes from up to 64 KiB back;
@@ -44,7 +45,7 @@ def adc_decompress(data: bytes, size: int) -> bytes:
     return bytes(out)
 
 
-def _one(method: str, data: bytes, size: int) -> tuple[str, bytes | None]:
+def _one(method: str | None, data: bytes | memoryview | None, size: int | None) -> tuple[str, bytes | None]:
     if method is None or data is None and method != "zero":
         return "missing", None
     try:
@@ -65,23 +66,57 @@ def _one(method: str, data: bytes, size: int) -> tuple[str, bytes | None]:
     return ("ok", out) if size is None or len(out) == size else ("wrong length", out)
 
 
+def _each(data: pa.Array) -> Iterator[memoryview | None]:
+    """The values of a binary array, one at a time and without a copy."""
+    for x in data:
+        buffer = x.as_buffer()
+        yield None if buffer is None else memoryview(buffer)
+
+
+def _binary(values: Iterable[bytes | None], kind: pa.DataType) -> pa.Array:
+    """A binary array of values that are written to its buffer as they come, so that no more than one is held beside it."""
+    out, ends, valid = pa.BufferOutputStream(), [0], []
+    for x in values:
+        valid.append(x is not None)
+        if x:
+            out.write(x)
+        ends.append(ends[-1] + len(x or b""))
+    if pa.types.is_binary(kind) and ends[-1] > 0x7FFFFFFF:
+        raise ValueError("a batch's values are too long for one array; lower spark.sql.execution.arrow.maxRecordsPerBatch")
+    offsets = pa.py_buffer(np.array(ends, np.int64 if pa.types.is_large_binary(kind) else np.int32))
+    bits = pa.py_buffer(np.packbits(np.array(valid, bool), bitorder="little"))
+    return pa.Array.from_buffers(kind, len(valid), [bits, offsets, out.getvalue()])
+
+
 def decompress_chunks(df: DataFrame, method: str, src: str, dst_len: str) -> DataFrame:
-    """df without src, with data and status: ok, wrong length, corrupt, unsupported or missing. Chunks are independent."""
+    """df without src, with data and status: ok, wrong length, corrupt, unsupported or missing. Chunks are independent.
 
-    @F.pandas_udf("status string, data binary")
-    def run(methods: pd.Series, sources: pd.Series, sizes: pd.Series) -> pd.DataFrame:
-        rows = [_one(m, d, None if pd.isna(n) else int(n)) for m, d, n in zip(methods, sources, sizes, strict=True)]
-        return pd.DataFrame(rows, columns=["status", "data"])
+    A Python worker holds a batch's chunks once, and once what they give.
+    """
 
-    return df.withColumn("_out", run(F.col(method), F.col(src), F.col(dst_len))).drop(src).select("*", "_out.status", "_out.data").drop("_out")
+    @F.arrow_udf("status string, data binary")
+    def run(methods: pa.Array, sources: pa.Array, sizes: pa.Array) -> pa.Array:
+        states = []
+
+        def work() -> Iterator[bytes | None]:
+            for m, d, n in zip(methods.to_pylist(), _each(sources), sizes.to_pylist(), strict=True):
+                state, data = _one(m, d, n)
+                states.append(state)
+                yield data
+
+        data = _binary(work(), sources.type)
+        return pa.StructArray.from_arrays([pa.array(states, methods.type), data], ["status", "data"])
+
+    once = run.asNondeterministic()  # or a condition on status would have all done again
+    return df.withColumn("_out", once(F.col(method).cast("string"), F.col(src).cast("binary"), F.col(dst_len).cast("long"))).drop(src).select("*", "_out.status", "_out.data").drop("_out")
 
 
 def compress_zlib(data: Column | str) -> Column:
-    @F.pandas_udf("binary")
-    def run(data: pd.Series) -> pd.Series:
-        return data.map(zlib.compress)
+    @F.arrow_udf("binary")
+    def run(data: pa.Array) -> pa.Array:
+        return _binary((None if x is None else zlib.compress(x) for x in _each(data)), data.type)
 
-    return run(data)
+    return run.asNondeterministic()(data)
 
 
 #: Inline methods follow the header in the attribute, those in the fork are cut in 64 KiB chunks.
