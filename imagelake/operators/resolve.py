@@ -48,31 +48,35 @@ def asof_lookup(probes: DataFrame, log: DataFrame, key: str, version: str, probe
     return found.where("_side = 1").select("_probe.*", *[F.when(hit, F.col("_found")[c]).alias(f"found_{c}") for c in values])
 
 
-def neighbor_lookup(probes: DataFrame, table: DataFrame, probe: str, value: str, mode: str) -> DataFrame:
+def neighbor_lookup(probes: DataFrame, table: DataFrame, probe: str, value: str, mode: str, range_rows: int = 1 << 19) -> DataFrame:
     """probes with `neighbor`: the value of table that stands in the relation `mode` to the probe, or null if none does.
 
-    EQ is a join. For the others, the distinct values and probes are dealt to ranges in one order, as many as Spark has shuffle
-    partitions, and a running window carries the last value on: forwards for LE and LT, backwards for GE and GT. What
-    lies beyond a range's edge comes from the ranges' limits, a row a range. The neighbours then join the probes.
+    Values and probes are dealt to ranges in one order, backwards for GE and GT, and a running window carries the last value on.
+    What lies before a range comes from the ranges' last values, a row a range. EQ is LE, where that finds the probe itself. A range has
+    about range_rows rows however large the input is, and equal ones are dealt to several, so that no task grows with the
+    input or with a frequent probe.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
-    values = table.where(F.col(value).isNotNull()).select(F.col(value).alias("_v")).distinct()
-    if mode == "EQ":
-        return probes.join(values.withColumn("neighbor", F.col("_v")), F.col(probe) == F.col("_v"), "left").drop("_v")
-    kind = values.schema["_v"].dataType
     up = mode[0] == "G"
-    onward = (lambda c: F.desc(c)) if up else (lambda c: F.asc(c))
-    rows = values.select("_v", F.col("_v").alias("_hit"), F.lit(0 if mode[1] == "E" else 2).alias("_side"))  # an equal value comes before the probe or behind it
-    asked = probes.select(F.col(probe).cast(kind).alias("_v")).where("_v is not null").distinct().select("_v", F.lit(None).cast(kind).alias("_hit"), F.lit(1).alias("_side"))
-    dealt = checkpoint_table(rows.unionByName(asked).repartitionByRange("_v").withColumn("_b", F.spark_partition_id()))  # written once, so the ranges stay
+    kind = table.schema[value].dataType
+    wide = probes.select(F.coalesce(F.col(probe), F.lit(None).cast(kind)).alias("v")).schema["v"].dataType  # in which the two are compared
+    first = F.lit(2 if mode[1] == "T" else 0)  # an equal value comes before the probe or behind it
+    asked = probes.select(F.col(probe).cast(wide).alias("_v"), F.lit(1).alias("_side"), F.lit(None).cast(kind).alias("_hit"), F.struct("*").alias("_probe"))
+    rows = table.where(F.col(value).isNotNull()).select(F.col(value).cast(wide).alias("_v"), first.alias("_side"), F.col(value).alias("_hit"), F.lit(None).cast(asked.schema["_probe"].dataType).alias("_probe"))
+    n = max(table.sparkSession.sparkContext.defaultParallelism, -(-(probes.count() + table.count()) // range_rows))
+    order = [F.desc("_v") if up else F.asc("_v"), F.asc("_side")]
+    both = asked.unionByName(rows).withColumn("_place", F.monotonically_increasing_id())
+    dealt = checkpoint_table(both.repartitionByRange(n, *order, "_place").drop("_place").withColumn("_b", F.spark_partition_id()))  # written once, so the ranges stay
     limits = dealt.groupBy("_b").agg((F.min if up else F.max)("_hit").alias("_limit"))
-    earlier = W.orderBy(onward("_b")).rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     far = limits.select("_b", F.last("_limit", ignorenulls=True).over(earlier).alias("_far"))
-    order = W.partitionBy("_b").orderBy(onward("_v"), "_side").rowsBetween(W.unboundedPreceding, W.currentRow)
-    found = dealt.withColumn("_near", F.last("_hit", ignorenulls=True).over(order)).where("_side = 1")
-    found = found.join(F.broadcast(far), "_b").select("_v", F.coalesce("_near", "_far").alias("neighbor"))  # a row a range
-    return probes.join(found, F.col(probe).cast(kind) == F.col("_v"), "left").drop("_v")
+    running = W.partitionBy("_b").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = dealt.repartitionById(n, F.col("_b")).withColumn("_near", F.last("_hit", ignorenulls=True).over(running)).where("_side = 1")
+    near = F.coalesce("_near", "_far")
+    found = found.join(F.broadcast(far), "_b")  # a row a range
+    hit = near.cast(wide) == F.col("_v") if mode == "EQ" else F.col("_v").isNotNull()
+    return found.select("_probe.*", F.when(hit, near).alias("neighbor"))
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame, keys: str | list[str]) -> DataFrame:

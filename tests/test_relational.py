@@ -77,6 +77,27 @@ def test_neighbours_outside_and_empty(spark):
     assert all(r.neighbor is None for r in R.neighbor_lookup(probes, table.where("o > 99"), "p", "o", "GE").collect())
 
 
+def test_neighbours_over_many_ranges(spark):
+    """Small ranges, frequent and equal probes and values, nulls, and probes of a wider type."""
+    values = [None, *range(0, 200, 10)] * 3 + [50] * 300
+    asked = [None] * 40 + [50.0] * 300 + [x / 2 for x in range(-20, 420, 5)]
+    table, probes = spark.createDataFrame([(v,) for v in values], "o int"), spark.createDataFrame(list(enumerate(asked)), "i int, p double")
+    known = sorted({v for v in values if v is not None})
+    fits = {"EQ": lambda v, p: v == p, "LE": lambda v, p: v <= p, "LT": lambda v, p: v < p, "GE": lambda v, p: v >= p, "GT": lambda v, p: v > p}
+    for mode, fit in fits.items():
+        found = {r.i: r.neighbor for r in R.neighbor_lookup(probes, table, "p", "o", mode, range_rows=20).collect()}
+        assert found == {i: None if p is None else (min if mode[0] == "G" else max)((v for v in known if fit(v, p)), default=None) for i, p in enumerate(asked)}, mode
+
+
+def test_ranges_of_neighbours_do_not_grow(spark):
+    """As many tasks as the rows need, each with about its share of them, though all probes are equal."""
+    table, probes = spark.range(1000), spark.range(9000).select("id", F.lit(500).cast("long").alias("p"))
+    for mode in ("EQ", "GE"):
+        found = R.neighbor_lookup(probes, table, "p", "id", mode, range_rows=100)
+        sizes = [n for n in found.rdd.mapPartitions(lambda x: [sum(1 for _ in x)]).collect() if n]
+        assert sum(sizes) == 9000 and max(sizes) <= 500, (mode, len(sizes), max(sizes))
+
+
 def test_paths_of_cycles_and_orphans(spark):
     entries = spark.createDataFrame([(2, "a", 3, 4), (3, "b", 4, 4), (4, "f", 5, 8), (9, "x", 8, 4), (8, "y", 9, 4), (77, "lost", 6, 8)], "parent_id long, name string, file_id long, flags int")
     paths = N.build_paths(entries, F.col("flags") == 4)
