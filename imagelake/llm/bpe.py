@@ -14,6 +14,7 @@ import os
 import re
 import threading
 from collections.abc import Iterator
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +80,8 @@ def token_bytes(tokenizer_json: str) -> tuple[np.ndarray, np.ndarray]:
 _CUT = re.compile(r"(?<=\S)[ \n](?=\S)")
 #: Texts in which white space stands together, at an end, or isn't ASCII: a plain cut at spaces could change their split.
 _ODD = r"[ \t-\r][ \t-\r]|^[ \t-\r]|[ \t-\r]$|[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Pieces of a space and then no white space at either end: between two of them is a place to cut.
+_APART = r"^ [!-~]$|^ [!-~][^\t]*[!-~]$|^ \pL[^\t]*[!-~]$|^ [!-~\pL][^\t]*\pL$"
 
 
 class PieceEncoder:
@@ -89,7 +92,9 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.tokenizer.model._resize_cache(0)  # what it is given is new to it, so its own cache would only cost
         self.cache_pieces, self.longest = cache_pieces, longest
+        self.token_sizes = np.diff(token_bytes(tokenizer_json)[1])
         self.separators = {x: self.tokenizer.encode(x, add_special_tokens=False).ids[0] for x in "\n\t"}
         self._forget()
 
@@ -143,13 +148,20 @@ class PieceEncoder:
         which, distinct = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
         if self.n + len(distinct) > self.cache_pieces:
             self._forget()
-        self._learn([x for x in distinct if x not in self.cache])
-        known = np.fromiter(map(self.cache.__getitem__, distinct), np.int64, len(distinct))[which]
+        known = np.fromiter(map(self.cache.get, distinct, repeat(-1)), np.int64, len(distinct))
+        at_new = np.flatnonzero(known < 0)
+        if len(at_new):
+            some = coded.dictionary.take(pa.array(at_new))
+            new = some.to_pylist()
+            self._learn(new, pc.binary_length(some).to_numpy(zero_copy_only=False), pc.match_substring_regex(some, _APART).to_numpy(zero_copy_only=False))
+            known[at_new] = np.fromiter(map(self.cache.__getitem__, new), np.int64, len(new))
+        known = known[which]
         for x in [x for x in distinct if len(x) > self.longest]:
             del self.cache[x]
-        n = self.sizes[known].astype(np.int64)
-        ends = np.cumsum(n)
-        where = np.arange(int(ends[-1])) + np.repeat(self.begins[known] - ends + n, n)
+        n = self.sizes[known]
+        ends = np.cumsum(n, dtype=np.int64)
+        where = np.repeat(self.begins[known] - (ends - n), n)
+        where += np.arange(len(where))
         return self.ids[where], np.concatenate(([0], ends))[at]
 
     def _add(self, some: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
@@ -163,15 +175,27 @@ class PieceEncoder:
         self.cache.update(zip(some, range(self.n, self.n + len(some)), strict=True))
         self.n, self.n_ids = self.n + len(some), self.n_ids + len(ids)
 
-    def _learn(self, new: list[str]) -> None:
-        """Encodes new pieces. Those that a line feed or a tab keeps apart go into longer texts; the others go alone."""
+    def _learn(self, new: list[str], n_bytes: np.ndarray, apart: np.ndarray) -> None:
+        """Encodes new pieces. Those that keep apart by themselves go end to end into longer texts and are told apart by the bytes of
+        their ids, those that a line feed or a tab keeps apart go with these, the others go alone."""
         alone, together = [], {"\n": [], "\t": []}
-        for x in new:
+        for x in compress(new, ~apart):
             body = x[1:] if x[:1] == " " else x
             if not body or body[0].isspace() or body[-1].isspace() or "\t" in body:
                 alone.append(x)
             else:
                 together["\t" if "\n" in body else "\n"].append(x)
+        plain, sizes = list(compress(new, apart)), n_bytes[apart].astype(np.int64)
+        for begin in range(0, len(plain), 20_000):
+            part, ends = plain[begin : begin + 20_000], np.cumsum(sizes[begin : begin + 20_000])
+            found = self.tokenizer.encode_batch_fast(["".join(part[i : i + 100]) for i in range(0, len(part), 100)], add_special_tokens=False)
+            ids = np.array(list(chain.from_iterable(x.ids for x in found)), np.uint32)
+            after = np.cumsum(self.token_sizes[ids])
+            last = np.searchsorted(after, ends)
+            if not len(after) or after[-1] != ends[-1] or (after[last] != ends).any():
+                alone += part
+                continue
+            self._add(part, ids, np.diff(last, prepend=-1))
         for separator, some in together.items():
             for begin in range(0, len(some), 50_000):
                 part = some[begin : begin + 50_000]

@@ -402,3 +402,24 @@ def test_components(spark):
     want = components_of({x for e in edges for x in e}, edges)
     found = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(want[k] == v for k, v in found.items()) and all(k in found for e in edges for k in e if e[0] != e[1])
+
+
+def test_pieces_end_to_end_keep_their_ids():
+    """Pieces that go end to end through the tokenizer, those that can't, and texts around the cache's restarts."""
+    import pyarrow as pa
+
+    spec = packing_tokenizer()
+    plain, encoder, handed = Tokenizer.from_str(spec), bpe.PieceEncoder(spec, cache_pieces=40), []
+    plain.encode_special_tokens = True
+
+    class Watched:
+        def encode_batch_fast(self, texts, **how):
+            handed.extend(texts)
+            return plain.encode_batch_fast(texts, **how)
+
+    encoder.tokenizer = Watched()
+    texts = ["it's o'clock, don't 12.5 x", "a b\tc d\n\ne  f", " \u00fcber stra\u00dfe \u4f60\u597d \u3000x e\u0301t\u00e9", "<|endoftext|> end <|endoftext|>", "", " ", "q " * 300 + "z", "\u00a0a \u00a0 b\u00a0", "\U0001f600 \U0001f600\U0001f601 \x1c y"]
+    for some in (texts, texts[::-1], [f"w{i} v{i}, u{i}." for i in range(60)]):
+        ids, first = encoder.encode(pa.array(some, pa.large_string()))
+        assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == [plain.encode(x, add_special_tokens=False).ids for x in some]
+    assert any(" v1, u1. v2," in x for x in handed), handed[-3:]  # nothing between them
