@@ -55,7 +55,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of token ids whose lengths are powers of two up to 2048."""
-    return pack_powers_of_two(docs, packing_tokenizer(), with_ids=True)
+    return pack_powers_of_two(docs, packing_tokenizer(), with_ids=True, run_bytes=1 << 20, cache_pieces=150_000)  # Spark's heap is large by now
 
 
 STAGES = [
