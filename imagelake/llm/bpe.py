@@ -117,11 +117,14 @@ class PieceEncoder:
         return lists.flatten(), np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy())))
 
     def _plain(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-        lists = pc.split_pattern(texts, " ")
+        # each line feed becomes a piece of its own, and what follows it is a piece that other lines begin with too
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n "), " ")
         flat, at = lists.flatten(), np.asarray(lists.offsets).astype(np.int64)
         at = at - at[0]
         spaced = np.ones(len(flat) + 1, bool)
         spaced[at] = False
+        feeds = np.flatnonzero(pc.equal(flat, "\n").to_numpy(zero_copy_only=False))
+        spaced[feeds] = spaced[feeds + 1] = False
         return pc.binary_join_element_wise(pc.if_else(pa.array(spaced[:-1]), pa.scalar(" ", flat.type), pa.scalar("", flat.type)), flat, pa.scalar("", flat.type)), at
 
     def _careful(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
