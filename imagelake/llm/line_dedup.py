@@ -6,6 +6,8 @@ import math
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,30 +33,32 @@ def tokens(line: Column) -> Column:
     return F.split(plain, " ")
 
 
-def rarity_table(docs: DataFrame, text_column: str, bits: int) -> bytes:
-    """A byte for each of 2**bits hash buckets of words: six times the logarithm of the words counted there, at most 127.
+def rarity_table(docs: DataFrame, text_column: str, bits: int) -> DataFrame:
+    """One row (rarity array<tinyint>) with a number for each of 2**bits hash buckets of words: six times the logarithm of the words counted there, at most 127.
 
-    Counts cover all words of all documents. The driver gets one number per bucket, at every size of the input.
+    It is 0 only where one word was counted once, which no other line can share. Counts cover all words of all documents.
+    The driver gets one number per bucket, at every size of the input. As a table of one row it is read by a scalar subquery; a literal
+    would be written out in every description of a plan.
     """
     text = F.replace(F.col(text_column).cast("string"), F.lit("\n"), F.lit(" "))
     bucket = F.shiftrightunsigned(F.xxhash64("word"), 64 - bits).cast("int")
     words = docs.select(F.explode(tokens(text)).alias("word")).where("word <> ''")
     found = words.select(bucket.alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
     scaled = F.least(F.lit(127), F.floor(6 * F.log("n"))).cast("tinyint")
-    table = bytearray(1 << bits)
-    for b, n in zip(*(c.to_pylist() for c in found.select("bucket", scaled).toArrow().columns), strict=True):
-        table[b] = n
-    return bytes(table)
+    counted = cut(found.select("bucket", scaled.alias("rank")))
+    bucket, rank = (c.to_numpy() for c in counted.toArrow().columns)
+    discard(counted)
+    table = np.ones(1 << bits, np.int8)
+    table[bucket] = rank
+    one = pa.table({"rarity": pa.ListArray.from_arrays(pa.array([0, len(table)], pa.int32()), pa.array(table))})
+    return docs.sparkSession.createDataFrame(one, "rarity array<tinyint>")
 
 
-def ordered_tokens(line: Column, rarity: bytes) -> Column:
+def ordered_tokens(line: Column, rarity: Column, bits: int) -> Column:
     """A line's distinct words as numbers, the rarest first: the bucket's rarity in the top byte, then 56 bits of hash."""
-    bits = int(math.log2(len(rarity)))
-    table = F.lit(rarity)
 
     def number(h: Column) -> Column:
-        place = F.shiftrightunsigned(h, 64 - bits).cast("int") + 1
-        rank = F.ascii(F.substring(table, place, F.lit(1)).cast("string"))
+        rank = F.get(rarity, F.shiftrightunsigned(h, 64 - bits).cast("int"))
         return F.shiftleft(rank.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
     return F.sort_array(F.array_distinct(F.transform(F.transform(F.array_remove(tokens(line), ""), lambda word: F.xxhash64(word)), number)))
@@ -84,31 +88,34 @@ def differing_bits(mine: Callable[[str], Column], other: Callable[[str], Column]
     return F.when(least >= SENT["s2"], quarters).when(least >= SENT["s1"], ones(s1) + ones(rest)).otherwise(ones(s0))
 
 
-def _line_rows(docs: DataFrame, id_column: str, text_column: str, rarity: bytes, percent: int) -> DataFrame:
-    """(row, text_key, line_no, n, set, s0 to s3, prefix) of each line with a word.
+def _line_rows(docs: DataFrame, id_column: str, text_column: str, rarity: DataFrame, bits: int, percent: int) -> DataFrame:
+    """(row, text_key, line_no, n, set, s0 to s3, skipped, prefix) of each line with a word.
 
     set is a 64-bit hash of the set of words, s0 to s3 its signature. prefix holds the words among which a similar set of
-    any length has one; sets too small to differ from a similar one have none.
+    any length has one, without the first ones, skipped of them, that no other line has; sets too small to differ from a similar one have none.
     """
     n = F.col("n")
     prefix_size = F.when(n * (100 - percent) >= percent, n - F.ceil(F.lit(percent) * n / 100) + 1).otherwise(0)
     lines = _placed(docs, id_column, text_column).select("row", "text_key", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    lines = lines.where(F.btrim("line", F.lit(" \t\x0b\x0c\r")) != "").withColumn("words", ordered_tokens(F.col("line"), rarity))
+    lines = lines.where(F.btrim("line", F.lit(" \t\x0b\x0c\r")) != "").select("row", "text_key", "line_no", "line", rarity.scalar().alias("rarity"))
+    lines = lines.select("row", "text_key", "line_no", ordered_tokens(F.col("line"), F.col("rarity"), bits).alias("words"))
     lines = lines.select("row", "text_key", "line_no", F.size("words").alias("n"), F.xxhash64("words").alias("set"), *signature("words"), "words")
-    return lines.select("row", "text_key", "line_no", "n", "set", *SIGNATURE, F.slice("words", 1, prefix_size.cast("int")).alias("prefix"))
+    lines = lines.select("row", "text_key", "line_no", "n", "set", *SIGNATURE, F.slice("words", 1, prefix_size.cast("int")).alias("prefix"))
+    shared = F.filter("prefix", lambda w: w >= F.lit(1 << 56))
+    return lines.select("row", "text_key", "line_no", "n", "set", *SIGNATURE, F.size("prefix").alias("skipped"), shared.alias("prefix")).withColumn("skipped", F.col("skipped") - F.size("prefix"))
 
 
-def _sets_of(docs: DataFrame, id_column: str, text_column: str, rarity: bytes, wanted: DataFrame) -> DataFrame:
+def _sets_of(docs: DataFrame, id_column: str, text_column: str, rarity: DataFrame, bits: int, wanted: DataFrame) -> DataFrame:
     """(class, words array<long>) of the lines in wanted (class, row, text_key, line_no): their whole sets."""
     asked = wanted.groupBy("row", "text_key").agg(F.collect_list(F.struct("line_no", "class")).alias("asked"))
     found = _placed(docs, id_column, text_column).join(broadcast_if_small(asked, wanted.count(), 40), ["row", "text_key"])
     # the array around the lines has them made once for all places
     lines = F.transform(F.array(F.split("text", "\n", -1)), lambda each: F.transform("asked", lambda a: F.struct(a["class"].alias("class"), F.get(each, a["line_no"]).alias("line"))))
-    found = found.select(F.explode(F.element_at(lines, 1)).alias("found"))
-    return found.select("found.class", ordered_tokens(F.col("found.line"), rarity).alias("words"))
+    found = found.select(F.explode(F.element_at(lines, 1)).alias("found")).select("found.class", "found.line", rarity.scalar().alias("rarity"))
+    return found.select("class", ordered_tokens(F.col("line"), F.col("rarity"), bits).alias("words"))
 
 
-def line_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = 80, rarity_bits: int = 18, carry: tuple[str, ...] = ()) -> DataFrame:
+def line_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = 80, rarity_bits: int = 21, carry: tuple[str, ...] = ()) -> DataFrame:
     """Removes every line that is similar to an earlier line of any document.
 
     A line is the set of its lower-case words; two lines are similar if their Jaccard similarity is percent / 100 or
@@ -146,17 +153,17 @@ def line_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
 def removed_lines(docs: DataFrame, id_column: str, text_column: str, percent: int, rarity_bits: int) -> DataFrame:
     """(row, text_key, removed array<int>) of the documents that lose lines."""
     rarity = rarity_table(docs, text_column, rarity_bits)
-    lines = cut(_line_rows(docs, id_column, text_column, rarity, percent))
+    lines = cut(_line_rows(docs, id_column, text_column, rarity, rarity_bits, percent))
     at, same = F.struct("row", "text_key", "line_no"), ["set", "s0", "n"]
     # a class is a set; its first line stands for it, and its number is short and its own
-    classes = lines.groupBy(*same).agg(F.min(at).alias("first"), F.count("*").alias("copies"), *[F.any_value(c).alias(c) for c in (*SIGNATURE[1:], "prefix")])
+    classes = lines.groupBy(*same).agg(F.min(at).alias("first"), F.count("*").alias("copies"), *[F.any_value(c).alias(c) for c in (*SIGNATURE[1:], "skipped", "prefix")])
     classes = cut(classes.withColumn("class", F.monotonically_increasing_id()))
     places = cut(lines.select("row", "text_key", "line_no", *same))
     discard(lines)
     tried = cut(_first_pairs(classes, percent))
-    matched = _later(docs, id_column, text_column, rarity, tried, classes, percent)
+    matched = _later(docs, id_column, text_column, rarity, rarity_bits, tried, classes, percent)
     rest = cut(_unmatched_pairs(classes, tried, matched, percent))
-    late = matched.union(_later(docs, id_column, text_column, rarity, rest, classes, percent, matched)).withColumn("late", F.lit(True))
+    late = matched.union(_later(docs, id_column, text_column, rarity, rarity_bits, rest, classes, percent, matched)).withColumn("late", F.lit(True))
     losing = cut(classes.select("class", *same, "first", "copies").join(late, "class", "left").where("copies > 1 or late").select(*same, "first", "late"))
     discard(tried, rest, classes)
     return (
@@ -189,18 +196,21 @@ def _folded(bits: Column) -> Column:
 def _first_pairs(classes: DataFrame, percent: int, heads: int = 3, pivots: int = 4) -> DataFrame:
     """(a, b): each class with some early ones of each of its rarest words and its length class, where the two fit.
 
-    A word's classes are dealt to as many parts as pivots; the earliest of each part is one. Large groups of near copies find
+    A word's classes are dealt to as many parts as pivots; the earliest of each part is one. Pairs whose s0 differ too much
+    are left out at once. Large groups of near copies find
     their match here, in at most so many pairs a member.
     """
-    rows = classes.where(F.size("prefix") > 0).select("class", F.col("first.row").alias("row"), "n", F.posexplode(F.slice("prefix", 1, heads)).alias("pos", "token"))
-    rows = rows.select(F.xxhash64("token", _length_class(F.col("n"), percent)).alias("key"), "class", "row", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("at"))
+    rows = classes.where(F.size("prefix") > 0).select("class", F.col("first.row").alias("row"), "n", "s0", "skipped", F.posexplode(F.slice("prefix", 1, heads)).alias("pos", "token"))
+    rows = rows.select(F.xxhash64("token", _length_class(F.col("n"), percent)).alias("key"), "class", "row", "s0", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR((F.col("skipped") + F.col("pos")).cast("long")).alias("at"))
     size, place = (lambda c: F.shiftrightunsigned(c, 32).cast("int")), (lambda c: c.bitwiseAND(F.lit((1 << 31) - 1).cast("long")).cast("int"))
     part = F.pmod(F.xxhash64("class"), F.lit(pivots))
     # numbers only, for which Spark aggregates without sorting
-    earliest = [[F.min_by(F.when(part == k, F.col(c)), F.when(part == k, F.col("row"))).alias(f"{c}_{k}") for c in ("class", "at")] for k in range(pivots)]
+    earliest = [[F.min_by(F.when(part == k, F.col(c)), F.when(part == k, F.col("row"))).alias(f"{c}_{k}") for c in ("class", "at", "s0")] for k in range(pivots)]
     early = rows.groupBy("key").agg(*[c for pair in earliest for c in pair], F.count("*").alias("size")).where("size > 1").drop("size")
-    pivot = F.explode(F.array(*[F.struct(F.col(f"class_{k}").alias("class"), F.col(f"at_{k}").alias("at")) for k in range(pivots)]))
-    pairs = rows.join(early, "key").select("class", "at", pivot.alias("pivot")).where("class <> pivot.class")
+    pivot = F.explode(F.array(*[F.struct(*[F.col(f"{c}_{k}").alias(c) for c in ("class", "at", "s0")]) for k in range(pivots)]))
+    pairs = rows.join(early, "key").select("class", "at", "s0", pivot.alias("pivot")).where("class <> pivot.class")
+    apart = F.bit_count(F.col("s0").bitwiseXOR(F.col("pivot.s0")))
+    pairs = pairs.where((100 + percent) * apart <= (100 - percent) * (size(F.col("at")) + size(F.col("pivot.at"))))
     pairs = pairs.where(_fits(percent, size(F.col("at")), place(F.col("at")), size(F.col("pivot.at")), place(F.col("pivot.at"))))
     return pairs.select(F.least("class", "pivot.class").alias("a"), F.greatest("class", "pivot.class").alias("b")).distinct()
 
@@ -215,11 +225,11 @@ def _unmatched_pairs(classes: DataFrame, tried: DataFrame, matched: DataFrame, p
     """
     done = broadcast_if_small(matched.withColumn("done", F.lit(1)), matched.count(), 16)
     n, pos = F.col("n"), F.col("pos")
-    sets = classes.where(F.size("prefix") > 0).join(done, "class", "left").select("class", "n", F.coalesce("done", F.lit(0)).alias("done"), "prefix", *SIGNATURE)
-    probe = sets.withColumn("length", _length_class(n, percent)).select("class", "n", "done", *SIGNATURE, "length", F.posexplode("prefix").alias("pos", "token"))
-    shorter = F.slice("prefix", 1, (n - F.ceil(F.lit(2 * percent) * n / (100 + percent)) + 1).cast("int"))
+    sets = classes.where(F.size("prefix") > 0).join(done, "class", "left").select("class", "n", F.coalesce("done", F.lit(0)).alias("done"), "skipped", "prefix", *SIGNATURE)
+    probe = sets.withColumn("length", _length_class(n, percent)).select("class", "n", "done", *SIGNATURE, "length", "skipped", F.posexplode("prefix").alias("pos", "token")).withColumn("pos", F.col("skipped") + F.col("pos"))
+    shorter = F.slice("prefix", 1, F.greatest(F.lit(0), n - F.ceil(F.lit(2 * percent) * n / (100 + percent)) + 1 - F.col("skipped")).cast("int"))
     lengths = F.sequence(_length_class(n, percent), _length_class(F.floor(n * 100 / percent), percent))
-    index = sets.select("class", "n", "done", *SIGNATURE, F.explode(lengths).alias("length"), shorter.alias("shorter")).select("class", "n", "done", *SIGNATURE, "length", F.posexplode("shorter").alias("pos", "token"))
+    index = sets.select("class", "n", "done", *SIGNATURE, F.explode(lengths).alias("length"), "skipped", shorter.alias("shorter")).select("class", "n", "done", *SIGNATURE, "length", "skipped", F.posexplode("shorter").alias("pos", "token")).withColumn("pos", F.col("skipped") + F.col("pos"))
     key = lambda turn: F.xxhash64("token", "length", turn).alias("key")
     # a bit for the keys asked for, in 2**18 words at most: some keys share bits, which lets more of the index through
     word, bit = F.shiftrightunsigned("key", 46).alias("word"), F.col("key").bitwiseAND(F.lit(63).cast("long")).cast("int")
@@ -260,14 +270,15 @@ def _unmatched_pairs(classes: DataFrame, tried: DataFrame, matched: DataFrame, p
     return pairs.join(broadcast_if_small(tried, tried.count(), 24), ["a", "b"], "left_anti")
 
 
-def _later(docs: DataFrame, id_column: str, text_column: str, rarity: bytes, pairs: DataFrame, classes: DataFrame, percent: int, matched: DataFrame | None = None) -> DataFrame:
+def _later(docs: DataFrame, id_column: str, text_column: str, rarity: DataFrame, bits: int, pairs: DataFrame, classes: DataFrame, percent: int, matched: DataFrame | None = None) -> DataFrame:
     """(class): the later class of each of the pairs (a, b) that is similar on full sets; classes matched before aren't looked at again.
 
     Only the lines that stand for the pairs' classes are ordered again.
     """
     of = lambda k: classes.select(F.col("class").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", *SIGNATURE)])
     apart = differing_bits(lambda c: F.col(f"{c}_a"), lambda c: F.col(f"{c}_b"))
-    near = pairs.join(of("a"), "a").join(of("b"), "b").where((100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
+    n_pairs = pairs.count()
+    near = broadcast_if_small(broadcast_if_small(pairs, n_pairs, 16).join(of("a"), "a"), n_pairs, 56).join(of("b"), "b").where((100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
     near = cut(near.select("a", "b", "n_a", "n_b"))
     ids = cut(near.select(F.col("a").alias("class")).union(near.select(F.col("b").alias("class"))).distinct())
     wanted = cut(classes.select("class", "first").join(broadcast_if_small(ids, ids.count(), 16), "class", "left_semi"))
@@ -277,7 +288,7 @@ def _later(docs: DataFrame, id_column: str, text_column: str, rarity: bytes, pai
     if matched is not None:
         near = near.join(broadcast_if_small(matched, matched.count(), 16), "class", "left_anti")
     # equal rows give a class several times
-    sets = cut(_sets_of(docs, id_column, text_column, rarity, wanted.select("class", "first.*")).dropDuplicates(["class"]))
+    sets = cut(_sets_of(docs, id_column, text_column, rarity, bits, wanted.select("class", "first.*")).dropDuplicates(["class"]))
     get = lambda k: sets.select(F.col("class").alias(k), F.col("words").alias(f"{k}_words"))
     both = F.size(F.array_intersect("a_words", "b_words"))
     good = near.join(get("a"), "a").join(get("b"), "b").where((100 + percent) * both >= percent * (F.col("n_a") + F.col("n_b")))

@@ -240,6 +240,30 @@ def test_line_dedup_equals_brute_force(spark, docs, none):
     assert by[5].text is None and by[5].n_lines == 0 and by[6].text == "" and by[6].n_lines == 1 and by[1].n_removed == by[2].n_removed == 1
 
 
+def test_line_dedup_plans_stay_small(docs, monkeypatch):
+    """No plan spells out the rarity table, which the driver would then hold once for every description of a plan."""
+    plans, cut = [], line_dedup.cut
+    monkeypatch.setattr(line_dedup, "cut", lambda df: plans.append(df._jdf.queryExecution().toString()) or cut(df))
+    line_dedup.line_dedup(docs)
+    assert plans and max(map(len, plans)) < 100_000
+
+
+def test_line_dedup_first_pairs_leave_out_what_differs(spark):
+    """Lines that share a rare word and nothing else make no pairs; a line's words that no other line has aren't in its prefix."""
+    random = np.random.default_rng(5)
+    lines = [" ".join(["rare", *(f"u{i}x{k}" for k in range(3)), *random.choice(WORDS, 30)]) for i in range(40)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate([*lines, lines[0] + " more"])], "doc_id long, text string")
+    made, first = [], line_dedup._first_pairs
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(line_dedup, "_first_pairs", lambda classes, percent: made.append((classes.collect(), first(classes, percent).count())) or first(classes, percent))
+        found = line_dedup.line_dedup(df).where("n_removed > 0").collect()
+    assert [r.doc_id for r in found] == [40]
+    classes, pairs = made[0]
+    assert pairs <= 4, pairs
+    assert all(len(r.prefix) < -(-r.n // 5) for r in classes if r["first"].row in range(1, 40))
+
+
+
 def test_embeddings_equal_brute_force(spark):
     random = np.random.default_rng(0)
     x = random.normal(size=(300, 20))
@@ -423,3 +447,16 @@ def test_pieces_end_to_end_keep_their_ids():
         ids, first = encoder.encode(pa.array(some, pa.large_string()))
         assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == [plain.encode(x, add_special_tokens=False).ids for x in some]
     assert any(" v1, u1. v2," in x for x in handed), handed[-3:]  # nothing between them
+
+
+def test_line_feeds_are_pieces_of_their_own():
+    """A word before a line feed and the one behind it are no piece together, of which there would be one for each pair."""
+    import pyarrow as pa
+
+    spec = packing_tokenizer()
+    plain, encoder = Tokenizer.from_str(spec), bpe.PieceEncoder(spec)
+    texts = pa.array(["a b\nc d.\nc e", "", "f\ng", "h"], pa.large_string())
+    pieces, at = encoder.pieces(texts)
+    assert pieces.to_pylist() == ["a", " b", "\n", "c", " d.", "\n", "c", " e", "", "f", "\n", "g", "h"] and at.tolist() == [0, 8, 9, 12, 13]
+    ids, first = encoder.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == [plain.encode(x, add_special_tokens=False).ids for x in texts.to_pylist()]
